@@ -187,7 +187,7 @@ def profile_context(eda_report: EdaReport, columns: Sequence[str]) -> DataFrame:
         F.lit("correlation").alias("section"), F.concat_ws(" vs ", "column_1", "column_2").alias("column"),
         F.inline(F.array(
             F.struct(F.lit("value").alias("metric"), F.format_string("%.4f", r).alias("value")),
-            F.struct(F.lit("interpretation"), F.concat_ws(" ", strength, direction)),
+            F.struct(F.lit("interpretation").alias("metric"), F.concat_ws(" ", strength, direction).alias("value")),
         )),
     )
     top = eda_report.top_categories.where(F.col("column").isin(names)).select(

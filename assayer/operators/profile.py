@@ -111,6 +111,13 @@ def _date_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, i
     return {c: dict(zip(names, got[i * width:(i + 1) * width])) for i, c in enumerate(columns)}
 
 
+def date_format_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, format, parsed)``: how many values each date format parses."""
+    names = [f.label for f in dates.DATE_FORMATS] + [dates.MIXED]
+    rows = [(c, name, n) for c, counts in _date_counts(df, columns).items() for name, n in zip(names, counts.values())]
+    return frames.local_rows(df.sparkSession, rows, "column string, format string, parsed long")
+
+
 def _other_metrics(col: Column, dtype: T.DataType) -> dict[str, Column]:
     metrics = {"length": F.avg(F.char_length(col.cast("string")))}
     if text.is_integer(dtype):
