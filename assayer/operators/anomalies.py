@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,6 +36,8 @@ class Table:
         self.columns = frames.analysed_columns(df, row_key)
         self.types = {c: k for c, k in resolve_types(df, types).items() if c in self.columns}
         self.date_formats = types.date_formats if isinstance(types, Profile) else {}
+        self._known_unique = types.exact_unique if isinstance(types, Profile) else {}
+        self._exprs: dict[tuple[str, str], Column] = {}
 
     @classmethod
     def of(cls, table: "Table | DataFrame", types: Mapping | Profile | None = None,
@@ -45,23 +47,47 @@ class Table:
     def kinds(self, *names: str) -> list[str]:
         return [c for c in self.columns if self.types.get(c) in names]
 
+    def _expr(self, kind: str, name: str, build: Callable[[], Column]) -> Column:
+        # Expressions are immutable and costly to build from Python, so each is built once.
+        if (kind, name) not in self._exprs:
+            self._exprs[kind, name] = build()
+        return self._exprs[kind, name]
+
     def ref(self, name: str) -> Column:
-        return frames.column(name)
+        return self._expr("ref", name, lambda: frames.column(name))
 
     def missing(self, name: str) -> Column:
-        return text.missing_like(self.ref(name), frames.dtype(self.df, name), t.REPORT_NULLS)
+        return self._expr("missing", name, lambda: text.missing_like(
+            self.ref(name), frames.dtype(self.df, name), t.REPORT_NULLS))
 
     def present(self, name: str) -> Column:
-        return F.when(~self.missing(name), self.ref(name))
+        return self._expr("present", name, lambda: F.when(~self.missing(name), self.ref(name)))
 
     def number(self, name: str) -> Column:
-        return text.to_number(self.ref(name), frames.dtype(self.df, name))
+        return self._expr("number", name, lambda: text.to_number(self.ref(name), frames.dtype(self.df, name)))
 
     def finite(self, name: str) -> Column:
-        return text.finite(self.number(name))
+        return self._expr("finite", name, lambda: text.finite(self.number(name)))
 
     def date(self, name: str) -> Column:
-        return dates.to_datetime(self.ref(name), frames.dtype(self.df, name))
+        return self._expr("date", name, lambda: dates.to_datetime(self.ref(name), frames.dtype(self.df, name)))
+
+    @cached_property
+    def unique_counts(self) -> dict[str, int]:
+        """Exact distinct non-null values per column; taken over from a profile that counted them."""
+        known = {c: n for c, n in self._known_unique.items() if c in self.columns}
+        return known or frames.exact_distincts(self.df, {c: self.ref(c) for c in self.columns})
+
+    @cached_property
+    def finite_ranges(self) -> dict[str, tuple]:
+        """``(count, min, max)`` of the finite values of every Numerical column."""
+        names = self.kinds("Numerical")
+        if not names:
+            return {}
+        got = frames.aggregate_columns(self.df, {
+            c: {"n": F.count(self.finite(c)), "lo": F.min(self.finite(c)), "hi": F.max(self.finite(c))} for c in names
+        }).collect()
+        return {r["column"]: (r["n"], r["lo"], r["hi"]) for r in got}
 
     @cached_property
     def _scan(self) -> tuple[int, dict, dict]:
@@ -216,10 +242,9 @@ def category_counts(table: Table, columns: Sequence[str]) -> DataFrame:
     return frames.value_counts(table.df, {c: table.present(c) for c in columns})
 
 
-def _with_totals(counts: DataFrame) -> DataFrame:
-    # A join, not a window: a window would bring all values of a column into one task.
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(totals), "column")  # one row per column
+def valid_count(table: Table, columns: Sequence[str]) -> Column:
+    """Number of present values of the column a frequency row belongs to, as literals."""
+    return F.create_map(*[F.lit(x) for c in columns for x in (c, table.valid_counts[c])])[F.col("column")]
 
 
 def is_rare(n: Column, total: Column) -> Column:
@@ -229,22 +254,30 @@ def is_rare(n: Column, total: Column) -> Column:
 def rare_categories(table: Table | DataFrame, types: Mapping | None = None) -> DataFrame:
     """Rare values of Categorical and Boolean columns: at most 5 rows and at most 1 %."""
     table = Table.of(table, types)
-    counts = _with_totals(category_counts(table, table.kinds("Categorical", "Boolean")))
-    return counts.where(is_rare(F.col("n"), F.col("total"))).select(
-        "column", "value", "n",
-        F.round(stats.percent(F.col("n"), F.col("total")), 2).alias("percentage"),
+    names = table.kinds("Categorical", "Boolean")
+    counts = category_counts(table, names)
+    if not names:
+        return counts.withColumn("percentage", F.lit(0.0))
+    total = valid_count(table, names)
+    return counts.where(is_rare(F.col("n"), total)).select(
+        "column", "value", "n", F.round(stats.percent(F.col("n"), total), 2).alias("percentage"))
+
+
+def column_shapes(table: Table, columns: Sequence[str]) -> DataFrame:
+    """Per column, from one frequency table: distinct, most frequent, rare and shared values."""
+    n = F.col("n")
+    rare = is_rare(n, valid_count(table, columns)) if columns else F.lit(False)
+    return category_counts(table, columns).groupBy("column").agg(
+        F.count(F.lit(1)).alias("distinct"), F.max("n").alias("top"), F.sum("n").alias("total"),
+        stats.count_if(rare).alias("rare"), F.coalesce(F.sum(F.when(rare, n)), F.lit(0)).alias("rare_rows"),
+        stats.count_if(n > 1).alias("shared"), F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("shared_rows"),
     )
 
 
 def rare_category_summary(table: Table | DataFrame, types: Mapping | None = None) -> DataFrame:
     table = Table.of(table, types)
-    counts = _with_totals(category_counts(table, table.kinds("Categorical", "Boolean")))
-    rare = is_rare(F.col("n"), F.col("total"))
-    return counts.groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique_categories"),
-        stats.count_if(rare).alias("rare_category_count"),
-        F.coalesce(F.sum(F.when(rare, F.col("n"))), F.lit(0)).alias("rare_rows"),
-    )
+    return column_shapes(table, table.kinds("Categorical", "Boolean")).select(
+        "column", F.col("distinct").alias("unique_categories"), F.col("rare").alias("rare_category_count"), "rare_rows")
 
 
 # -- identifiers ---------------------------------------------------------------
@@ -265,11 +298,9 @@ def identifier_anomalies(table: Table | DataFrame, types: Mapping | None = None)
     missing = frames.aggregate_columns(table.df, {
         c: {"rows": F.count(F.lit(1)), "missing_identifiers": stats.count_if(table.missing(c))} for c in names
     })
-    repeated = F.col("n") > 1
-    shared = category_counts(table, names).groupBy("column").agg(
-        stats.count_if(repeated).alias("duplicate_identifier_values"),
-        F.coalesce(F.sum(F.when(repeated, F.col("n"))), F.lit(0)).alias("duplicate_identifier_rows"),
-    )
+    shared = column_shapes(table, names).select(
+        "column", F.col("shared").alias("duplicate_identifier_values"),
+        F.col("shared_rows").alias("duplicate_identifier_rows"))
     return missing.join(F.broadcast(shared), "column", "left").select(  # one row per column
         "column",
         (F.col("rows") - F.col("missing_identifiers")).alias("values_checked"),
@@ -357,26 +388,32 @@ def low_variance(table: Table | DataFrame, row_key: Sequence[str] = ()) -> DataF
     """
     table = Table.of(table, None, row_key)
     spark = table.df.sparkSession
-    empty = [c for c in table.columns if table.valid_counts[c] == 0]
-    suspects = [
-        c for c in table.columns
-        if c not in empty and table.approx[c] <= NEAR_CONSTANT_DISTINCT_SHARE * table.valid_counts[c] + 2
-    ]
+    empty, suspects = low_variance_suspects(table)
     fields = "column string, type string, unique_values long, dominant_percentage double"
-    found = frames.local_rows(spark, [(c, "empty", 0, 0.0) for c in empty], fields)
+    found = frames.local_rows(table.df.sparkSession, [(c, "empty", 0, 0.0) for c in empty], fields)
     if not suspects:
         return found
-    shape = category_counts(table, suspects).groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique_values"), F.max("n").alias("top"), F.sum("n").alias("total")
-    )
-    constant = F.col("unique_values") == 1
-    share = stats.ratio(F.col("top"), F.col("total"))
-    return found.unionByName(shape.where(constant | (share >= NEAR_CONSTANT)).select(
-        "column", F.when(constant, "constant").otherwise("near_constant").alias("type"), "unique_values",
+    shapes = column_shapes(table, suspects)
+    return found.unionByName(shapes.where(variance_type().isNotNull()).select(
+        "column", variance_type().alias("type"), F.col("distinct").alias("unique_values"),
         F.round(stats.percent(F.col("top"), F.col("total")), 2).alias("dominant_percentage"),
     ))
 
 
+def low_variance_suspects(table: Table) -> tuple[list[str], list[str]]:
+    """Empty columns, and those with few enough values for one of them to dominate."""
+    empty = [c for c in table.columns if table.valid_counts[c] == 0]
+    return empty, [
+        c for c in table.columns
+        if c not in empty and table.approx[c] <= NEAR_CONSTANT_DISTINCT_SHARE * table.valid_counts[c] + 2
+    ]
+
+
+def variance_type() -> Column:
+    return F.when(F.col("distinct") == 1, "constant").when(
+        stats.ratio(F.col("top"), F.col("total")) >= NEAR_CONSTANT, "near_constant")
+
+
 # -- suspicious rows ---------------------------------------------------------------
 
 def row_evidence(table: Table) -> DataFrame:
@@ -399,16 +436,19 @@ def row_evidence(table: Table) -> DataFrame:
     parts = [table.df.select(*keys, reduce(lambda a, b: a + b, points).cast("long").alias("score"))
              .where(F.col("score") > 0)]
 
-    for names, counts, wanted in (
-        (table.kinds("Categorical", "Boolean"),
-         lambda n: _with_totals(category_counts(table, n)), is_rare(F.col("n"), F.col("total"))),
-        (table.kinds("Identifier"), lambda n: category_counts(table, n), F.col("n") > 1),
-    ):
-        if names:
-            cells = frames.long_values(table.df, {c: table.present(c) for c in names}, table.row_key)
-            cells = cells.where(F.col("value").isNotNull())
-            hits = frames.matching_rows(cells, counts(names), ["column", "value"], wanted, table.rows)
-            parts.append(hits.select(*keys, F.lit(1).cast("long").alias("score")))
+    categories, identifiers = table.kinds("Categorical", "Boolean"), table.kinds("Identifier")
+    names = categories + identifiers
+    if names:
+        # Rare values and shared identifiers are found and matched together.
+        n = F.col("n")
+        wanted = F.col("column").isin(identifiers) & (n > 1)
+        if categories:
+            rare = F.col("column").isin(categories) & is_rare(n, valid_count(table, names))
+            wanted = wanted | rare
+        cells = frames.long_values(table.df, {c: table.present(c) for c in names}, table.row_key)
+        cells = cells.where(F.col("value").isNotNull())
+        hits = frames.matching_rows(cells, category_counts(table, names), ["column", "value"], wanted, table.rows)
+        parts.append(hits.select(*keys, F.lit(1).cast("long").alias("score")))
 
     repeated = frames.matching_rows(
         table.df, row_counts(table.df, table.columns), table.columns, F.col("n") > 1, table.rows
@@ -435,24 +475,44 @@ def suspicious_rows(table: Table | DataFrame, types: Mapping | None = None,
 
 # -- reports -------------------------------------------------------------------------
 
-def column_summary(table: Table | DataFrame, types: Mapping | None = None) -> DataFrame:
-    """One row per column: issue tags and the count behind each."""
+def column_facts(table: Table | DataFrame, types: Mapping | None = None) -> DataFrame:
+    """Every per-column count behind the report: one narrow pass and one frequency table."""
     table = Table.of(table, types)
-    joined = missingness(table)
-    for other in (
-        numeric_outliers(table).select("column", "outliers", "extreme_outliers", "outlier_percentage"),
-        rare_category_summary(table).select("column", F.col("rare_category_count").alias("rare_categories")),
-        identifier_anomalies(table).select("column", "missing_identifiers", "duplicate_identifier_rows"),
-        datetime_anomalies(table).select("column", "invalid_dates"),
-        low_variance(table).select("column", F.col("type").alias("low_variance")),
-    ):
-        joined = joined.join(F.broadcast(other), "column", "left")  # one row per column
-    counts = ["outliers", "extreme_outliers", "rare_categories", "missing_identifiers",
-              "duplicate_identifier_rows", "invalid_dates"]
-    filled = joined.withColumns(
-        {c: F.coalesce(c, F.lit(0)) for c in counts}
-        | {"outlier_percentage": F.coalesce("outlier_percentage", F.lit(0.0))}
+    checked, dates_ = set(checked_numeric(table)), set(table.kinds("Datetime"))
+    none = F.lit(0).cast("long")
+    metrics = {}
+    for c in table.columns:
+        x, f = table.number(c), _fences(table.quartiles[c]) if c in checked else None
+        metrics[c] = {
+            "rows": F.count(F.lit(1)), "missing_values": stats.count_if(table.missing(c)),
+            "values_checked": F.count(x) if f else none,
+            "outliers": stats.count_if(_outside(x, f["lo"], f["hi"], f["iqr"])) if f else none,
+            "extreme_outliers": stats.count_if(_outside(x, f["xlo"], f["xhi"], f["iqr"])) if f else none,
+            "invalid_dates": stats.count_if(invalid_date(table, c)) if c in dates_ else none,
+        }
+    facts = frames.aggregate_columns(table.df, metrics)
+    categories, identifiers = table.kinds("Categorical", "Boolean"), table.kinds("Identifier")
+    empty, suspects = low_variance_suspects(table)
+    shapes = column_shapes(table, list(dict.fromkeys(categories + identifiers + suspects)))
+    name = F.col("column")
+    count_of = lambda kinds, n: F.when(name.isin(kinds), F.coalesce(n, F.lit(0))).otherwise(0)
+    return facts.join(F.broadcast(shapes), "column", "left").select(  # one row per column
+        "column", "rows", "missing_values",
+        F.round(stats.percent(F.col("missing_values"), F.col("rows")), 2).alias("missing_percentage"),
+        "values_checked", "outliers", "extreme_outliers",
+        F.round(stats.percent(F.col("outliers"), F.col("values_checked")), 2).alias("outlier_percentage"),
+        count_of(categories, F.col("rare")).alias("rare_categories"),
+        count_of(identifiers, F.col("missing_values")).alias("missing_identifiers"),
+        count_of(identifiers, F.col("shared")).alias("duplicate_identifier_values"),
+        count_of(identifiers, F.col("shared_rows")).alias("duplicate_identifier_rows"),
+        name.isin(identifiers).alias("is_identifier"),
+        "invalid_dates",
+        F.when(name.isin(empty), "empty").when(name.isin(suspects), variance_type()).alias("low_variance"),
     )
+
+
+def column_summary(facts: DataFrame) -> DataFrame:
+    """One row per column: issue tags and the count behind each."""
     tags = {
         "missing_values": "missing_values", "numeric_outliers": "outliers",
         "extreme_numeric_outliers": "extreme_outliers", "rare_categories": "rare_categories",
@@ -462,7 +522,7 @@ def column_summary(table: Table | DataFrame, types: Mapping | None = None) -> Da
     issues = F.array_compact(F.array(
         *[F.when(F.col(counter) > 0, F.lit(tag)) for tag, counter in tags.items()], F.col("low_variance")
     ))
-    return filled.select(
+    return facts.select(
         "column", issues.alias("issues"), F.size(issues).cast("long").alias("issue_count"),
         "missing_values", "missing_percentage", "outliers", "extreme_outliers", "outlier_percentage",
         "rare_categories", "missing_identifiers", "duplicate_identifier_rows", "invalid_dates", "low_variance",
@@ -527,20 +587,29 @@ class AnomalyReport:
         return frames.settle(numeric_outliers(self.table))
 
     @cached_property
-    def outlier_totals(self) -> DataFrame:
-        return frames.settle(outlier_totals(self.outliers))
+    def facts(self) -> DataFrame:
+        """The counts most sections are made of."""
+        return frames.settle(column_facts(self.table))
 
     @cached_property
+    def outlier_totals(self) -> DataFrame:
+        return frames.settle(outlier_totals(self.facts))
+
+    @property
     def identifiers(self) -> DataFrame:
-        return frames.settle(identifier_anomalies(self.table))
+        return self.facts.where("is_identifier").select(
+            "column", (F.col("rows") - F.col("missing_identifiers")).alias("values_checked"), "missing_identifiers",
+            "duplicate_identifier_values", "duplicate_identifier_rows")
 
     @cached_property
     def datetimes(self) -> DataFrame:
         return frames.settle(datetime_anomalies(self.table))
 
-    @cached_property
+    @property
     def missingness(self) -> DataFrame:
-        return frames.settle(missingness(self.table))
+        return self.facts.select(
+            "column", "rows", "missing_values", "missing_percentage",
+            missing_severity(F.col("missing_percentage"), F.col("missing_values")).alias("severity"))
 
     @cached_property
     def low_variance(self) -> DataFrame:
@@ -554,9 +623,9 @@ class AnomalyReport:
     def duplicates(self) -> DataFrame:
         return self.table.duplicate_summary
 
-    @cached_property
+    @property
     def columns(self) -> DataFrame:
-        return frames.settle(column_summary(self.table))
+        return column_summary(self.facts)
 
     @cached_property
     def issues(self) -> DataFrame:

@@ -6,8 +6,8 @@ Drawing is left to the caller; a chart is a spec row and a data frame.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from functools import cached_property, partial
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -34,18 +34,19 @@ SPEC_FIELDS = ("chart_type string, x string, y string, color string, family stri
                "score double, intent string")
 
 
-@dataclass
 class Chart:
-    """What to draw: ``spec`` names kind and axes, ``data`` holds the aggregated rows."""
+    """What to draw: kind and axes, and the aggregated rows, which are built when first asked for."""
 
-    chart_type: str
-    x: str | None
-    y: str | None
-    data: DataFrame
-    color: str | None = None
-    score: float = 0.0
-    signature: tuple = ()
-    metadata: dict = field(default_factory=dict)
+    def __init__(self, chart_type: str, x: str | None, y: str | None, data: DataFrame | Callable[[], DataFrame],
+                 color: str | None = None, score: float = 0.0, signature: tuple = (), intent: str | None = None,
+                 value: object = None):
+        self.chart_type, self.x, self.y, self.color = chart_type, x, y, color
+        self.score, self.signature, self.intent, self.value = score, signature, intent, value
+        self._data = data
+
+    @cached_property
+    def data(self) -> DataFrame:
+        return self._data() if callable(self._data) else self._data
 
 
 def label(col: Column) -> Column:
@@ -300,48 +301,48 @@ def chart_candidates(table: Table, order_key: Sequence[str] = ()) -> list[Chart]
     usable = usable_category_columns(table, categories)
     charts: list[Chart] = []
 
-    def add(kind: str, family: str, names: Sequence[str], data: DataFrame, x: str | None, y: str | None,
+    def add(kind: str, family: str, names: Sequence[str], data: Callable[[], DataFrame], x: str | None, y: str | None,
             bonus: float = 0.0, color: str | None = None, intent: str = "") -> None:
-        charts.append(Chart(kind, x, y, data, color, BASE_SCORES[family] + bonus, (family, *names), {"intent": intent}))
+        charts.append(Chart(kind, x, y, data, color, BASE_SCORES[family] + bonus, (family, *names), intent))
 
     for c, n in usable.items():
-        add("bar", "category_distribution", [c], category_frequency(df, c), c, "count",
+        add("bar", "category_distribution", [c], partial(category_frequency, df, c), c, "count",
             8 if n <= 8 else 0, intent="distribution")
     for c in numbers:
-        add("histogram", "numeric_distribution", [c], histogram(table, c), "bin", "frequency", intent="distribution")
+        add("histogram", "numeric_distribution", [c], partial(histogram, table, c), "bin", "frequency", intent="distribution")
     outliers = {r["column"]: r["outlier_count"] for r in _listed_outliers(table, numbers)}
     for c in numbers:
-        add("box", "numeric_box", [c], box_stats(table, c, keys), c, c,
+        add("box", "numeric_box", [c], partial(box_stats, table, c, keys), c, c,
             min(20.0, outliers.get(c, 0) / 5), intent="outlier")
 
     # Correlations here do not use EDA's column limit, only its batches.
     pairs = eda.correlation_pairs(table, columns=numbers).collect() if len(numbers) > 1 else []
     if len(numbers) > 1:
         best = max((abs(p["correlation"]) for p in pairs), default=0.0)
-        add("heatmap", "correlation_heatmap", [], heatmap(table, numbers), "x", "y",
+        add("heatmap", "correlation_heatmap", [], partial(heatmap, table, numbers), "x", "y",
             round(best, 4) * 15, intent="correlation")
     place = {c: i for i, c in enumerate(numbers)}
     pairs.sort(key=lambda p: (-abs(p["correlation"]), place[p["column_1"]], place[p["column_2"]]))
     for p in pairs[:3]:
         if abs(p["correlation"]) >= MIN_CORRELATION and keys:
             x, y = p["column_1"], p["column_2"]
-            add("scatter", "scatter", [x, y], scatter_sample(df, x, y, keys), x, y,
+            add("scatter", "scatter", [x, y], partial(scatter_sample, df, x, y, keys), x, y,
                 abs(p["correlation"]) * 25, intent="relationship")
 
     numerical = groups["Numerical"]
     for (c, x), variation in _mean_variations(table, list(usable), numerical).items():
         if variation is not None:
-            add("bar", "category_numeric", [c, x], category_numeric(table, c, x), c, "mean",
+            add("bar", "category_numeric", [c, x], partial(category_numeric, table, c, x), c, "mean",
                 min(15.0, variation * 15), intent="comparison")
     for c in usable:
         for x in numerical:
-            add("box", "grouped_box", [c, x], box_by_group(table, c, x), c, x, intent="group_distribution")
+            add("box", "grouped_box", [c, x], partial(box_by_group, table, c, x), c, x, intent="group_distribution")
     for a, b in combinations(usable, 2):
-        add("stacked_bar", "stacked_bar", [a, b], composition(df, a, b), a, "count", color=b, intent="composition")
+        add("stacked_bar", "stacked_bar", [a, b], partial(composition, df, a, b), a, "count", color=b, intent="composition")
     several = {r["column"] for r in _date_facts(table, groups["Datetime"]) if r["lo"] != r["hi"]}
     for d in groups["Datetime"]:
         for x in numerical if d in several else []:
-            add("line", "time_series", [d, x], time_series(table, d, x), d, x, intent="temporal")
+            add("line", "time_series", [d, x], partial(time_series, table, d, x), d, x, intent="temporal")
     return charts
 
 
@@ -349,10 +350,9 @@ def _listed_outliers(table: Table, numbers: Sequence[str]) -> list:
     """Outliers per column as the box chart lists them (100 at most)."""
     if not numbers:
         return []
-    quartiles = quantiles.column_quantiles(
-        table.df, {c: table.number(c) for c in numbers}, [0.25, 0.75], table.approx)
     metrics = {}
-    for c, (q1, q3) in quartiles.items():
+    for c in numbers:
+        q1, _, q3 = table.quartiles[c]
         x, low, high = table.number(c), q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         metrics[c] = {"outlier_count": F.least(
             F.lit(MAX_LISTED_OUTLIERS), stats.count_if((x < F.lit(low)) | (x > F.lit(high))))}
@@ -393,7 +393,7 @@ def _date_facts(table: Table, names: Sequence[str]) -> list:
 def spec_table(table: Table, charts: Sequence[Chart]) -> DataFrame:
     rows = [
         {"place": i, "chart_type": c.chart_type, "x": c.x, "y": c.y, "color": c.color, "family": c.signature[0],
-         "signature": "|".join(c.signature), "score": round(float(c.score), 3), "intent": c.metadata.get("intent")}
+         "signature": "|".join(c.signature), "score": round(float(c.score), 3), "intent": c.intent}
         for i, c in enumerate(charts)
     ]
     return frames.report(table.df.sparkSession, rows, f"place int, {SPEC_FIELDS}")
@@ -429,7 +429,7 @@ def result_chart(result: DataFrame, kind: str | None = None, x: str | None = Non
     if not head:
         return None
     if kind is None and len(head) == 1 and len(result.columns) == 1:
-        return Chart("kpi", result.columns[0], None, result, metadata={"intent": "summary", "value": head[0][0]})
+        return Chart("kpi", result.columns[0], None, result, intent="summary", value=head[0][0])
     df = chart_source(result, source, kind)
     groups = column_groups(df, types if df is source else None)
     numbers, moments = groups["Numerical"], groups["Datetime"]

@@ -212,15 +212,8 @@ def categorical_profile(table: Table | DataFrame, types: Mapping | None = None)
 
 def usable_numeric(table: Table, minimum: int = MIN_OBSERVATIONS) -> list[str]:
     """Numerical columns with enough finite values and more than one of them."""
-    names = table.kinds("Numerical")
-    if not names:
-        return []
-    got = frames.aggregate_columns(table.df, {
-        c: {"n": F.count(table.finite(c)), "lo": F.min(table.finite(c)), "hi": F.max(table.finite(c))}
-        for c in names
-    }).collect()
-    good = {r["column"] for r in got if r["n"] >= minimum and r["lo"] != r["hi"]}
-    return [c for c in names if c in good]
+    ranges = table.finite_ranges
+    return [c for c, (n, low, high) in ranges.items() if n >= minimum and low != high]
 
 
 def correlation_pairs(table: Table | DataFrame, types: Mapping | None = None,

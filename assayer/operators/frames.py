@@ -66,12 +66,12 @@ def settle(df: DataFrame) -> DataFrame:
     Only for results bounded by the number of columns (or column pairs), so that
     rules stacked on a report do not run its jobs again.
     """
-    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
+    return local_rows(df.sparkSession, df.collect(), df.schema)
 
 
-def local_rows(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+def local_rows(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.StructType) -> DataFrame:
     """Driver-side report rows as a local relation (through Arrow, no Python worker)."""
-    fields = T._parse_datatype_string(schema)
+    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     columns = list(zip(*rows)) if rows else [()] * len(fields)
     arrow = to_arrow_schema(fields)
     arrays = [

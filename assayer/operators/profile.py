@@ -30,13 +30,19 @@ PROFILE_SCHEMA = (
 class Profile:
     """Semantic schema of a table: one record per column, kept on the driver."""
 
-    def __init__(self, spark: SparkSession, rows: int, records: Sequence[dict]):
+    def __init__(self, spark: SparkSession, rows: int, records: Sequence[dict], counted_exactly: bool = True):
         self.spark, self.rows, self.records = spark, rows, list(records)
+        self.counted_exactly = counted_exactly
 
     @property
     def types(self) -> dict[str, str]:
         return {r["column"]: r["detected_type"] for r in self.records}
 
+    @property
+    def exact_unique(self) -> dict[str, int]:
+        """Distinct counts, if all of them were counted exactly."""
+        return {r["column"]: r["unique"] for r in self.records} if self.counted_exactly else {}
+
     @property
     def date_formats(self) -> dict[str, str | None]:
         return {r["column"]: r["date_format"] for r in self.records}
@@ -286,7 +292,7 @@ def schema_profile(df: DataFrame, row_key: Sequence[str] = (), exact_unique: boo
             "top_values": tops.get(c),
             **summaries.get(c, {}),
         })
-    return Profile(df.sparkSession, rows, records)
+    return Profile(df.sparkSession, rows, records, exact_unique)
 
 
 def stats_ratio(part: int, whole: int) -> float:

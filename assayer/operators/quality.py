@@ -15,13 +15,30 @@ from assayer.operators.profile import Profile
 SEVERITY_ORDER = ("high", "medium", "low")
 
 
-def completeness(table: Table | DataFrame, row_key: Sequence[str] = ()) -> DataFrame:
+def conformity(table: Table) -> DataFrame:
+    """One pass: missing, invalid and padded cells per column."""
+    kinds = F.create_map(*[F.lit(x) for c in table.columns for x in (c, table.types.get(c) or "")])
+    return frames.aggregate_columns(table.df, {
+        c: {
+            "rows": F.count(F.lit(1)), "missing_values": stats.count_if(table.missing(c)),
+            "invalid_values": stats.count_if(_invalid(table, c)),
+            "padded": stats.count_if(~table.missing(c) & (table.ref(c).cast("string") != text.trimmed(table.ref(c))))
+            if table.types.get(c) == "Text" else F.lit(0).cast("long"),
+        }
+        for c in table.columns
+    }).select(
+        "column", F.nullif(kinds[F.col("column")], F.lit("")).alias("semantic_type"), "rows", "missing_values",
+        (F.col("rows") - F.col("missing_values")).alias("checked_values"), "invalid_values", "padded",
+    )
+
+
+def completeness(table: Table | DataFrame, row_key: Sequence[str] = (), facts: DataFrame | None = None) -> DataFrame:
     """Per column: missing-like cells and a 0..100 score."""
-    missing = anomalies.missingness(Table.of(table, None, row_key))
+    facts = anomalies.missingness(Table.of(table, None, row_key)) if facts is None else facts
     share = stats.percent(F.col("missing_values"), F.col("rows"))
-    return missing.select(
-        "column", "rows", "missing_values", "missing_percentage", stats.score(100 - share).alias("score")
-    )
+    return facts.select(
+        "column", "rows", "missing_values", F.round(share, 2).alias("missing_percentage"),
+        stats.score(100 - share).alias("score"))
 
 
 def completeness_total(columns: DataFrame) -> DataFrame:
@@ -74,40 +91,26 @@ def _invalid(table: Table, name: str) -> Column:
     return present & (text.trimmed(table.ref(name)) == "")
 
 
-def validity(table: Table | DataFrame, types: Mapping | None = None) -> DataFrame:
+def validity(table: Table | DataFrame, types: Mapping | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Per column: present values that conform to the semantic type."""
-    table = Table.of(table, types)
-    counted = frames.aggregate_columns(table.df, {
-        c: {"checked_values": stats.count_if(~table.missing(c)), "invalid_values": stats.count_if(_invalid(table, c))}
-        for c in table.columns
-    })
-    kinds = F.create_map(*[F.lit(x) for c in table.columns for x in (c, table.types.get(c) or "")])
+    facts = conformity(Table.of(table, types)) if facts is None else facts
     share = stats.percent(F.col("checked_values") - F.col("invalid_values"), F.col("checked_values"))
-    return counted.select(
-        "column", F.nullif(kinds[F.col("column")], F.lit("")).alias("semantic_type"),
-        "checked_values", "invalid_values",
+    return facts.select(
+        "column", "semantic_type", "checked_values", "invalid_values",
         F.when(F.col("checked_values") == 0, 100.0).otherwise(stats.score(share)).alias("validity_score"),
     )
 
 
-def consistency(table: Table | DataFrame, types: Mapping | None = None) -> DataFrame:
+def consistency(table: Table | DataFrame, types: Mapping | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Per column: values written in more than one way, or text with outer whitespace.
 
     Categories are compared trimmed and lower-cased. Both groupings combine
     map-side and shuffle distinct values only.
     """
     table = Table.of(table, types)
-    categorical = table.kinds("Categorical", "Boolean")
-    base = frames.aggregate_columns(table.df, {
-        c: {
-            "checked_values": stats.count_if(~table.missing(c)),
-            "padded": stats.count_if(~table.missing(c) & (table.ref(c).cast("string") != text.trimmed(table.ref(c))))
-            if table.types.get(c) == "Text" else F.lit(0).cast("long"),
-        }
-        for c in table.columns
-    })
+    facts = conformity(table) if facts is None else facts
     spellings = (
-        anomalies.category_counts(table, categorical)
+        anomalies.category_counts(table, table.kinds("Categorical", "Boolean"))
         .groupBy("column", text.folded(F.col("value")).alias("folded"))
         .agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n"))
         .where(F.col("spellings") > 1)
@@ -115,7 +118,7 @@ def consistency(table: Table | DataFrame, types: Mapping | None = None) -> DataF
     )
     checked, bad = F.col("checked_values"), F.col("inconsistent_values")
     return (
-        base.join(F.broadcast(spellings), "column", "left")  # one row per column
+        facts.join(F.broadcast(spellings), "column", "left")  # one row per column
         .where(checked > 0)
         .select("column", "checked_values", (F.col("padded") + F.coalesce("mixed", F.lit(0))).alias("inconsistent_values"))
         .withColumn("consistency_score", stats.score(stats.percent(checked - bad, checked)))
@@ -233,8 +236,12 @@ class QualityReport:
         self.table, self.anomaly_report = table, anomaly_report
 
     @cached_property
+    def facts(self) -> DataFrame:
+        return frames.settle(conformity(self.table))
+
+    @property
     def completeness(self) -> DataFrame:
-        return frames.settle(completeness(self.table))
+        return completeness(self.table, facts=self.facts)
 
     @cached_property
     def identifiers(self) -> DataFrame:
@@ -248,13 +255,13 @@ class QualityReport:
             self.table.duplicate_summary, self.identifiers, rounded=self.anomaly_report is not None
         ))
 
-    @cached_property
+    @property
     def validity(self) -> DataFrame:
-        return frames.settle(validity(self.table))
+        return validity(self.table, facts=self.facts)
 
     @cached_property
     def consistency(self) -> DataFrame:
-        return frames.settle(consistency(self.table))
+        return frames.settle(consistency(self.table, facts=self.facts))
 
     @cached_property
     def anomaly_quality(self) -> DataFrame | None:
@@ -303,7 +310,7 @@ class QualityReport:
     @cached_property
     def columns(self) -> DataFrame:
         """One row per column with every column score."""
-        unique = frames.exact_distincts(self.table.df, {c: self.table.ref(c) for c in self.table.columns})
+        unique = self.table.unique_counts
         uniques = frames.report(self.table.df.sparkSession,
                                 [{"column": c, "unique_values": n} for c, n in unique.items()],
                                 "column string, unique_values long")

@@ -21,6 +21,8 @@ def session_builder(app: str = "assayer") -> SparkSession.Builder:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.codegen.maxFields", "400")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture costs a round trip per expression; wide reports build thousands.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
 
 

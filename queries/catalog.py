@@ -182,7 +182,7 @@ def suspicious_rows(spark, sf):
 
 @query
 def anomaly_column_summary(spark, sf):
-    found = anomalies.column_summary(dirty(spark, sf))
+    found = anomalies.column_summary(anomalies.column_facts(dirty(spark, sf)))
     return found.withColumn("issues", F.array_join("issues", ","))
 
 
@@ -245,7 +245,7 @@ def anomaly_quality(spark, sf):
 
 @query
 def column_anomaly_quality(spark, sf):
-    return quality.column_anomaly_score(anomalies.column_summary(dirty(spark, sf)))
+    return quality.column_anomaly_score(anomalies.column_summary(anomalies.column_facts(dirty(spark, sf))))
 
 
 @query

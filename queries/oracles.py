@@ -751,7 +751,7 @@ ORACLES["result_summary_metric"] = " UNION ALL ".join(
 ORACLES["result_summary_category"] = f"""{DIRTY} SELECT 'most_frequent' AS kind, (SELECT count(*) FROM d) AS "rows", 'priority' AS metric,
     label, value FROM (SELECT COALESCE(priority, 'Missing') AS label, count(*)::DOUBLE AS value FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"""
 _CONTEXT = f"""SELECT 'numerical' AS section, 'l_quantity' AS "column", 'count' AS metric, CAST(count(l_quantity) AS STRING) AS value FROM d
-""" + "".join(f" UNION ALL SELECT 'numerical', 'l_quantity', '{k}', printf('%.4f', round({f}(l_quantity), 6)) FROM d"
+""" + "".join(f" UNION ALL SELECT 'numerical', 'l_quantity', '{k}', printf('%.4f', round(round({f}(l_quantity), 6), 4)) FROM d"
               for k, f in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"), ("std", "stddev_samp"))) + """
 UNION ALL SELECT 'categorical', 'l_returnflag', 'unique_values', CAST(count(DISTINCT l_returnflag) AS STRING) FROM d
 UNION ALL SELECT 'categorical', 'l_returnflag', 'most_common', v FROM (SELECT l_returnflag AS v, count(*) AS n FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
