@@ -15,8 +15,8 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def score(value: Column) -> Column:
-    """Clamp to 0..100 and round to two digits."""
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), 2)
+    """Clamp to 0..100 and round to two digits; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), 2))
 
 
 def count_if(condition: Column) -> Column:
@@ -47,7 +47,8 @@ def pearson(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     px, py = F.when(both, x), F.when(both, y)
     r = F.try_divide(F.covar_samp(px, py), F.stddev_samp(px) * F.stddev_samp(py))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    # greatest and least skip NULL, which must stay NULL here.
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def correlation_strength(r: Column) -> Column:
@@ -82,4 +83,4 @@ def distribution_shape(skew: Column) -> Column:
 def right_closed_bin(value: Column, low: float, width: float, bins: int) -> Column:
     """Index of the equal-width bin ``(left, right]``; the lowest value belongs to bin 0."""
     raw = F.ceil((value - F.lit(low)) / F.lit(width)).cast("int") - 1
-    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), raw))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(bins - 1), raw)))

@@ -36,7 +36,7 @@ class Table:
         self.columns = frames.analysed_columns(df, row_key)
         self.types = {c: k for c, k in resolve_types(df, types).items() if c in self.columns}
         self.date_formats = types.date_formats if isinstance(types, Profile) else {}
-        self._known_unique = types.exact_unique if isinstance(types, Profile) else {}
+        self._known_unique = dict(types.exact_unique) if isinstance(types, Profile) else {}
         self._exprs: dict[tuple[str, str], Column] = {}
 
     @classmethod
@@ -75,8 +75,13 @@ class Table:
     @cached_property
     def unique_counts(self) -> dict[str, int]:
         """Exact distinct non-null values per column; taken over from a profile that counted them."""
-        known = {c: n for c, n in self._known_unique.items() if c in self.columns}
-        return known or frames.exact_distincts(self.df, {c: self.ref(c) for c in self.columns})
+        return self.distinct_counts(self.columns)
+
+    def distinct_counts(self, names: Sequence[str]) -> dict[str, int]:
+        """Exact distinct counts of some columns, each counted once."""
+        todo = [c for c in names if c not in self._known_unique]
+        self._known_unique |= frames.exact_distincts(self.df, {c: self.ref(c) for c in todo})
+        return {c: self._known_unique[c] for c in names}
 
     @cached_property
     def finite_ranges(self) -> dict[str, tuple]:
@@ -168,7 +173,7 @@ def numeric_outliers(table: Table | DataFrame, types: Mapping | None = None) ->
     values is left out.
     """
     table = Table.of(table, types)
-    metrics = {}
+    metrics, fences = {}, {}
     for c in table.quartiles:
         x, f = table.number(c), _fences(table.quartiles[c])
         q1, median, q3 = table.quartiles[c]
@@ -176,24 +181,23 @@ def numeric_outliers(table: Table | DataFrame, types: Mapping | None = None) ->
             "values_checked": F.count(x),
             "outliers": stats.count_if(_outside(x, f["lo"], f["hi"], f["iqr"])),
             "extreme_outliers": stats.count_if(_outside(x, f["xlo"], f["xhi"], f["iqr"])),
-            # Aggregates over a constant, so that the fences travel with the row.
-            "fences": F.first(F.struct(*[
-                F.round(F.lit(float(v)), 2).alias(k) for k, v in (
-                    ("q1", q1), ("median", median), ("q3", q3), ("iqr", f["iqr"]),
-                    ("lower_bound", f["lo"]), ("upper_bound", f["hi"]),
-                    ("extreme_lower_bound", f["xlo"]), ("extreme_upper_bound", f["xhi"]),
-                )
-            ])),
+        }
+        fences[c] = {
+            k: F.round(F.lit(float(v)), 2) for k, v in (
+                ("q1", q1), ("median", median), ("q3", q3), ("iqr", f["iqr"]),
+                ("lower_bound", f["lo"]), ("upper_bound", f["hi"]),
+                ("extreme_lower_bound", f["xlo"]), ("extreme_upper_bound", f["xhi"]),
+            )
         }
     if not metrics:
         return frames.local_rows(table.df.sparkSession, [], OUTLIER_FIELDS)
     return (
-        frames.aggregate_columns(table.df, metrics)
+        frames.aggregate_columns(table.df, metrics, constants=fences)
         .where(F.col("values_checked") >= MIN_NUMERIC_VALUES)
         .select(
             "column", "values_checked", "outliers", "extreme_outliers",
             F.round(stats.percent(F.col("outliers"), F.col("values_checked")), 2).alias("outlier_percentage"),
-            "fences.*",
+            "q1", "median", "q3", "iqr", "lower_bound", "upper_bound", "extreme_lower_bound", "extreme_upper_bound",
         )
     )
 
@@ -433,8 +437,9 @@ def row_evidence(table: Table) -> DataFrame:
         points.append(F.when(_outside(x, f["xlo"], f["xhi"], f["iqr"]), 1).otherwise(0))
     points += [F.when(table.missing(c), 2).otherwise(0) for c in table.kinds("Identifier")]
     points += [F.when(invalid_date(table, c), 2).otherwise(0) for c in table.kinds("Datetime")]
-    parts = [table.df.select(*keys, reduce(lambda a, b: a + b, points).cast("long").alias("score"))
-             .where(F.col("score") > 0)]
+    # Inlined from an array, so that the filter is not pushed below and the points computed twice.
+    total = F.struct(reduce(lambda a, b: a + b, points).cast("long").alias("score"))
+    parts = [table.df.select(*keys, F.inline(F.array(total))).where(F.col("score") > 0)]
 
     categories, identifiers = table.kinds("Categorical", "Boolean"), table.kinds("Identifier")
     names = categories + identifiers

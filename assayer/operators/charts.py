@@ -87,7 +87,7 @@ def column_groups(df: DataFrame, types: Mapping | Profile | None = None) -> dict
 def usable_category_columns(table: Table, names: Sequence[str]) -> dict[str, int]:
     """Columns with 2 to 15 distinct values, with their count."""
     few = [c for c in names if table.approx[c] <= MAX_CATEGORIES * 2]
-    exact = frames.exact_distincts(table.df, {c: table.ref(c) for c in few})
+    exact = table.distinct_counts(few)
     return {c: exact[c] for c in few if 2 <= exact[c] <= MAX_CATEGORIES}
 
 

@@ -90,15 +90,16 @@ def co_missing_pairs(table: Table | DataFrame) -> DataFrame:
         return _empty(table, "column_1 string, column_2 string, both_missing long, jaccard_similarity double")
     parts = []
     for at in range(0, len(pairs), PAIRS_PER_PASS):
+        batch = pairs[at:at + PAIRS_PER_PASS]
+        names = {str(i): {"column_1": F.lit(a), "column_2": F.lit(b)} for i, (a, b) in enumerate(batch)}
         metrics = {
             str(i): {
-                "column_1": F.first(F.lit(a)), "column_2": F.first(F.lit(b)),
                 "both_missing": stats.count_if(table.ref(a).isNull() & table.ref(b).isNull()),
                 "any_missing": stats.count_if(table.ref(a).isNull() | table.ref(b).isNull()),
             }
-            for i, (a, b) in enumerate(pairs[at:at + PAIRS_PER_PASS])
+            for i, (a, b) in enumerate(batch)
         }
-        parts.append(frames.aggregate_columns(table.df, metrics, key="pair"))
+        parts.append(frames.aggregate_columns(table.df, metrics, "pair", names))
     share = stats.ratio(F.col("both_missing"), F.col("any_missing"))
     return (
         frames.union_all(parts)
@@ -127,29 +128,28 @@ def numeric_profile(table: Table | DataFrame, types: Mapping | None = None) -> D
     # Exact distinct counts in their own job: mixing them into the wide
     # aggregate would drag every buffer through the distinct shuffle.
     uniques = frames.exact_distincts(table.df, {c: table.finite(c) for c in names})
-    metrics = {}
+    metrics, known = {}, {}
     for c in names:
         x = table.finite(c)
         q1, median, q3 = quartiles.get(c, (None, None, None))
         low = high = None
         if q1 is not None:
             low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        number = lambda v: F.first(F.lit(v).cast("double"))
+        known[c] = {
+            k: F.lit(v).cast("double") for k, v in (
+                ("median", median), ("q1", q1), ("q3", q3), ("lower_bound", low), ("upper_bound", high))
+        } | {"unique_values": F.lit(uniques[c]).cast("long")}
         metrics[c] = {
-            "rows": F.count(F.lit(1)), "count": F.count(x),
-            "unique_values": F.first(F.lit(uniques[c]).cast("long")),
-            "mean": F.avg(x), "median": number(median), "min": F.min(x), "max": F.max(x),
+            "rows": F.count(F.lit(1)), "count": F.count(x), "mean": F.avg(x), "min": F.min(x), "max": F.max(x),
             "std": F.when(F.count(x) > 1, F.stddev_samp(x)),
             "variance": F.when(F.count(x) > 1, F.var_samp(x)),
-            "q1": number(q1), "q3": number(q3),
             "skewness": stats.adjusted_skew(x), "kurtosis": stats.adjusted_kurtosis(x),
             "zero_count": stats.count_if(x == 0), "negative_count": stats.count_if(x < 0),
             "positive_count": stats.count_if(x > 0),
-            "lower_bound": number(low), "upper_bound": number(high),
             "outlier_count": stats.count_if((x < F.lit(low)) | (x > F.lit(high))) if q1 is not None
             else F.lit(0).cast("long"),
         }
-    p = frames.aggregate_columns(table.df, metrics)
+    p = frames.aggregate_columns(table.df, metrics, constants=known)
     c = F.col
     enough = c("count") >= 4
     share = lambda part: r6(F.try_divide(c(part) * 100.0, c("count").cast("double")))
@@ -192,7 +192,7 @@ def categorical_profile(table: Table | DataFrame, types: Mapping | None = None)
         F.max("n").alias("most_common_count"), F.sum(n * F.log2(n)).alias("nlogn"),
     )
     rows = frames.aggregate_columns(table.df, {c: {"rows": F.count(F.lit(1))} for c in names})
-    entropy = F.greatest(F.lit(0.0), F.log2(total) - F.col("nlogn") / total)
+    entropy = F.when(total > 0, F.greatest(F.lit(0.0), F.log2(total) - F.col("nlogn") / total))
     return rows.join(F.broadcast(shapes), "column", "left").select(  # one row per column
         "column", F.coalesce("count", F.lit(0)).alias("count"),
         (F.col("rows") - F.coalesce("count", F.lit(0))).alias("missing_count"),
@@ -204,7 +204,7 @@ def categorical_profile(table: Table | DataFrame, types: Mapping | None = None)
         "most_common", F.coalesce("most_common_count", F.lit(0)).alias("most_common_count"),
         r6(stats.percent(F.col("most_common_count"), total)).alias("dominance_percentage"),
         r6(entropy).alias("entropy"),
-        r6(F.when(unique <= 1, 0.0).otherwise(F.try_divide(entropy, F.log2(unique)))).alias("normalized_entropy"),
+        r6(F.when(F.coalesce(unique, F.lit(0)) <= 1, 0.0).otherwise(F.try_divide(entropy, F.log2(unique)))).alias("normalized_entropy"),
     )
 
 
@@ -231,15 +231,15 @@ def correlation_pairs(table: Table | DataFrame, types: Mapping | None = None,
     numbers = table.df.select(*[table.finite(c).alias(f"x{i}") for i, c in enumerate(names)])
     parts = []
     for at in range(0, len(pairs), PAIRS_PER_PASS):
-        metrics = {}
-        for a, b in pairs[at:at + PAIRS_PER_PASS]:
+        metrics, labels = {}, {}
+        for i, (a, b) in enumerate(pairs[at:at + PAIRS_PER_PASS]):
             x, y = F.col(f"x{names.index(a)}"), F.col(f"x{names.index(b)}")
-            metrics[f"{names.index(a)},{names.index(b)}"] = {
-                "column_1": F.first(F.lit(a)), "column_2": F.first(F.lit(b)),
+            labels[str(i)] = {"column_1": F.lit(a), "column_2": F.lit(b)}
+            metrics[str(i)] = {
                 "correlation": stats.pearson(x, y),
                 "observations": stats.count_if(x.isNotNull() & y.isNotNull()),
             }
-        parts.append(frames.aggregate_columns(numbers, metrics, key="pair"))
+        parts.append(frames.aggregate_columns(numbers, metrics, "pair", labels))
     return frames.union_all(parts).where(
         (F.col("observations") >= MIN_OBSERVATIONS) & F.col("correlation").isNotNull()
     ).select("column_1", "column_2", "correlation", "observations")
@@ -280,40 +280,57 @@ def usable_categories(table: Table, lowest: int = MIN_GROUPS, highest: int = MAX
     Columns that are far above it by the approximate count are not counted exactly.
     """
     names = [c for c in table.kinds("Categorical", "Boolean") if table.approx[c] <= highest * 2]
-    exact = frames.exact_distincts(table.df, {c: table.ref(c) for c in names})
+    exact = table.distinct_counts(names)
     return [c for c in names if lowest <= exact[c] <= highest]
 
 
-def category_numeric_groups(table: Table | DataFrame, types: Mapping | None = None) -> DataFrame:
-    """Statistics of every numeric column within every category (groups of two rows and more).
+GROUP_KEYS = ("categorical_column", "category")
+
+
+def _by_category(table: Table, categories: Sequence[str], numbers: Sequence[str]) -> DataFrame:
+    """Rows once per category column, with the numeric columns side by side as x0, x1, ..."""
+    cells = [F.struct(F.lit(c).alias("categorical_column"), table.ref(c).cast("string").alias("category"))
+             for c in categories]
+    return table.df.select(
+        *[table.finite(c).alias(f"x{i}") for i, c in enumerate(numbers)], F.inline(F.array(*cells))
+    ).where(F.col("category").isNotNull())
+
+
+def category_numeric_moments(table: Table | DataFrame, types: Mapping | None = None) -> DataFrame:
+    """Count, mean, deviation and range of every numeric column within every category.
 
-    Each row is repeated once per category column, not per pair: the numeric
-    columns are aggregated side by side.
+    Groups of two rows and more, of columns with 2 to 30 categories. Map-side
+    combined, so a category of any size is one row per task.
     """
     table = Table.of(table, types)
     categories, numbers = usable_categories(table), table.kinds("Numerical")
-    fields = ("categorical_column string, category string, numerical_column string, count long, "
-              "mean double, median double, std double, min double, max double")
     if not categories or not numbers:
-        return _empty(table, fields)
-    cells = [F.struct(F.lit(c).alias("categorical_column"), table.ref(c).cast("string").alias("category"))
-             for c in categories]
+        return _empty(table, "categorical_column string, category string, numerical_column string, item string, "
+                             "count long, mean double, std double, min double, max double")
     values = [f"x{i}" for i in range(len(numbers))]
-    long = table.df.select(
-        *[table.finite(c).alias(v) for c, v in zip(numbers, values)], F.inline(F.array(*cells))
-    ).where(F.col("category").isNotNull())
-    keys = ["categorical_column", "category"]
-    wide = long.groupBy(*keys).agg(*[
+    wide = _by_category(table, categories, numbers).groupBy(*GROUP_KEYS).agg(*[
         F.struct(
             F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
             F.min(v).alias("min"), F.max(v).alias("max"),
         ).alias(v) for v in values
     ])
-    items = [F.struct(F.lit(c).alias("numerical_column"), F.lit(v).alias("item"), F.col(v).alias("s")) for c, v in zip(numbers, values)]
-    stats_rows = wide.select(*keys, F.inline(F.array(*items))).select(*keys, "numerical_column", "item", "s.*")
-    medians = quantiles.grouped_quantiles(long, keys, values, [0.5])
-    return stats_rows.where(F.col("count") >= MIN_GROUP).join(medians, [*keys, "item"]).select(
-        *keys, "numerical_column", "count", "mean", F.col("quantiles")[0].alias("median"), "std", "min", "max"
+    items = [F.struct(F.lit(c).alias("numerical_column"), F.lit(v).alias("item"), F.col(v).alias("s"))
+             for c, v in zip(numbers, values)]
+    rows = wide.select(*GROUP_KEYS, F.inline(F.array(*items)))
+    return rows.select(*GROUP_KEYS, "numerical_column", "item", "s.*").where(F.col("count") >= MIN_GROUP)
+
+
+def category_numeric_groups(table: Table | DataFrame, types: Mapping | None = None) -> DataFrame:
+    """The same with the exact median of every group."""
+    table = Table.of(table, types)
+    moments = category_numeric_moments(table)
+    categories, numbers = usable_categories(table), table.kinds("Numerical")
+    if not categories or not numbers:
+        return moments.withColumn("median", F.lit(None).cast("double")).drop("item")
+    medians = quantiles.grouped_quantiles(
+        _by_category(table, categories, numbers), GROUP_KEYS, [f"x{i}" for i in range(len(numbers))], [0.5])
+    return moments.join(medians, [*GROUP_KEYS, "item"]).select(
+        *GROUP_KEYS, "numerical_column", "count", "mean", F.col("quantiles")[0].alias("median"), "std", "min", "max"
     )
 
 
@@ -403,10 +420,9 @@ def datetime_profile(table: Table | DataFrame, types: Mapping | None = None) ->
     uniques = frames.exact_distincts(table.df, {c: table.date(c) for c in names})
     got = frames.aggregate_columns(table.df, {
         c: {"rows": F.count(F.lit(1)), "valid_dates": F.count(table.date(c)),
-            "lo": F.min(table.date(c)), "hi": F.max(table.date(c)),
-            "unique_dates": F.first(F.lit(uniques[c]).cast("long"))}
+            "lo": F.min(table.date(c)), "hi": F.max(table.date(c))}
         for c in names
-    }).where(F.col("valid_dates") > 0)
+    }, constants={c: {"unique_dates": F.lit(uniques[c]).cast("long")} for c in names}).where(F.col("valid_dates") > 0)
     return got.select(
         "column", "valid_dates", (F.col("rows") - F.col("valid_dates")).alias("missing_dates"),
         r6(stats.percent(F.col("rows") - F.col("valid_dates"), F.col("rows"))).alias("missing_percentage"),
@@ -604,7 +620,7 @@ class EdaReport:
 
     @cached_property
     def effects(self) -> DataFrame:
-        return frames.settle(category_numeric_effects(self.category_groups))
+        return frames.settle(category_numeric_effects(category_numeric_moments(self.table)))
 
     @cached_property
     def associations(self) -> DataFrame:

@@ -60,10 +60,9 @@ def statistical_findings(table: Table | DataFrame, quality_score: float | None =
         medians = quantiles.column_quantiles(df, {n: table.number(n) for n in shown}, [0.5], table.approx)
         summary = frames.settle(frames.aggregate_columns(df, {
             n: {"n": F.count(table.number(n)), "mean": F.avg(table.number(n)), "min": F.min(table.number(n)),
-                "max": F.max(table.number(n)), "skew": stats.adjusted_skew(table.number(n)),
-                "median": F.first(F.lit((medians[n] or [None])[0]).cast("double"))}
+                "max": F.max(table.number(n)), "skew": stats.adjusted_skew(table.number(n))}
             for n in shown
-        }).where(c("n") > 0))
+        }, constants={n: {"median": F.lit((medians[n] or [None])[0]).cast("double")} for n in shown}).where(c("n") > 0))
         parts.append(_finding(summary, "numeric_summary", "info", F.round("mean", 4),
                               say("%s: %.2f to %.2f, mean %.2f, median %.2f", "column", "min", "max", "mean", "median"),
                               "column"))

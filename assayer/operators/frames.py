@@ -43,16 +43,18 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     }) if floats else df
 
 
-def aggregate_columns(df: DataFrame, metrics: Mapping[str, Mapping[str, Column]],
-                      key: str = "column") -> DataFrame:
+def aggregate_columns(df: DataFrame, metrics: Mapping[str, Mapping[str, Column]], key: str = "column",
+                      constants: Mapping[str, Mapping[str, Column]] | None = None) -> DataFrame:
     """Aggregate many columns in one pass and return one row per column.
 
     ``metrics`` maps a column name to ``{metric: aggregate expression}``; every
-    column must name the same metrics.
+    column must name the same metrics. ``constants`` adds fields that need no
+    aggregation.
     """
     wide, rows = [], []
     for i, (name, exprs) in enumerate(metrics.items()):
         fields = [F.lit(name).alias(key)]
+        fields += [value.alias(field) for field, value in (constants or {}).get(name, {}).items()]
         for metric, expr in exprs.items():
             wide.append(expr.alias(f"c{i}_{metric}"))
             fields.append(F.col(f"c{i}_{metric}").alias(metric))
@@ -122,24 +124,27 @@ def matching_rows(rows: DataFrame, counts: DataFrame, keys: Sequence[str], wante
     """Rows of the groups in ``counts`` for which ``wanted`` holds.
 
     ``counts`` has one row per group with its size ``n``; ``total`` is the number
-    of rows counted. Hot groups, of which there are few by definition, are
-    matched against a broadcast and taken out before the shuffle; so no group
-    that is shuffled can fill a partition. Keys compare null-safe.
+    of rows counted. The groups that matter are staged once, so the join knows
+    their true size and shuffles the rows only if they are too many to
+    broadcast. Hot groups, of which there are few by definition, are matched
+    against a broadcast and taken out before that shuffle, so no group can fill
+    a partition. Keys compare null-safe.
     """
     is_hot = F.col("n") * HOT_SHARE > F.lit(total)
-    hot = counts.where(is_hot)
-    rare = counts.where(~is_hot & wanted)
+    marked = stage(counts.where(is_hot | wanted).select(*keys, is_hot.alias("__hot"), wanted.alias("__wanted")))
 
     def on(other: DataFrame) -> Column:
         return reduce(lambda a, b: a & b, [rows[k].eqNullSafe(other[k]) for k in keys])
 
-    from_hot = hot.where(wanted).select(*keys)
-    hot_keys = hot.select(*keys)
-    return rows.join(F.broadcast(from_hot), on(from_hot), "left_semi").unionByName(
-        rows.join(F.broadcast(hot_keys), on(hot_keys), "left_anti").join(
-            rare.select(*keys), on(rare), "left_semi"
-        )
-    )
+    hot = marked.where("__hot").select(*keys)
+    rare = marked.where("NOT __hot AND __wanted").select(*keys)
+    if hot.isEmpty():
+        return rows.join(rare, on(rare), "left_semi")
+    hot_wanted = marked.where("__hot AND __wanted").select(*keys)
+    cool = rows.join(F.broadcast(hot), on(hot), "left_anti").join(rare, on(rare), "left_semi")
+    if hot_wanted.isEmpty():
+        return cool
+    return rows.join(F.broadcast(hot_wanted), on(hot_wanted), "left_semi").unionByName(cool)
 
 
 _local_stage: list[tempfile.TemporaryDirectory] = []

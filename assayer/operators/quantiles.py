@@ -1,9 +1,9 @@
 """Exact linear-interpolation quantiles that also hold at scale.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. That
-is the fast way while the number of distinct values is small, and it is used
-only behind a check of it. Beyond the limit the wanted order statistics are found by
-narrowing: each round counts the values of the current bracket in equal-width
+Spark's ``percentile`` keeps every distinct value of a group in one buffer, so it
+is used only behind a check of their number. Beyond it, a sketch proposes a
+bracket around each wanted rank and exact counts confirm it. Where that fails,
+the order statistics are found by narrowing: each round counts the values of the current bracket in equal-width
 bins (a bounded, map-side combined aggregate), keeps the bin that holds the
 wanted rank together with its true minimum and maximum, and stops when both are
 the same value. The result is exact either way.
@@ -18,8 +18,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.operators import frames
 
-# Distinct values one exact percentile buffer may hold.
+# Up to this many distinct values the built-in exact percentile is the quickest way.
+SMALL_DISTINCT = 10_000
+# Distinct values one exact percentile buffer may hold at most.
 BUFFER_LIMIT = 1_000_000
+# Accuracy of the sketch that proposes brackets: rank error 1 / accuracy.
+SKETCH_ACCURACY = 10_000
 # Bins per bracket and round when narrowing.
 NARROWING_BINS = 1024
 
@@ -36,14 +40,19 @@ def _ranks(n: int, prob: float) -> tuple[int, int, float]:
 
 def column_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float],
                      distincts: Mapping[str, int] | None = None) -> dict[str, list[float] | None]:
-    """Quantiles of several columns of a table; None for a column without values."""
+    """Quantiles of several columns of a table; None for a column without values.
+
+    Columns with few distinct values take one exact ``percentile`` job. The
+    others take a sketch for a bracket around each rank, then exact counts that
+    prove the bracket right; what a bracket cannot settle is narrowed.
+    """
     if not values:
         return {}
     if distincts is None:
         got = df.agg(*[F.approx_count_distinct(v).alias(f"d{i}")
                        for i, v in enumerate(values.values())]).first()
         distincts = {c: got[i] for i, c in enumerate(values)}
-    small = [c for c in values if distincts[c] <= BUFFER_LIMIT]
+    small = [c for c in values if distincts[c] <= SMALL_DISTINCT]
     large = {c: v for c, v in values.items() if c not in small}
     found: dict[str, list[float] | None] = {}
     if small:
@@ -51,10 +60,69 @@ def column_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequenc
                        for i, c in enumerate(small)]).first()
         found |= {c: got[i] for i, c in enumerate(small)}
     if large:
-        pairs = [F.struct(F.lit(c).alias("item"), v.cast("double").alias("x")) for c, v in large.items()]
+        found |= _bracketed_quantiles(df, large, probs)
+    unsettled = [c for c in values if c not in found]
+    if unsettled:
+        pairs = [F.struct(F.lit(c).alias("item"), values[c].cast("double").alias("x")) for c in unsettled]
         long = df.select(F.inline(F.array(*pairs))).where(F.col("x").isNotNull())
         narrowed = narrow_quantiles(long, ["item"], "x", probs)
-        found |= {c: narrowed.get((c,)) for c in large}
+        found |= {c: narrowed.get((c,)) for c in unsettled}
+    return found
+
+
+def _bracketed_quantiles(df: DataFrame, values: Mapping[str, Column],
+                         probs: Sequence[float]) -> dict[str, list[float] | None]:
+    """Three narrow passes: sketch the brackets, count them, read the ranks inside them.
+
+    A column is left out when a count disproves one of its brackets or a bracket
+    holds too many distinct values.
+    """
+    names = list(values)
+    rows = df.select(*[v.cast("double").alias(f"x{i}") for i, v in enumerate(values.values())])
+    margin = 2.0 / SKETCH_ACCURACY
+    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
+    sketch = rows.agg(*[e for i in range(len(names)) for e in (
+        F.count(f"x{i}").alias(f"n{i}"),
+        F.percentile_approx(f"x{i}", ends, SKETCH_ACCURACY).alias(f"e{i}"))]).first()
+    brackets = {  # (column number, prob number) -> bracket
+        (i, j): (sketch[f"e{i}"][2 * j], sketch[f"e{i}"][2 * j + 1])
+        for i in range(len(names)) if sketch[f"n{i}"] for j in range(len(probs))
+    }
+    found: dict[str, list[float] | None] = {n: None for i, n in enumerate(names) if not sketch[f"n{i}"]}
+    if not brackets:
+        return found
+    counts = []
+    for (i, j), (low, high) in brackets.items():
+        x = F.col(f"x{i}")
+        inside = x.between(F.lit(low), F.lit(high))
+        counts += [F.count_if(x < F.lit(low)).alias(f"b{i}_{j}"), F.count_if(inside).alias(f"i{i}_{j}"),
+                   F.approx_count_distinct(F.when(inside, x)).alias(f"d{i}_{j}")]
+    counted = rows.agg(*counts).first()
+    proven: dict[tuple[int, int], list[float]] = {}
+    failed = set()
+    for (i, j) in brackets:
+        low, high, _ = _ranks(sketch[f"n{i}"], probs[j])
+        below, inside = counted[f"b{i}_{j}"], counted[f"i{i}_{j}"]
+        if below <= low and high < below + inside and counted[f"d{i}_{j}"] <= BUFFER_LIMIT:
+            proven[i, j] = [(r - below + 0.5) / inside for r in (low, high)]
+        else:
+            failed.add(i)
+    good = {k: f for k, f in proven.items() if k[0] not in failed}
+    if not good:
+        return found
+    inner = rows.select(*[
+        F.when(F.col(f"x{i}").between(*map(F.lit, brackets[i, j])), F.col(f"x{i}")).alias(f"y{i}_{j}") for i, j in good
+    ])
+    # percentile_disc at (rank + 1/2) / count is the value of that rank, without interpolation.
+    ranks = inner.agg(*[
+        F.expr(f"percentile_disc(array({', '.join(repr(f) + 'D' for f in fractions)})) WITHIN GROUP (ORDER BY y{i}_{j})")
+        .alias(f"r{i}_{j}") for (i, j), fractions in good.items()
+    ]).first()
+    for i, name in enumerate(names):
+        if (i, 0) in good:
+            found[name] = [
+                interpolate(*ranks[f"r{i}_{j}"], _ranks(sketch[f"n{i}"], p)[2]) for j, p in enumerate(probs)
+            ]
     return found
 
 

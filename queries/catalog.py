@@ -451,7 +451,7 @@ def category_numeric_groups(spark, sf):
 
 @query
 def category_numeric_effect(spark, sf):
-    found = eda.category_numeric_effects(eda.category_numeric_groups(facts(spark, sf)))
+    found = eda.category_numeric_effects(eda.category_numeric_moments(facts(spark, sf)))
     return rounded(found.where(F.col("effect_size") >= 0.01))
 
 
