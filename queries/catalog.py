@@ -421,12 +421,12 @@ def facts(spark, sf) -> Table:
 
 @query
 def correlations(spark, sf):
-    return rounded(eda.ranked_correlations(eda.correlation_pairs(facts(spark, sf))))
+    return eda.ranked_correlations(eda.correlation_pairs(facts(spark, sf)))
 
 
 @query
 def strongest_correlations(spark, sf):
-    return rounded(eda.strongest_correlations(eda.correlation_pairs(facts(spark, sf))))
+    return eda.strongest_correlations(eda.correlation_pairs(facts(spark, sf)))
 
 
 @query
@@ -452,7 +452,7 @@ def category_numeric_groups(spark, sf):
 @query
 def category_numeric_effect(spark, sf):
     found = eda.category_numeric_effects(eda.category_numeric_moments(facts(spark, sf)))
-    return rounded(found.where(F.col("effect_size") >= 0.01))
+    return found.where(F.col("effect_size") >= 0.01)
 
 
 @query
@@ -462,7 +462,7 @@ def crosstabs(spark, sf):
 
 @query
 def cramers_v(spark, sf):
-    return rounded(eda.cramers_v(eda.crosstabs(facts(spark, sf))))
+    return eda.cramers_v(eda.crosstabs(facts(spark, sf)))
 
 
 @query
@@ -482,7 +482,7 @@ def time_trend_events(spark, sf):
 
 @query
 def important_relationships(spark, sf):
-    return rounded(eda.EdaReport(facts(spark, sf)).important_relationships)
+    return eda.EdaReport(facts(spark, sf)).important_relationships
 
 
 @query

@@ -597,7 +597,7 @@ _CORR = "r AS (" + " UNION ALL ".join(
     for a, b in _PAIRS) + ")"
 _STRENGTH = lambda c: f"""CASE WHEN abs({c}) >= 0.8 THEN 'very strong' WHEN abs({c}) >= 0.6 THEN 'strong' WHEN abs({c}) >= 0.4 THEN 'moderate'
     WHEN abs({c}) >= 0.2 THEN 'weak' ELSE 'very weak' END"""
-_RANKED = f"""SELECT column_1, column_2, round(c, 4) AS correlation, round(abs(c), 4) AS absolute_correlation, {_STRENGTH('round(c, 6)')} AS strength,
+_RANKED = f"""SELECT column_1, column_2, round(c, 6) AS correlation, round(abs(c), 6) AS absolute_correlation, {_STRENGTH('round(c, 6)')} AS strength,
     CASE WHEN round(c, 6) > 0 THEN 'positive' WHEN round(c, 6) < 0 THEN 'negative' ELSE 'none' END AS direction, n AS observations FROM r"""
 ORACLES["correlations"] = f"{FACTS}, {_CORR} {_RANKED}"
 ORACLES["strongest_correlations"] = f"{FACTS}, {_CORR} {_RANKED} WHERE abs(c) >= 0.4"
@@ -617,8 +617,8 @@ _EFFECTS = f"""{_GROUPED}, mu AS (SELECT cat, num, sum(n * mean) / sum(n) AS mu
 eff AS (SELECT g.cat, g.num, sum(n * (mean - mu) ** 2) / (sum(n * (mean - mu) ** 2) + sum((n - 1) * sd ** 2)) AS e,
     arg_max(category, mean) AS hi, arg_min(category, mean) AS lo, max(mean) - min(mean) AS diff
     FROM g JOIN mu ON g.cat = mu.cat AND g.num = mu.num GROUP BY ALL)"""
-ORACLES["category_numeric_effect"] = f"""{FACTS}, {_EFFECTS} SELECT cat AS categorical_column, num AS numerical_column, round(e, 4) AS effect_size,
-    hi AS highest_mean_group, lo AS lowest_mean_group, round(diff, 4) AS mean_difference FROM eff WHERE e >= 0.01"""
+ORACLES["category_numeric_effect"] = f"""{FACTS}, {_EFFECTS} SELECT cat AS categorical_column, num AS numerical_column, round(e, 6) AS effect_size,
+    hi AS highest_mean_group, lo AS lowest_mean_group, round(diff, 6) AS mean_difference FROM eff WHERE round(e, 6) >= 0.01"""
 _CAT_PAIRS = [(a, b) for i, a in enumerate(FACT_CATEGORIES) for b in FACT_CATEGORIES[i + 1:]]
 _CELLS = "x AS (" + " UNION ALL ".join(
     f"SELECT '{a}' AS column_1, '{b}' AS column_2, {a} AS value_1, {b} AS value_2, count(*) AS n FROM d GROUP BY {a}, {b}"
@@ -632,7 +632,7 @@ v AS (SELECT a.column_1, a.column_2, sqrt(sum((COALESCE(x.n, 0) - r * c / t) **
     FROM a JOIN b ON a.column_1 = b.column_1 AND a.column_2 = b.column_2 JOIN t ON a.column_1 = t.column_1 AND a.column_2 = t.column_2
     LEFT JOIN x ON x.column_1 = a.column_1 AND x.column_2 = a.column_2 AND x.value_1 = a.value_1 AND x.value_2 = b.value_2
     GROUP BY ALL)"""
-ORACLES["cramers_v"] = f"""{FACTS}, {_CRAMER} SELECT column_1, column_2, round(v, 4) AS cramers_v,
+ORACLES["cramers_v"] = f"""{FACTS}, {_CRAMER} SELECT column_1, column_2, round(v, 6) AS cramers_v,
     CASE WHEN round(v, 6) >= 0.5 THEN 'strong' WHEN round(v, 6) >= 0.3 THEN 'moderate' ELSE 'weak' END AS strength FROM v"""
 ORACLES["datetime_profile"] = f"""{DIRTY} SELECT 'order_date' AS "column", v AS valid_dates, t - v AS missing_dates,
     round(100.0 * (t - v) / t, 6) AS missing_percentage, u AS unique_dates, {iso('lo')} AS earliest, {iso('hi')} AS latest,
@@ -659,7 +659,7 @@ _RELATIONS = f"""{_CORR}, {_EFFECTS}, {_CRAMER}, {_FACT_TRENDS}, rel AS (
     UNION ALL SELECT 'category_numeric', cat, num, e FROM eff WHERE e >= 0.1
     UNION ALL SELECT 'categorical_association', column_1, column_2, v FROM v WHERE v >= 0.2
     UNION ALL SELECT 'time_trend', dc, nc, abs(r) FROM tr WHERE abs(r) >= 0.3)"""
-ORACLES["important_relationships"] = f"""{FACTS}, {_RELATIONS} SELECT type, column_1, column_2, round(score, 4) AS score FROM rel
+ORACLES["important_relationships"] = f"""{FACTS}, {_RELATIONS} SELECT type, column_1, column_2, round(score, 6) AS score FROM rel
     ORDER BY score DESC LIMIT 25"""
 ORACLES["eda_flags"] = f"""{DIRTY}, {_DUPS}, {_outliers(_DIRTY_NUMBERS, 'd', number)},
 nul AS ({each(DIRTY_COLUMNS, lambda c: f"SELECT '{c}' AS col, 100.0 * (count(*) - count({c})) / count(*) AS p FROM d")}),
