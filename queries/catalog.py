@@ -472,12 +472,12 @@ def datetime_profile(spark, sf):
 
 @query
 def time_trend(spark, sf):
-    return rounded(eda.time_trends(facts(spark, sf)), 3)
+    return eda.time_trends(facts(spark, sf))
 
 
 @query
 def time_trend_events(spark, sf):
-    return rounded(eda.time_trends(table(spark, sf, "events"), {"ts": "Datetime", "value": "Numerical"}), 3)
+    return eda.time_trends(table(spark, sf, "events"), {"ts": "Datetime", "value": "Numerical"})
 
 
 @query

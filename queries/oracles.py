@@ -647,10 +647,10 @@ def _trends(numbers, source: str, ts: str, digits: int) -> str:
     return f"tr AS (SELECT * FROM ({parts}) WHERE n >= 3)"
 
 
-_TREND_SELECT = f"""SELECT dc AS datetime_column, nc AS numerical_column, n AS observations, round(r, 3) AS trend_correlation,
+_TREND_SELECT = f"""SELECT dc AS datetime_column, nc AS numerical_column, n AS observations, round(r, 6) AS trend_correlation,
     {_STRENGTH('round(r, 6)')} AS trend_strength, CASE WHEN round(r, 6) >= 0.3 THEN 'increasing' WHEN round(r, 6) <= -0.3 THEN 'decreasing'
-    ELSE 'stable_or_irregular' END AS direction, round(a, 3) AS first_value, round(z, 3) AS last_value,
-    round(z - a, 3) AS absolute_change, round(100 * (z - a) / nullif(abs(a), 0), 3) AS percentage_change FROM tr"""
+    ELSE 'stable_or_irregular' END AS direction, round(a, 6) AS first_value, round(z, 6) AS last_value,
+    round(z - a, 6) AS absolute_change, round(100 * (z - a) / nullif(abs(a), 0), 6) AS percentage_change FROM tr"""
 _FACT_TRENDS = _trends(FACT_NUMBERS, "d", "l_shipdate", 3)
 ORACLES["time_trend"] = f"{FACTS}, {_FACT_TRENDS} {_TREND_SELECT}"
 ORACLES["time_trend_events"] = f"WITH {_trends(['value'], 'events', 'ts', 3)} {_TREND_SELECT}"
