@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontamination, licenses, sharding, storage, token_rollup
+from assayer.llm import bpe, decontamination, licenses, near_dup, sharding, storage, token_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir), width=3, threshold=0.85)
+
+
 def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.Topology.regular(16)
     placed = sharding.place(documents(spark, sf_dir), tree, tree.grown())
@@ -80,6 +84,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_bbit_minhash": op3_bbit_minhash,
     "op4_hash_tree": op4_hash_tree,
     "op6_spaced_seeds": op6_spaced_seeds,
     "op7_licenses": op7_licenses,
