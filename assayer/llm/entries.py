@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontamination, licenses, near_dup, sharding, storage, token_rollup
+from assayer.llm import bpe, decontamination, licenses, near_dup, quality_classifier, quality_rules, sharding, storage, token_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf_dir))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "perplexity")
+
+
 def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), width=3, threshold=0.85)
 
@@ -72,6 +77,11 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op9_trusted_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    return quality_classifier.classify(documents(spark, sf_dir), trusted)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,11 +94,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_bbit_minhash": op3_bbit_minhash,
     "op4_hash_tree": op4_hash_tree,
     "op6_spaced_seeds": op6_spaced_seeds,
     "op7_licenses": op7_licenses,
     "op8_token_rollup": op8_token_rollup,
+    "op9_trusted_perplexity": op9_trusted_perplexity,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
