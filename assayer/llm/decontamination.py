@@ -172,7 +172,7 @@ def decontaminate(
     for block in _blocks(benchmark, item_id, item_text, masks, max_seeds):
         if block:
             shared = docs.sparkSession.sparkContext.broadcast([r.text for r in block])
-            docs = textarrays.map_texts(docs, _clean_rows(shared, masks, min_words), text_col, docs.schema)
+            docs = textarrays.map_rows(docs, _clean_rows(shared, masks, min_words), text_col)
     return docs
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontamination, licenses, near_dup, quality_classifier, quality_rules, sharding, storage, token_rollup
+from assayer.llm import bpe, decontamination, langid, licenses, near_dup, pseudonyms, quality_classifier, quality_rules, sharding, storage, token_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "perplexity")
 
 
+def op2_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    return langid.predict(docs, langid.fit(docs.filter("NOT held_out")), ("doc_id", "held_out"))
+
+
 def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir), width=3, threshold=0.85)
 
@@ -31,6 +37,14 @@ def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+#: A fixed key, so that results can be compared. Real runs pass their own secret.
+SHOWN_KEY = b"shown in the open: for tests only"
+
+
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(documents(spark, sf_dir), SHOWN_KEY, count_col="n_replaced").select("doc_id", "text", "n_replaced")
+
+
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.find_overlaps(documents(spark, sf_dir), benchmark).withColumn("contaminated", F.lit(True))
@@ -95,8 +109,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_subword_softmax": op2_subword_softmax,
     "op3_bbit_minhash": op3_bbit_minhash,
     "op4_hash_tree": op4_hash_tree,
+    "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op6_spaced_seeds": op6_spaced_seeds,
     "op7_licenses": op7_licenses,
     "op8_token_rollup": op8_token_rollup,

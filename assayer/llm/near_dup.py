@@ -235,3 +235,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     return joined.select(
         real("node").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"), "node"
     ).drop("node")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8, text_col: str = "text") -> DataFrame:
+    """One row of each group, the first as rows are numbered here, with all columns. Rows without words all stay."""
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id())
+    rows = storage.stage(numbered, "numbered")
+    groups = near_duplicates(rows, width, threshold, "row", f"c{names.index(text_col)}")
+    dropped = groups.filter("NOT kept").select(F.col("doc_id").alias("row"))
+    return rows.join(dropped, "row", "left_anti").drop("row").toDF(*names)

@@ -108,3 +108,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     scored = storage.stage(ngram_model.score(with_counts(named), model, columns), "scored")
     kept = ~F.col("base_failed") & F.coalesce(F.col("deviation").between(F.col("low"), F.col("high")), F.lit(False))
     return with_bands(scored, fences).withColumn("kept", kept)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fences: tuple[float, float] = FENCES) -> DataFrame:
+    """The documents that are kept, with all columns as they are."""
+    names = docs.columns
+    plain = docs.toDF(*[f"p{i}" for i in range(len(names))])
+    at = lambda name: f"p{names.index(name)}"
+    judged = judge(plain, at(text_col), at(text_col), at(lang_col), tuple(c for c in plain.columns if c != at(text_col)), fences)
+    order = iter(range(len(names)))
+    columns = ["doc_id" if c == at(text_col) else f"c{next(order)}" for c in plain.columns]
+    return judged.filter("kept").select(*columns).toDF(*names)

@@ -65,6 +65,14 @@ def map_texts(docs: DataFrame, work: Callable[[pa.RecordBatch, list[str]], pa.Re
     return docs.mapInArrow(map_slices(work, text), schema)
 
 
+def map_rows(docs: DataFrame, work: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch], text: str, added: dict[str, str] | None = None) -> DataFrame:
+    """map_texts over all columns, whatever their names: work sees them by position, and further ones come after them."""
+    names, extra = docs.columns, added or {}
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + [f"a{i} {kind}" for i, kind in enumerate(extra.values())]
+    return map_texts(plain, work, f"c{names.index(text)}", ", ".join(fields)).toDF(*names, *extra)
+
+
 def map_slices(work: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch], text: str) -> Callable:
     """For mapInArrow: hands on slices of the batches with their texts (null: empty)."""
 
