@@ -141,7 +141,7 @@ def estimate_floor(threshold: float) -> float:
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """(node, component): the smallest node that each node with a link can reach. Large and small stars in turn, staged."""
+    """(node, component): the smallest node that a node can reach, for all that reach a smaller one. Large and small stars in turn, staged."""
     edges = storage.stage(edges.select("a", "b").filter("a <> b"), name)
     seen = None
     while True:

@@ -113,13 +113,13 @@ def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
 
 
 def _discounts(level: DataFrame) -> DataFrame:
-    """D1, D2, D3 of each language: one row for each."""
+    """D1, D2, D3 of each language: one row for each. What the counts don't give, or give outside (0, i], is i / 2."""
     of = [F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
 
     def discount(i: int) -> Column:
-        d = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
-        return F.coalesce(F.least(F.greatest(d, F.lit(0.0)), F.lit(float(i))), F.lit(i / 2)).alias(f"d{i}")
+        d = i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}")
+        return F.coalesce(F.when((d > 0) & (d <= i), d), F.lit(i / 2)).alias(f"d{i}")
 
     return level.groupBy("lang").agg(*of).select("lang", *[discount(i) for i in (1, 2, 3)])
 
