@@ -127,13 +127,9 @@ class Table:
 
 # -- duplicates ------------------------------------------------------------
 
-def row_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.groupBy(*[frames.column(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
-
-
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Complete duplicates: surplus rows, their share, and all rows in a duplicate group."""
-    groups = row_counts(df, columns or df.columns)
+    """Complete duplicates: surplus rows, their share, and all rows in a duplicate group. Rows are compared by digest."""
+    groups = frames.with_digest(df, columns or df.columns).groupBy(*frames.DIGEST).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
@@ -420,26 +416,34 @@ def variance_type() -> Column:
 
 # -- suspicious rows ---------------------------------------------------------------
 
-def row_evidence(table: Table) -> DataFrame:
-    """``(row key..., score)``: one row per piece of evidence against a table row.
+def row_issues(table: Table | DataFrame, types: Mapping | None = None, row_key: Sequence[str] = ()) -> DataFrame:
+    """``(row key..., column, issue, points)``: which rows are behind each finding, and what they add to a row's score.
 
-    Outliers, invalid dates, missing identifiers and mostly empty rows are plain
-    projections. Rare values, shared identifiers and duplicate rows need a count
-    first and then only touch the rows concerned.
+    Missing cells, outliers, invalid dates, missing identifiers and mostly empty
+    rows are plain projections; missing cells have no points. Rare values, shared
+    identifiers and duplicate rows need a count first and then only touch the
+    rows concerned.
     """
+    table = Table.of(table, types, row_key)
     keys = [frames.column(k) for k in table.row_key]
-    points = [
-        F.when(missing_cells(table) * 2 >= len(table.columns), 2).otherwise(0)
-    ]
+    found = []
+
+    def note(column: str | None, issue: str, points: int, condition: Column) -> None:
+        found.append(F.when(condition, F.struct(
+            F.lit(column).cast("string").alias("column"), F.lit(issue).alias("issue"), F.lit(points).cast("long").alias("points"))))
+
+    note(None, "mostly_empty", 2, missing_cells(table) * 2 >= len(table.columns))
     for c in checked_numeric(table):
         x, f = table.number(c), _fences(table.quartiles[c])
-        points.append(F.when(_outside(x, f["lo"], f["hi"], f["iqr"]), 1).otherwise(0))
-        points.append(F.when(_outside(x, f["xlo"], f["xhi"], f["iqr"]), 1).otherwise(0))
-    points += [F.when(table.missing(c), 2).otherwise(0) for c in table.kinds("Identifier")]
-    points += [F.when(invalid_date(table, c), 2).otherwise(0) for c in table.kinds("Datetime")]
-    # Inlined from an array, so that the filter is not pushed below and the points computed twice.
-    total = F.struct(reduce(lambda a, b: a + b, points).cast("long").alias("score"))
-    parts = [table.df.select(*keys, F.inline(F.array(total))).where(F.col("score") > 0)]
+        note(c, "outlier", 1, _outside(x, f["lo"], f["hi"], f["iqr"]))
+        note(c, "extreme_outlier", 1, _outside(x, f["xlo"], f["xhi"], f["iqr"]))
+    for c in table.columns:
+        note(c, "missing_cell", 0, table.missing(c))
+    for c in table.kinds("Identifier"):
+        note(c, "missing_identifier", 2, table.missing(c))
+    for c in table.kinds("Datetime"):
+        note(c, "invalid_date", 2, invalid_date(table, c))
+    parts = [table.df.select(*keys, F.inline(F.array_compact(F.array(*found))))]
 
     categories, identifiers = table.kinds("Categorical", "Boolean"), table.kinds("Identifier")
     names = categories + identifiers
@@ -453,15 +457,23 @@ def row_evidence(table: Table) -> DataFrame:
         cells = frames.long_values(table.df, {c: table.present(c) for c in names}, table.row_key)
         cells = cells.where(F.col("value").isNotNull())
         hits = frames.matching_rows(cells, category_counts(table, names), ["column", "value"], wanted, table.rows)
-        parts.append(hits.select(*keys, F.lit(1).cast("long").alias("score")))
+        kind = F.when(F.col("column").isin(identifiers), "shared_identifier").otherwise("rare_category")
+        parts.append(hits.select(*keys, "column", kind.alias("issue"), F.lit(1).cast("long").alias("points")))
 
+    marked = frames.with_digest(table.df, table.columns, keep=table.row_key)
     repeated = frames.matching_rows(
-        table.df, row_counts(table.df, table.columns), table.columns, F.col("n") > 1, table.rows
-    )
-    parts.append(repeated.select(*keys, F.lit(1).cast("long").alias("score")))
+        marked, marked.groupBy(*frames.DIGEST).agg(F.count(F.lit(1)).alias("n")), frames.DIGEST, F.col("n") > 1, table.rows)
+    parts.append(repeated.select(
+        *keys, F.lit(None).cast("string").alias("column"), F.lit("duplicate_row").alias("issue"), F.lit(1).cast("long").alias("points")))
     return frames.union_all(parts)
 
 
+def row_evidence(table: Table) -> DataFrame:
+    """``(row key..., score)``: one row per piece of evidence that counts against a table row."""
+    return row_issues(table).where("points > 0").select(
+        *[frames.column(k) for k in table.row_key], F.col("points").alias("score"))
+
+
 def suspicious_rows(table: Table | DataFrame, types: Mapping | None = None,
                     row_key: Sequence[str] = ()) -> DataFrame:
     """Rows with anomaly evidence: summed score and severity (5 and more high, 3 and more medium)."""

@@ -249,8 +249,11 @@ def heatmap(table: Table | DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def matrix_pivot(cells: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """Long cells to a matrix: one row per ``row`` value, one column per ``col`` value."""
-    labels = [r[0] for r in cells.select(col).distinct().orderBy(col).limit(eda.MAX_CORRELATED_COLUMNS).collect()]
+    """Long cells to a matrix: one row per ``row`` value, one column per ``col`` value.
+
+    For report-sized cells, such as a correlation matrix: the labels become column names.
+    """
+    labels = [r[0] for r in cells.select(col).distinct().orderBy(col).collect()]
     return cells.groupBy(row).pivot(col, labels).agg(F.first(value)).orderBy(row)
 
 

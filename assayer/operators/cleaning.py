@@ -248,8 +248,7 @@ def clean(df: DataFrame, types: Mapping | Profile | None = None, row_key: Sequen
     ).first()
     if before["rows"] == 0:
         raise ValueError("cannot clean an empty table")
-    distinct_rows = lambda frame: frame.select(
-        *[frames.column(c) for c in columns]).distinct().count()
+    distinct_rows = lambda frame: frames.with_digest(frame, columns).distinct().count()
     raw_duplicates = before["rows"] - distinct_rows(raw)
     null_text = {c: before[f"t{i}"] for i, c in enumerate(strings)}
     for c, n in null_text.items():

@@ -14,16 +14,14 @@ from assayer.operators.anomalies import Table
 from assayer.operators.profile import Profile, top_values
 
 # Fixed limits and thresholds of the exploration report.
-MAX_CORRELATED_COLUMNS = 30
-MAX_CATEGORY_EFFECTS, MAX_ASSOCIATIONS, MAX_TRENDS, MAX_RELATIONSHIPS = 50, 30, 30, 25
 MIN_OBSERVATIONS, MIN_GROUP = 3, 2
 MIN_GROUPS, MAX_GROUPS = 2, 30
 HIGH_CARDINALITY, HIGH_CARDINALITY_RATIO = 100, 0.50
 CORRELATION_CUT, EFFECT_CUT, ASSOCIATION_CUT, TREND_CUT = 0.40, 0.10, 0.20, 0.30
 HIGH_MISSING, CO_MISSING = 30.0, 0.50
 DIGITS = 6
-# Column pairs aggregated in one pass.
-PAIRS_PER_PASS = 150
+# Share of a sum of squares below which a spread is rounding error of a constant.
+NO_SPREAD = 1e-13
 
 PAIR_FIELDS = "column_1 string, column_2 string, correlation double, observations long"
 EFFECT_FIELDS = ("categorical_column string, numerical_column string, effect_size double, "
@@ -38,6 +36,11 @@ def r6(col: Column | str) -> Column:
     return F.round(col, DIGITS)
 
 
+def top(ranked: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of a final ranking; all of them without a limit."""
+    return ranked if limit is None else ranked.limit(limit)
+
+
 def _empty(table: Table, fields: str) -> DataFrame:
     return frames.local_rows(table.df.sparkSession, [], fields)
 
@@ -85,26 +88,17 @@ def co_missing_pairs(table: Table | DataFrame) -> DataFrame:
     """Column pairs missing together: Jaccard index of their NULL rows, at least 0.5."""
     table = Table.of(table)
     counts = {r["column"]: r["missing_count"] for r in missing_by_column(table).collect()}
-    pairs = list(combinations([c for c in table.columns if counts[c]], 2))
-    if not pairs:
+    names = [c for c in table.columns if counts[c]]
+    if len(names) < 2:
         return _empty(table, "column_1 string, column_2 string, both_missing long, jaccard_similarity double")
-    parts = []
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[at:at + PAIRS_PER_PASS]
-        names = {str(i): {"column_1": F.lit(a), "column_2": F.lit(b)} for i, (a, b) in enumerate(batch)}
-        metrics = {
-            str(i): {
-                "both_missing": stats.count_if(table.ref(a).isNull() & table.ref(b).isNull()),
-                "any_missing": stats.count_if(table.ref(a).isNull() | table.ref(b).isNull()),
-            }
-            for i, (a, b) in enumerate(batch)
-        }
-        parts.append(frames.aggregate_columns(table.df, metrics, "pair", names))
-    share = stats.ratio(F.col("both_missing"), F.col("any_missing"))
+    missing = table.df.select(*[F.when(table.ref(c).isNull(), F.lit(1.0)).alias(f"x{i}") for i, c in enumerate(names)])
+    both = missing.mapInArrow(cross_products([0.0] * len(names)), CROSS_FIELDS).groupBy("i", "j").agg(F.sum("n").alias("n"))
+    labels, totals = F.array(*map(F.lit, names)), F.array(*[F.lit(float(counts[c])) for c in names])
+    share = stats.ratio(F.col("n"), F.get(totals, F.col("i")) + F.get(totals, F.col("j")) - F.col("n"))
     return (
-        frames.union_all(parts)
-        .where((F.col("both_missing") > 0) & (share >= CO_MISSING))
-        .select("column_1", "column_2", "both_missing", r6(share).alias("jaccard_similarity"))
+        both.where((F.col("n") > 0) & (share >= CO_MISSING))
+        .select(F.get(labels, F.col("i")).alias("column_1"), F.get(labels, F.col("j")).alias("column_2"),
+                F.col("n").cast("long").alias("both_missing"), r6(share).alias("jaccard_similarity"))
         .orderBy(F.desc("jaccard_similarity"), "column_1", "column_2")
     )
 
@@ -220,29 +214,55 @@ def correlation_pairs(table: Table | DataFrame, types: Mapping | None = None,
                       columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of usable numeric columns, pairwise complete.
 
-    All pairs of a batch are co-moments of one aggregate; nothing is shuffled
-    but one row per task.
+    One scan, however many columns: each task adds up the cross products of its
+    rows as matrices and hands on one row per pair. Values are taken from the
+    column means first, so large ones don't cost digits.
     """
     table = Table.of(table, types)
-    names = list(columns) if columns is not None else usable_numeric(table)[:MAX_CORRELATED_COLUMNS]
-    pairs = list(combinations(names, 2))
-    if not pairs:
+    names = list(columns) if columns is not None else usable_numeric(table)
+    if len(names) < 2:
         return _empty(table, PAIR_FIELDS)
-    numbers = table.df.select(*[table.finite(c).alias(f"x{i}") for i, c in enumerate(names)])
-    parts = []
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        metrics, labels = {}, {}
-        for i, (a, b) in enumerate(pairs[at:at + PAIRS_PER_PASS]):
-            x, y = F.col(f"x{names.index(a)}"), F.col(f"x{names.index(b)}")
-            labels[str(i)] = {"column_1": F.lit(a), "column_2": F.lit(b)}
-            metrics[str(i)] = {
-                "correlation": stats.pearson(x, y),
-                "observations": stats.count_if(x.isNotNull() & y.isNotNull()),
-            }
-        parts.append(frames.aggregate_columns(numbers, metrics, "pair", labels))
-    return frames.union_all(parts).where(
-        (F.col("observations") >= MIN_OBSERVATIONS) & F.col("correlation").isNotNull()
-    ).select("column_1", "column_2", "correlation", "observations")
+    numbers = table.df.select(*[table.finite(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    means = numbers.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(len(names))]).first()
+    sums = numbers.mapInArrow(cross_products([m or 0.0 for m in means]), CROSS_FIELDS).groupBy("i", "j").agg(
+        *[F.sum(f).alias(f) for f in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    c = F.col
+
+    def spread_of(v: str) -> Column:
+        square = c("n") * c(f"s{v}{v}")
+        rest = square - c(f"s{v}") * c(f"s{v}")
+        return F.when(rest > NO_SPREAD * square, F.sqrt(rest))
+
+    spread = spread_of("x") * spread_of("y")
+    r = F.try_divide(c("n") * c("sxy") - c("sx") * c("sy"), spread)
+    labels = F.array(*map(F.lit, names))
+    return sums.where((c("n") >= MIN_OBSERVATIONS) & r.isNotNull()).select(
+        F.get(labels, c("i")).alias("column_1"), F.get(labels, c("j")).alias("column_2"),
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("correlation"), c("n").cast("long").alias("observations"))
+
+
+CROSS_FIELDS = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+
+
+def cross_products(means: Sequence[float]):
+    """For mapInArrow: sums over the rows of a task for each pair i < j, of rows where both are present."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        k = len(means)
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([column.to_numpy(zero_copy_only=False) for column in batch.columns]).astype(float) - np.array(means)
+            here = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            square = x * x
+            total += [here.T @ here, x.T @ here, here.T @ x, square.T @ here, here.T @ square, x.T @ x]
+        i, j = np.triu_indices(k, 1)
+        arrays = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(t[i, j]) for t in total)]
+        yield pa.RecordBatch.from_arrays(arrays, ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    return run
 
 
 def ranked_correlations(pairs: DataFrame, minimum: float = 0.0, limit: int | None = None) -> DataFrame:
@@ -253,12 +273,11 @@ def ranked_correlations(pairs: DataFrame, minimum: float = 0.0, limit: int | Non
         stats.correlation_strength(r).alias("strength"), stats.correlation_direction(r).alias("direction"),
         "observations",
     ).where(F.col("absolute_correlation") >= minimum)
-    ranked = ranked.orderBy(F.desc("absolute_correlation"), "column_1", "column_2")
-    return ranked if limit is None else ranked.limit(limit)
+    return top(ranked.orderBy(F.desc("absolute_correlation"), "column_1", "column_2"), limit)
 
 
-def strongest_correlations(pairs: DataFrame) -> DataFrame:
-    return ranked_correlations(pairs, CORRELATION_CUT, MAX_RELATIONSHIPS)
+def strongest_correlations(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    return ranked_correlations(pairs, CORRELATION_CUT, limit)
 
 
 def correlation_matrix(pairs: DataFrame, columns: Sequence[str], digits: int = DIGITS) -> DataFrame:
@@ -284,6 +303,14 @@ def usable_categories(table: Table, lowest: int = MIN_GROUPS, highest: int = MAX
     return [c for c in names if lowest <= exact[c] <= highest]
 
 
+def skipped_categories(table: Table, lowest: int = MIN_GROUPS, highest: int = MAX_GROUPS) -> DataFrame:
+    """``(column, reason)`` of the category columns that effects and associations leave out."""
+    used = set(usable_categories(table, lowest, highest))
+    names = [c for c in table.kinds("Categorical", "Boolean") if c not in used]
+    rows = [(c, f"fewer than {lowest} or more than {highest} groups") for c in names]
+    return frames.local_rows(table.df.sparkSession, rows, "column string, reason string")
+
+
 GROUP_KEYS = ("categorical_column", "category")
 
 
@@ -334,7 +361,7 @@ def category_numeric_groups(table: Table | DataFrame, types: Mapping | None = No
     )
 
 
-def category_numeric_effects(groups: DataFrame, limit: int = MAX_CATEGORY_EFFECTS) -> DataFrame:
+def category_numeric_effects(groups: DataFrame, limit: int | None = None) -> DataFrame:
     """Eta squared per (category, numeric) pair from its group statistics.
 
     The total sum of squares is between-group plus within-group, so the table
@@ -359,7 +386,7 @@ def category_numeric_effects(groups: DataFrame, limit: int = MAX_CATEGORY_EFFECT
         .select("categorical_column", "numerical_column", r6("effect").alias("effect_size"),
                 "highest_mean_group", "lowest_mean_group", r6("spread").alias("mean_difference"))
         .orderBy(F.desc("effect_size"), "categorical_column", "numerical_column")
-        .limit(limit)
+        .transform(top, limit)
     )
 
 
@@ -383,7 +410,7 @@ def crosstabs(table: Table | DataFrame, types: Mapping | None = None,
     )
 
 
-def cramers_v(cells: DataFrame, limit: int = MAX_ASSOCIATIONS) -> DataFrame:
+def cramers_v(cells: DataFrame, limit: int | None = None) -> DataFrame:
     """Cramér's V per pair from its contingency cells; at most 30 x 30 cells per pair.
 
     chi2 / n = sum(o^2 / (row * column)) - 1, which also covers empty cells.
@@ -404,7 +431,7 @@ def cramers_v(cells: DataFrame, limit: int = MAX_ASSOCIATIONS) -> DataFrame:
         .select(*by_pair, r6(F.sqrt(F.col("phi") / F.col("degrees"))).alias("cramers_v"))
         .withColumn("strength", F.when(v >= 0.50, "strong").when(v >= 0.30, "moderate").otherwise("weak"))
         .orderBy(F.desc("cramers_v"), *by_pair)
-        .limit(limit)
+        .transform(top, limit)
     )
 
 
@@ -440,7 +467,7 @@ def time_means(table: Table, date_column: str, numbers: Sequence[str]) -> DataFr
     )
 
 
-def time_trends(table: Table | DataFrame, types: Mapping | None = None, limit: int = MAX_TRENDS) -> DataFrame:
+def time_trends(table: Table | DataFrame, types: Mapping | None = None, limit: int | None = None) -> DataFrame:
     """Trend of the per-timestamp mean of every numeric column over every datetime column."""
     table = Table.of(table, types)
     numbers = table.kinds("Numerical")
@@ -475,14 +502,14 @@ def time_trends(table: Table | DataFrame, types: Mapping | None = None, limit: i
             r6(F.try_divide(change * 100, F.abs(c("first_value")))).alias("percentage_change"),
         )
         .orderBy(F.desc(F.coalesce(F.abs("trend_correlation"), F.lit(0.0))), "datetime_column", "numerical_column")
-        .limit(limit)
+        .transform(top, limit)
     )
 
 
 # -- rankings over the sections -----------------------------------------------------------
 
 def important_relationships(correlations: DataFrame, effects: DataFrame, associations: DataFrame,
-                            trends: DataFrame, limit: int = MAX_RELATIONSHIPS) -> DataFrame:
+                            trends: DataFrame, limit: int | None = None) -> DataFrame:
     """The strongest relationships of all four kinds, by score."""
     def part(df: DataFrame, kind: str, a: str, b: str, score: Column, cut: float) -> DataFrame:
         return df.select(F.lit(kind).alias("type"), F.col(a).alias("column_1"), F.col(b).alias("column_2"),
@@ -495,7 +522,7 @@ def important_relationships(correlations: DataFrame, effects: DataFrame, associa
         part(associations, "categorical_association", "column_1", "column_2", F.col("cramers_v"), ASSOCIATION_CUT),
         part(trends, "time_trend", "datetime_column", "numerical_column",
              F.coalesce(F.abs("trend_correlation"), F.lit(0.0)), TREND_CUT),
-    ]).orderBy(F.desc("score"), "type", "column_1", "column_2").limit(limit)
+    ]).orderBy(F.desc("score"), "type", "column_1", "column_2").transform(top, limit)
 
 
 def eda_flags(overview_row: DataFrame, missing: DataFrame, numeric: DataFrame, categorical: DataFrame) -> DataFrame:
@@ -531,28 +558,31 @@ def eda_flags(overview_row: DataFrame, missing: DataFrame, numeric: DataFrame, c
     return frames.union_all(parts)
 
 
-def chart_recommendations(table: Table, correlations: DataFrame, effects: DataFrame, trends: DataFrame) -> DataFrame:
-    """Chart candidates from the profile: 8 histograms, 8 bars, 5 scatters, 5 boxes, 5 lines."""
+def chart_recommendations(table: Table, correlations: DataFrame, effects: DataFrame, trends: DataFrame,
+                          columns: int | None = 8, relationships: int | None = 5) -> DataFrame:
+    """Chart candidates: so many histograms and bars in column order, and so many scatters, boxes and lines by strength.
+
+    The limits are those of the final list; None shows all.
+    """
     spark = table.df.sparkSession
     fields = "place int, chart string, x string, y string, intent string"
-    simple = [(i, "histogram", n, None, "distribution") for i, n in enumerate(table.kinds("Numerical")[:8])]
-    simple += [(100 + i, "bar", n, "count", "category_frequency")
-               for i, n in enumerate(table.kinds("Categorical", "Boolean")[:8])]
+    simple = [(i, "histogram", n, None, "distribution") for i, n in enumerate(table.kinds("Numerical")[:columns])]
+    simple += [(10_000 + i, "bar", n, "count", "category_frequency")
+               for i, n in enumerate(table.kinds("Categorical", "Boolean")[:columns])]
 
     def ranked(df: DataFrame, base: int, chart: str, x: str, y: str, score: Column, cut: float, intent: str):
         order = Window.orderBy(F.desc(score), x, y)  # report-sized: one row per relationship
-        return df.withColumn("place", F.row_number().over(order) + base).where(
-            (F.col("place") <= base + 5) & (score >= cut)
-        ).select("place", F.lit(chart).alias("chart"), F.col(x).alias("x"), F.col(y).alias("y"),
+        wanted = score >= cut if relationships is None else (score >= cut) & (F.col("nth") <= relationships)
+        return df.withColumn("nth", F.row_number().over(order)).withColumn("place", F.col("nth") + base).where(wanted).select("place", F.lit(chart).alias("chart"), F.col(x).alias("x"), F.col(y).alias("y"),
                  F.lit(intent).alias("intent"))
 
     return frames.union_all([
         frames.local_rows(spark, simple, fields),
-        ranked(correlations, 200, "scatter", "column_1", "column_2", F.abs(r6("correlation")),
+        ranked(correlations, 10_000_000, "scatter", "column_1", "column_2", F.abs(r6("correlation")),
                CORRELATION_CUT, "relationship"),
-        ranked(effects, 300, "box", "categorical_column", "numerical_column", F.col("effect_size"),
+        ranked(effects, 100_000_000, "box", "categorical_column", "numerical_column", F.col("effect_size"),
                EFFECT_CUT, "group_comparison"),
-        ranked(trends, 400, "line", "datetime_column", "numerical_column",
+        ranked(trends, 1_000_000_000, "line", "datetime_column", "numerical_column",
                F.coalesce(F.abs("trend_correlation"), F.lit(0.0)), TREND_CUT, "time_trend"),
     ]).orderBy("place").select("chart", "x", "y", "intent")
 
@@ -626,6 +656,10 @@ class EdaReport:
     def associations(self) -> DataFrame:
         return frames.settle(cramers_v(crosstabs(self.table)))
 
+    @cached_property
+    def skipped_categories(self) -> DataFrame:
+        return skipped_categories(self.table)
+
     @cached_property
     def datetimes(self) -> DataFrame:
         return frames.settle(datetime_profile(self.table))

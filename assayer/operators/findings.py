@@ -13,7 +13,6 @@ from assayer.operators.charts import label
 from assayer.operators.eda import EdaReport
 
 # Fixed limits and thresholds.
-MAX_COLUMNS, MAX_PAIRS = 10, 5
 STRONG_SKEW, DOMINANT = 1.0, 70.0
 CORRELATION_CUT, STRONG_CORRELATION = 0.5, 0.7
 
@@ -31,11 +30,12 @@ def _finding(df: DataFrame, kind: str, importance: Column | str, value: Column,
     )
 
 
-def statistical_findings(table: Table | DataFrame, quality_score: float | None = None) -> DataFrame:
+def statistical_findings(table: Table | DataFrame, quality_score: float | None = None, pairs: int | None = 5) -> DataFrame:
     """Findings as rows: size, missing cells, duplicates, number summaries, skew, dominance, correlation, quality.
 
     Works on physical types, like the report it feeds: numbers are numeric
-    columns, categories are text and boolean columns, ten of each at most.
+    columns, categories are text and boolean columns, all of them. ``pairs`` is
+    how many of the strongest correlations are told; None tells all.
     """
     table = Table.of(table)
     df, c = table.df, F.col
@@ -56,7 +56,7 @@ def statistical_findings(table: Table | DataFrame, quality_score: float | None =
                  say("%d duplicate rows, %.2f%%", "duplicate_rows", "duplicate_percentage")),
     ]
     if numbers:
-        shown = numbers[:MAX_COLUMNS]
+        shown = numbers
         medians = quantiles.column_quantiles(df, {n: table.number(n) for n in shown}, [0.5], table.approx)
         summary = frames.settle(frames.aggregate_columns(df, {
             n: {"n": F.count(table.number(n)), "mean": F.avg(table.number(n)), "min": F.min(table.number(n)),
@@ -70,7 +70,7 @@ def statistical_findings(table: Table | DataFrame, quality_score: float | None =
                               F.format_string("%s: skewed to the %s, skewness %.2f", c("column"),
                                               F.when(c("skew") > 0, "right").otherwise("left"), c("skew")), "column"))
     if categories:
-        shapes = eda.raw_counts(table, categories[:MAX_COLUMNS]).groupBy("column").agg(
+        shapes = eda.raw_counts(table, categories).groupBy("column").agg(
             F.sum("n").alias("n"), F.max("n").alias("top"),
             F.min_by("value", F.struct(-c("n"), c("value"))).alias("mode"))
         shapes = shapes.withColumn("share", stats.percent(c("top"), c("n")))
@@ -79,7 +79,7 @@ def statistical_findings(table: Table | DataFrame, quality_score: float | None =
                               say("%s: %s holds %.2f%%", "column", "mode", "share"), "column"))
     if len(numbers) > 1:
         strongest = eda.correlation_pairs(typed, columns=numbers).orderBy(
-            F.desc(F.abs("correlation")), "column_1", "column_2").limit(MAX_PAIRS)
+            F.desc(F.abs("correlation")), "column_1", "column_2").transform(eda.top, pairs)
         strongest = strongest.where(F.abs("correlation") >= CORRELATION_CUT)
         parts.append(_finding(strongest, "correlation",
                               F.when(F.abs("correlation") >= STRONG_CORRELATION, "high").otherwise("medium"),

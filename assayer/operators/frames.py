@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from assayer.functions import text
+from assayer.session import shared_folder
 
 # A group holding more than 1/HOT_SHARE of all rows is hot. At most HOT_SHARE
 # groups per counted column can be, which is what bounds the broadcast below.
@@ -147,30 +149,33 @@ def matching_rows(rows: DataFrame, counts: DataFrame, keys: Sequence[str], wante
     return rows.join(F.broadcast(hot_wanted), on(hot_wanted), "left_semi").unionByName(cool)
 
 
-_local_stage: list[tempfile.TemporaryDirectory] = []
+_staged: list[tuple[SparkSession, str]] = []
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate table once and read it back, for frames several jobs start from.
 
-    The table goes to the shared folder of ``spark.checkpoint.dir``, so it
-    survives lost executors, cuts the lineage, and later jobs read only the
-    columns they need. A session without that setting uses a temporary folder
-    in local mode, and caching on a cluster.
+    The table goes to the session's shared folder, so it survives lost executors,
+    cuts the lineage, and later jobs read only the columns they need. It stays
+    until ``release_staged``, or until the Python process ends.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            return df.persist()
-        if not _local_stage:
-            _local_stage.append(tempfile.TemporaryDirectory(prefix="assayer-"))
-        shared = _local_stage[0].name
-    path = f"{shared.rstrip('/')}/assayer-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/assayer-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def release_staged() -> None:
+    """Remove what this process has staged. Frames that read from it can't be used afterwards."""
+    while _staged:
+        spark, path = _staged.pop()
+        with contextlib.suppress(Exception):  # the session may have ended before
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def approx_distincts(df: DataFrame, values: Mapping[str, Column]) -> tuple[int, dict[str, int], dict[str, int]]:
     """Row count, non-null counts and approximate distinct counts, in one narrow pass."""
     if not values:
@@ -187,12 +192,32 @@ def approx_distincts(df: DataFrame, values: Mapping[str, Column]) -> tuple[int,
 
 
 def exact_distincts(df: DataFrame, values: Mapping[str, Column]) -> dict[str, int]:
-    """Exact distinct counts in one job; repeats are combined map-side."""
+    """Exact distinct counts in one job; repeats are combined map-side, and texts are compared by a 128-bit digest."""
     if not values:
         return {}
-    got = df.agg(*[F.count_distinct(v).alias(f"d{i}") for i, v in enumerate(values.values())]).first()
+    named = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values.values())])
+    short = named.select(*[
+        F.unhex(F.md5(F.col(f.name).cast("binary"))).alias(f.name) if text.is_string(f.dataType) else F.col(f.name)
+        for f in named.schema.fields
+    ])
+    got = short.agg(*[F.count_distinct(f"v{i}").alias(f"d{i}") for i in range(len(values))]).first()
     return {c: got[f"d{i}"] for i, c in enumerate(values)}
 
 
+# Columns of a row's digest: two hashes of 64 bits.
+DIGEST = ("__digest_1", "__digest_2")
+
+
+def with_digest(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` and the digest of the other columns: equal rows have equal digests, NULL is a value of its own."""
+    parts = []
+    for c in columns:
+        v = column(c)
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            v = v + F.lit(0.0)  # one zero
+        parts += [v.isNull(), v]
+    return df.select(*[column(k) for k in keep], F.xxhash64(*parts).alias(DIGEST[0]), F.xxhash64(F.lit("row"), *parts).alias(DIGEST[1]))
+
+
 def is_text(df: DataFrame, name: str) -> bool:
     return text.is_string(dtype(df, name))

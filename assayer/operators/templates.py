@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from assayer.operators import frames
 
 PROJECTION_LIMIT, PREVIEW_LIMIT = 5000, 100
-SAMPLE_ROWS, SAMPLE_VALUES = 1000, 5
+SAMPLE_VALUES = 5
 
 
 def quote(name: str, mark: str = "`") -> str:
@@ -59,12 +59,22 @@ def preview(df: DataFrame, limit: int = PREVIEW_LIMIT) -> DataFrame:
     return df.limit(limit)
 
 
-def schema_context(df: DataFrame) -> DataFrame:
-    """``(column, type, samples)``: up to five distinct values each, from the first rows at hand."""
-    head = df.limit(SAMPLE_ROWS)
-    samples = frames.aggregate_columns(head, {
-        c: {"samples": F.slice(F.array_sort(F.collect_set(frames.column(c).cast("string"))), 1, SAMPLE_VALUES)}
-        for c in df.columns
-    })
-    kinds = frames.local_rows(df.sparkSession, [(i, c, t) for i, (c, t) in enumerate(df.dtypes)], "place int, column string, type string")
-    return kinds.join(samples, "column").orderBy("place").select("column", "type", "samples")
+def schema_context(df: DataFrame, values: int = SAMPLE_VALUES) -> DataFrame:
+    """``(column, type, samples)``: the smallest distinct values of each column, as text, over the whole table.
+
+    One aggregate for each value finds the next larger one of every column, so
+    nothing is shuffled but one row per task.
+    """
+    found: dict[str, list[str]] = {c: [] for c in df.columns}
+    for n in range(values):
+        alive = [c for c in df.columns if len(found[c]) == n]
+        if not alive:
+            break
+        texts = {c: frames.column(c).cast("string") for c in alive}
+        row = df.agg(*[
+            F.min(F.when(texts[c] > found[c][-1], texts[c]) if found[c] else texts[c]).alias(f"v{i}") for i, c in enumerate(alive)
+        ]).first()
+        for i, c in enumerate(alive):
+            if row[f"v{i}"] is not None:
+                found[c].append(row[f"v{i}"])
+    return frames.local_rows(df.sparkSession, [(c, t, found[c]) for c, t in df.dtypes], "column string, type string, samples array<string>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +41,14 @@ def local_session(app: str = "assayer", cpus: int | None = None, memory: str = "
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediates go: ``spark.checkpoint.dir``. Only a session on one machine may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="assayer-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")

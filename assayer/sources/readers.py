@@ -18,7 +18,7 @@ CSV_MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-WHOLE_NUMBER = r"^\s*[+-]?\d{1,18}\s*$"
+WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 ANY_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 BOOLEAN_WORD = r"^([Tt]rue|TRUE|[Ff]alse|FALSE)$"
 
@@ -62,7 +62,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def infer_physical_types(df: DataFrame) -> DataFrame:
-    """Cast text columns whose every value is whole, numeric or true/false; one aggregate decides."""
+    """Cast text columns whose every value is whole, numeric or true/false; one aggregate decides.
+
+    Whole numbers beyond 64 bits stay text, for a double would merge different ones.
+    """
     names = [c for c in df.columns if frames.is_text(df, c)]
     if not names:
         return df
@@ -71,12 +74,15 @@ def infer_physical_types(df: DataFrame) -> DataFrame:
         col = frames.column(c)
         exprs += [F.count(col).alias(f"n{i}"), F.count(F.lit(1)).alias(f"r{i}"),
                   stats.count_if(col.rlike(WHOLE_NUMBER)).alias(f"w{i}"),
+                  stats.count_if(col.rlike(WHOLE_NUMBER) & F.btrim(col).try_cast("long").isNull()).alias(f"big{i}"),
                   stats.count_if(col.rlike(ANY_NUMBER)).alias(f"f{i}"),
                   stats.count_if(col.rlike(BOOLEAN_WORD)).alias(f"b{i}")]
     got = df.agg(*exprs).first()
     casts = {}
     for i, c in enumerate(names):
         n = got[f"n{i}"]
+        if n and got[f"big{i}"]:
+            continue
         if n and got[f"w{i}"] == n:
             casts[c] = "long"
         elif not n or got[f"f{i}"] == n:

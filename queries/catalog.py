@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +13,8 @@ from assayer.operators import (
 )
 from assayer.operators.anomalies import AnomalyReport, Table
 from assayer.plans import ask as asking, prepare
-from assayer.sources import bundle, records
+from assayer.session import shared_folder
+from assayer.sources import bundle, readers, records
 from assayer.sources.registry import TableRegistry
 from queries import views
 from queries.views import DIRTY_TYPES, LINEITEM_TYPES, table, view
@@ -180,6 +180,11 @@ def suspicious_rows(spark, sf):
     return anomalies.suspicious_rows(dirty(spark, sf))
 
 
+@query
+def row_issues(spark, sf):
+    return anomalies.row_issues(dirty(spark, sf))
+
+
 @query
 def anomaly_column_summary(spark, sf):
     found = anomalies.column_summary(anomalies.column_facts(dirty(spark, sf)))
@@ -351,7 +356,8 @@ def overview(spark, sf):
 
 @query
 def semantic_type_counts(spark, sf):
-    return eda.type_counts(dirty(spark, sf))
+    df = view(spark, sf, views.DIRTY_ORDERS)
+    return eda.type_counts(Table(df, profile.schema_profile(df, KEY), KEY))
 
 
 @query
@@ -439,6 +445,22 @@ def heatmap_pivot(spark, sf):
     return charts.matrix_pivot(charts.heatmap(facts(spark, sf)), "y", "x", "correlation")
 
 
+def wide(spark, sf) -> Table:
+    df = spark.sql(views.WIDE_LINEITEM.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf, "lineitem"))
+    return Table(df, {c: "Numerical" for c in views.WIDE_NUMBERS})
+
+
+@query
+def wide_correlations(spark, sf):
+    found = eda.correlation_pairs(wide(spark, sf))
+    return found.withColumn("correlation", F.round("correlation", 6))
+
+
+@query
+def wide_pivot(spark, sf):
+    return charts.matrix_pivot(charts.heatmap(wide(spark, sf)), "y", "x", "correlation")
+
+
 @query
 def strongest_pair(spark, sf):
     return charts.strongest_pair(eda.correlation_pairs(facts(spark, sf)))
@@ -451,8 +473,7 @@ def category_numeric_groups(spark, sf):
 
 @query
 def category_numeric_effect(spark, sf):
-    found = eda.category_numeric_effects(eda.category_numeric_moments(facts(spark, sf)))
-    return found.where(F.col("effect_size") >= 0.01)
+    return eda.category_numeric_effects(eda.category_numeric_moments(facts(spark, sf)))
 
 
 @query
@@ -704,7 +725,7 @@ def q_preview(spark, sf):
 @query
 def schema_context(spark, sf):
     found = templates.schema_context(table(spark, sf, "orders"))
-    return found.select("column", "type", F.size("samples").cast("long").alias("samples"))
+    return found.select("column", "type", F.array_join("samples", "|").alias("samples"))
 
 
 @query
@@ -772,7 +793,18 @@ for _name, _text in SQL_TEXTS.items():
 def json_records(spark, sf):
     found = records.to_records(table(spark, sf, "orders"))
     get = lambda field: F.get_json_object("record", f"$.{field}").alias(field)
-    return found.select(*[get(c) for c in ("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority")])
+    return found.select(*[get(c) for c in table(spark, sf, "orders").columns])
+
+
+@query
+def csv_round_trip(spark, sf):
+    """Orders with a 19-digit number written as CSV to the shared folder, read back and typed."""
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}.csv"
+    long_id = (F.col("o_orderkey") + F.lit(9_000_000_000_000_000_000)).alias("long_id")
+    beyond = F.concat(F.lit("99"), F.col("o_orderkey") + F.lit(1_000_000_000_000_000_000)).alias("beyond")
+    orders = table(spark, sf, "orders").select("o_orderkey", long_id, beyond, "o_totalprice", "o_orderstatus")
+    orders.write.option("header", True).csv(path)
+    return readers.load_dataset(spark, path)
 
 
 @query
@@ -800,9 +832,8 @@ def ask_average(spark, sf):
 
 
 def bundle_path(spark: SparkSession) -> str:
-    """A new folder under the session's shared one; a temporary folder where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/bundle-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="assayer-bundle-")
+    """A new folder under the session's shared one."""
+    return f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
 
 
 # -- flagship ----------------------------------------------------------------------------------------------

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from queries.catalog import SQL_TEXTS
-from queries.views import DIRTY_COLUMNS, DIRTY_ORDERS, DIRTY_TYPES, LINEITEM_NUMBERS, SPARSE_ORDERS, WRITTEN_ORDERS
+from queries.views import (
+    DIRTY_COLUMNS, DIRTY_ORDERS, DIRTY_TYPES, LINEITEM_NUMBERS, SPARSE_ORDERS, WIDE_LINEITEM, WIDE_NUMBERS, WRITTEN_ORDERS,
+)
 
 ORACLES: dict[str, str] = dict(SQL_TEXTS)
 
@@ -271,6 +273,27 @@ def _row_points() -> str:
     return " + ".join(points)
 
 
+def _row_issues() -> str:
+    found = [(None, "mostly_empty", 2, f"2 * ({_missing_sum(DIRTY_COLUMNS)}) >= {len(DIRTY_COLUMNS)}")]
+    for c in _DIRTY_NUMBERS:
+        fence = lambda f: f"(SELECT {f} FROM fences WHERE \"column\" = '{c}')"
+        for issue, lo, hi in (("outlier", "lo", "hi"), ("extreme_outlier", "xlo", "xhi")):
+            found.append((c, issue, 1, f"{fence('iqr')} > 0 AND ({number(c)} < {fence(lo)} OR {number(c)} > {fence(hi)})"))
+    found += [(c, "missing_cell", 0, missing(c)) for c in DIRTY_COLUMNS]
+    found += [(c, "missing_identifier", 2, missing(c)) for c in _IDENTIFIERS]
+    found += [(c, "invalid_date", 2, f"NOT {missing(c)} AND {date(c)} IS NULL") for c in of_type("Datetime")]
+    found += [(c, "shared_identifier", 1, f"NOT {missing(c)} AND count(*) OVER (PARTITION BY {c}) > 1") for c in _IDENTIFIERS]
+    found += [(c, "rare_category", 1, f"(SELECT bool_or(rare) FROM rated WHERE \"column\" = '{c}' AND value = CAST(d.{c} AS STRING))")
+              for c in _CATEGORIES]
+    found.append((None, "duplicate_row", 1, f"count(*) OVER (PARTITION BY {', '.join(DIRTY_COLUMNS)}) > 1"))
+    hits = ", ".join(f"{hit} AS h{i}" for i, (*_, hit) in enumerate(found))
+    rows = " UNION ALL ".join(
+        f"SELECT row_id, {q(c) if c else 'NULL::VARCHAR'} AS \"column\", '{issue}' AS issue, {points}::BIGINT AS points FROM hits WHERE h{i}"
+        for i, (c, issue, points, _) in enumerate(found))
+    return f"hits AS (SELECT row_id, {hits} FROM d) {rows}"
+
+
+ORACLES["row_issues"] = f"{DIRTY}, {_DIRTY_OUTLIERS}, {_RARE}, {_row_issues()}"
 _SUSPICIOUS = f"{_DIRTY_OUTLIERS}, {_RARE}, sus AS (SELECT row_id, {_row_points()} AS score FROM d)"
 ORACLES["suspicious_rows"] = f"""{DIRTY}, {_SUSPICIOUS} SELECT row_id, CAST(score AS BIGINT) AS anomaly_score,
     CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS severity FROM sus WHERE score > 0"""
@@ -618,7 +641,7 @@ eff AS (SELECT g.cat, g.num, sum(n * (mean - mu) ** 2) / (sum(n * (mean - mu) **
     arg_max(category, mean) AS hi, arg_min(category, mean) AS lo, max(mean) - min(mean) AS diff
     FROM g JOIN mu ON g.cat = mu.cat AND g.num = mu.num GROUP BY ALL)"""
 ORACLES["category_numeric_effect"] = f"""{FACTS}, {_EFFECTS} SELECT cat AS categorical_column, num AS numerical_column, round(e, 6) AS effect_size,
-    hi AS highest_mean_group, lo AS lowest_mean_group, round(diff, 6) AS mean_difference FROM eff WHERE round(e, 6) >= 0.01"""
+    hi AS highest_mean_group, lo AS lowest_mean_group, round(diff, 6) AS mean_difference FROM eff"""
 _CAT_PAIRS = [(a, b) for i, a in enumerate(FACT_CATEGORIES) for b in FACT_CATEGORIES[i + 1:]]
 _CELLS = "x AS (" + " UNION ALL ".join(
     f"SELECT '{a}' AS column_1, '{b}' AS column_2, {a} AS value_1, {b} AS value_2, count(*) AS n FROM d GROUP BY {a}, {b}"
@@ -782,14 +805,28 @@ ORACLES |= {
     "q_preview": "SELECT least(count(*), 100) AS total_rows FROM orders",
     "schema_context": """SELECT column_name AS "column", CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double'
         WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type,
-        CASE WHEN column_name = 'o_orderstatus' THEN (SELECT least(5, count(DISTINCT o_orderstatus)) FROM orders) ELSE 5 END AS samples
-        FROM (SELECT unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority']) AS column_name,
-                     unnest(['BIGINT','BIGINT','VARCHAR','DOUBLE','TIMESTAMP','VARCHAR']) AS data_type)""",
+        array_to_string(samples[1:5], '|') AS samples FROM (SELECT unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority']) AS column_name,
+                     unnest(['BIGINT','BIGINT','VARCHAR','DOUBLE','TIMESTAMP','VARCHAR']) AS data_type,
+                     unnest([list_sort(list(DISTINCT CAST(o_orderkey AS STRING))), list_sort(list(DISTINCT CAST(o_custkey AS STRING))),
+                         list_sort(list(DISTINCT o_orderstatus)), list_sort(list(DISTINCT CAST(o_totalprice AS STRING))),
+                         list_sort(list(DISTINCT CAST(o_orderdate AS STRING))), list_sort(list(DISTINCT o_orderpriority))]) AS samples FROM orders)""",
     "describe_table": """SELECT unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority']) AS column_name,
         unnest(['bigint','bigint','string','double','timestamp_ntz','string']) AS column_type FROM (SELECT count(*) FROM orders)""",
     "json_records": """SELECT CAST(o_orderkey AS STRING) AS o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate,
-        o_orderpriority FROM orders""",
+        o_orderpriority, CAST(o_custkey AS STRING) AS o_custkey, CAST(o_totalprice AS STRING) AS o_totalprice FROM orders""",
+    "csv_round_trip": """SELECT o_orderkey, o_orderkey + 9000000000000000000 AS long_id, '99' || CAST(o_orderkey + 1000000000000000000 AS STRING) AS beyond,
+        o_totalprice, o_orderstatus FROM orders""",
     "ask_average": """WITH r AS (SELECT o_orderstatus AS s, avg(o_totalprice) AS m FROM orders GROUP BY 1)
         SELECT 'highest' AS kind, count(*) AS "rows", 'average_price' AS metric, arg_max(s, m) AS label, round(max(m), 3) AS value FROM r
         UNION ALL SELECT 'lowest', count(*), 'average_price', arg_min(s, m), round(min(m), 3) FROM r""",
 }
+
+_WIDE_PAIRS = [(a, b) for i, a in enumerate(WIDE_NUMBERS) for b in WIDE_NUMBERS[i + 1:]]
+_WIDE = f"""WITH d AS ({WIDE_LINEITEM}), w AS (SELECT unnest([""" + ", ".join(
+    f"{{'column_1': '{a}', 'column_2': '{b}', 'c': corr({a}, {b}), 'observations': count(*)}}" for a, b in _WIDE_PAIRS
+) + "], recursive := true) FROM d)"
+ORACLES["wide_correlations"] = f"{_WIDE} SELECT column_1, column_2, round(c, 6) AS correlation, observations FROM w"
+ORACLES["wide_pivot"] = f"""{_WIDE}, cells AS (SELECT column_1 AS x, column_2 AS y, round(c, 4) AS c FROM w
+    UNION ALL SELECT column_2, column_1, round(c, 4) FROM w UNION ALL SELECT column_1, column_1, 1.0 FROM w GROUP BY column_1
+    UNION ALL SELECT '{WIDE_NUMBERS[-1]}', '{WIDE_NUMBERS[-1]}', 1.0)
+SELECT y, """ + ", ".join(f"max(c) FILTER (WHERE x = '{c}') AS {c}" for c in WIDE_NUMBERS) + " FROM cells GROUP BY y"

@@ -76,6 +76,12 @@ SELECT o_orderkey AS row_id,
 FROM orders
 """
 
+# Thirty-five number columns, each a mix of two values of the row.
+WIDE_NUMBERS = tuple(f"x{i:02d}" for i in range(35))
+WIDE_LINEITEM = "SELECT " + ", ".join(
+    f"CAST(l_quantity * {i + 1} + (l_orderkey * {2 * i + 3} + l_linenumber) % {17 + i} AS DOUBLE) AS {c}" for i, c in enumerate(WIDE_NUMBERS)
+) + " FROM lineitem"
+
 LINEITEM_TYPES = {
     "l_orderkey": "Identifier", "l_partkey": "Identifier", "l_suppkey": "Identifier",
     "l_linenumber": "Numerical", "l_quantity": "Numerical", "l_extendedprice": "Numerical",
