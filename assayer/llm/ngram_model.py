@@ -17,7 +17,7 @@ model doesn't know. A null language is the language "und".
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,9 +30,9 @@ from assayer.llm import storage, textarrays
 
 ORDER = 5
 #: Rows of one broadcast shard, 16 bytes each in a task.
-MAX_ENTRIES = 4_000_000
+MAX_ENTRIES = 3_000_000
 #: Distinct grams that a task holds before it hands them on.
-HELD_GRAMS = 2_000_000
+HELD_GRAMS = 1_000_000
 UNKNOWN_LANG = "und"
 
 _U = np.uint64
@@ -75,7 +75,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return grams[first], np.add.reduceat(counts, first)
 
 
-def _count_task(order: int):
+def _count_task(order: int, accept: Callable[[list[str]], np.ndarray] | None):
     def rows(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
             grams, counts = _merge(parts)
@@ -88,8 +88,12 @@ def _count_task(order: int):
         for batch in batches:
             for a, b in textarrays.slices(batch.column(1)):
                 by_lang = defaultdict(list)
-                for lang, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
-                    by_lang[lang].append(text or "")
+                langs, texts = (batch.column(i).slice(a, b - a).to_pylist() for i in (0, 1))
+                texts = [t or "" for t in texts]
+                wanted = accept(texts).tolist() if accept else [True] * len(texts)
+                for lang, text, take in zip(langs, texts, wanted, strict=True):
+                    if take:
+                        by_lang[lang].append(text)
                 for lang, texts in by_lang.items():
                     grams, counts = np.unique(byte_grams(texts, order)[1], return_counts=True)
                     if len(grams):
@@ -104,11 +108,11 @@ def _count_task(order: int):
     return run
 
 
-def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """(lang, gram, n) over all documents."""
+def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, accept: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
+    """(lang, gram, n) over all documents, or those that `accept` marks."""
     textarrays.ship_code(docs.sparkSession)
     named = docs.select(language(docs[lang_col]).alias("lang"), docs[text_col].alias("text"))
-    counted = named.mapInArrow(_count_task(order), "lang string, gram long, n long")
+    counted = named.mapInArrow(_count_task(order, accept), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -218,18 +222,37 @@ class Shard:
 
 def shards_of(model: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Iterator[Shard]:
     """Collects one shard at a time. Grams of two bytes at most are in every shard: 2**17 rows for a language at most."""
+    tables = sorted(tuple(r) for r in model.select("lang", "kind", "size").distinct().collect())  # some for each language
+    number_of = F.create_map(*[x for n, t in enumerate(tables) for x in (F.lit("|".join(map(str, t))), F.lit(n))]) if tables else F.lit(None)
     shards = max(1, -(-model.count() // max_entries))
     two = F.when(F.col("kind") == "p", F.shiftright("gram", 8)).otherwise(F.col("gram")).bitwiseAND(F.lit(0xFFFF))
     everywhere = F.col("size") < F.when(F.col("kind") == "p", F.lit(3)).otherwise(F.lit(2))
     for number in range(shards):
-        rows = model.filter(everywhere | (_shard_number(two, shards) == number)).toArrow().sort_by([("lang", "ascending"), ("kind", "ascending"), ("size", "ascending")])
-        names = list(zip(rows["lang"].to_pylist(), rows["kind"].to_pylist(), rows["size"].to_pylist(), strict=True))
-        cuts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]] + [len(names)]
-        gram, value = rows["gram"].to_numpy(), rows["value"].to_numpy()
-        yield Shard(order, number, shards, {names[a]: (gram[a:b].copy(), value[a:b].copy()) for a, b in zip(cuts, cuts[1:], strict=False)})
+        own = model.filter(everywhere | (_shard_number(two, shards) == number)) if shards > 1 else model
+        if not tables:
+            yield Shard(order, number, shards, {})
+            continue
+        rows = own.select(number_of[F.concat_ws("|", "lang", "kind", "size")].alias("n"), "gram", "value").toArrow()
+        table, gram, value = (rows[c].to_numpy() for c in ("n", "gram", "value"))
+        del rows
+        place = np.argsort(table, kind="stable")
+        cuts = np.searchsorted(table[place], np.arange(len(tables) + 1))
+        yield Shard(order, number, shards, {t: (gram[place[a:b]], value[place[a:b]]) for t, a, b in zip(tables, cuts, cuts[1:], strict=False)})
 
 
-def _score_task(shared, lang_at: int, text_at: int, keep: list[int], names: list[str]):
+@dataclass
+class Extra:
+    """Further columns that the scoring pass makes from the texts: names with types, and a function of the texts."""
+
+    fields: dict[str, str]
+    work: Callable[[list[str]], list[np.ndarray]]
+
+    def columns(self, texts: list[str]) -> list[pa.Array]:
+        return [pa.array(c) for c in self.work(texts)]
+
+
+def _score_task(shared, n_keep: int, names: list[str], extra: Extra | None):
+    """Rows: n_keep columns that stay, language, text."""
     built: list = []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,49 +260,55 @@ def _score_task(shared, lang_at: int, text_at: int, keep: list[int], names: list
             built.append(shared.value.build())
         shard, tables = shared.value, built[0]
         for batch in batches:
-            for a, b in textarrays.slices(batch.column(text_at)):
+            for a, b in textarrays.slices(batch.column(n_keep + 1)):
                 part = batch.slice(a, b - a)
-                langs = np.array(part.column(lang_at).to_pylist(), object)
-                texts = np.array([t or "" for t in part.column(text_at).to_pylist()], object)
+                langs = np.array(part.column(n_keep).to_pylist(), object)
+                listed = [t or "" for t in part.column(n_keep + 1).to_pylist()]
+                texts = np.array(listed, object)
                 total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
                 for lang in set(langs.tolist()):
-                    if (lang, "p", shard.order) in tables or (lang, "p", 1) in tables:
+                    if (lang, "p", 1) in tables:
                         rows = np.flatnonzero(langs == lang)
                         text, gram = byte_grams(texts[rows].tolist(), shard.order)
                         mine = slice(None) if shard.shards == 1 else shard.mine(gram)
                         text, gram = text[mine], gram[mine]
                         total[rows] = np.bincount(text, shard.log_probability(tables, lang, gram), len(rows))
                         n[rows] = np.bincount(text, minlength=len(rows))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(total), pa.array(n)], names)
+                more = extra.columns(listed) if extra else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], pa.array(total), pa.array(n), *more], names)
 
     return run
 
 
-def score(docs: DataFrame, model: DataFrame, keep: list[str], lang_col: str = "lang", text_col: str = "text", order: int = ORDER, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """The columns in `keep` of each document, its perplexity per byte and its number of grams."""
+def score(
+    docs: DataFrame, model: DataFrame, keep: list[str], lang_col: str = "lang", text_col: str = "text",
+    order: int = ORDER, max_entries: int = MAX_ENTRIES, extra: Extra | None = None,
+) -> DataFrame:
+    """The columns in `keep` of each document, its perplexity per byte, its number of grams, and the extra columns."""
     spark = docs.sparkSession
     textarrays.ship_code(spark)
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    key = F.unhex(F.md5(F.concat_ws("\x00", language(F.col(lang_col)), F.coalesce(F.col(text_col), F.lit("")))))
-    named = docs.select(*kept, language(F.col(lang_col)).alias("_lang"), F.col(text_col).alias("_text"))
+    lang, text = language(F.col(lang_col)).alias("_lang"), F.col(text_col).alias("_text")
     shards = shards_of(model, order, max_entries)
     first = next(shards)
 
-    def partial(shard: Shard, rows: DataFrame, n: int) -> DataFrame:
-        fields = [*rows.schema.fields[:n]]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", total double, grams long"
-        names = [*(f.name for f in fields), "total", "grams"]
-        return rows.mapInArrow(_score_task(spark.sparkContext.broadcast(shard), n, n + 1, list(range(n)), names), schema)
+    def partial(shard: Shard, rows: DataFrame, extra: Extra | None = None) -> DataFrame:
+        fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields[:-2]} | {"total": "double", "grams": "long"} | (extra.fields if extra else {})
+        task = _score_task(spark.sparkContext.broadcast(shard), len(rows.columns) - 2, list(fields), extra)
+        return rows.mapInArrow(task, ", ".join(f"`{name}` {kind}" for name, kind in fields.items()))
 
     if first.shards == 1:
-        scored = partial(first, named, len(keep))
+        scored = partial(first, docs.select(*kept, lang, text), extra)
     else:  # the sums of a text are the same wherever it stands, so texts are the key
-        texts = docs.select(key.alias("key"), language(F.col(lang_col)).alias("_lang"), F.col(text_col).alias("_text"))
+        key = F.unhex(F.md5(F.concat_ws("\x00", language(F.col(lang_col)), F.coalesce(F.col(text_col), F.lit(""))))).alias("key")
         sums = None
         for shard in (first, *shards):
-            one = partial(shard, texts, 1).groupBy("key").agg(F.max("total").alias("total"), F.max("grams").alias("grams"))
+            one = partial(shard, docs.select(key, lang, text)).groupBy("key").agg(F.max("total").alias("total"), F.max("grams").alias("grams"))
             sums = storage.stage(one if sums is None else sums.union(one), "partial_sums")
         sums = sums.groupBy("key").agg(F.sum("total").alias("total"), F.sum("grams").alias("grams"))
-        scored = docs.select(*kept, key.alias("key")).join(sums, "key").drop("key")
+        rows = docs.select(*kept, key, lang, text)
+        if extra:
+            rows = partial(Shard(order, 0, 1, {}), rows, extra).drop("total", "grams")
+        scored = rows.join(sums, "key")
     perplexity = F.when(F.col("grams") > 0, F.exp(-F.col("total") / F.col("grams"))).alias("perplexity")
-    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], perplexity, "grams")
+    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], perplexity, "grams", *(extra.fields if extra else {}))

@@ -11,7 +11,6 @@ fail the counting rules by their length. Repeated rows are judged alike, each on
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,17 +64,14 @@ def _repeated(words: textarrays.Spans, m: int) -> np.ndarray:
     return np.bincount(words.text[covered], minlength=m)
 
 
-def _count_rows(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-    counts = [pa.array(c.astype(np.int64)) for c in text_counts(texts)]
-    return pa.RecordBatch.from_arrays([*batch.columns, *counts], [*batch.schema.names, *COUNTS])
+def _columns(texts: list[str]) -> list[np.ndarray]:
+    return [c.astype(np.int64) for c in text_counts(texts)]
 
 
-def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Documents with their counts and base_failed."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", {c} long" for c in COUNTS)
-    counted = textarrays.map_texts(docs, _count_rows, text_col, schema)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+def _for_model(texts: list[str]) -> np.ndarray:
+    """Marks texts that pass the counting rules and have few symbols."""
+    n, _, symbols, _, repeats = _columns(texts)
+    return (n >= MIN_WORDS) & (100 * repeats <= MAX_REPEAT_PERCENT * n) & (symbols <= MODEL_SYMBOLS * n)
 
 
 def in_model(scored: DataFrame) -> DataFrame:
@@ -102,10 +98,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col(id_col).alias("doc_id"), ngram_model.language(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"),
         *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)],
     )
-    trained = in_model(with_counts(named.select("lang", "text")))
-    model = ngram_model.estimate(ngram_model.count_grams(trained))
-    columns = ["doc_id", "lang", *COUNTS, "base_failed", *(f"c{i}" for i in range(len(keep)))]
-    scored = storage.stage(ngram_model.score(with_counts(named), model, columns), "scored")
+    model = ngram_model.estimate(ngram_model.count_grams(named, accept=_for_model))
+    columns = ["doc_id", "lang", *(f"c{i}" for i in range(len(keep)))]
+    counts = ngram_model.Extra(dict.fromkeys(COUNTS, "long"), _columns)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    scored = storage.stage(ngram_model.score(named, model, columns, extra=counts).withColumn("base_failed", failed), "scored")
     kept = ~F.col("base_failed") & F.coalesce(F.col("deviation").between(F.col("low"), F.col("high")), F.lit(False))
     return with_bands(scored, fences).withColumn("kept", kept)
 
