@@ -18,6 +18,9 @@ from assayer.session import shared_folder
 # A group holding more than 1/HOT_SHARE of all rows is hot. At most HOT_SHARE
 # groups per counted column can be, which is what bounds the broadcast below.
 HOT_SHARE = 1000
+# Nor may a group have more rows than this without being hot, however large the
+# table: total / HOT_ROWS more groups at most.
+HOT_ROWS = 10_000_000
 
 
 def analysed_columns(df: DataFrame, row_key: Sequence[str] = ()) -> list[str]:
@@ -122,7 +125,7 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def matching_rows(rows: DataFrame, counts: DataFrame, keys: Sequence[str], wanted: Column,
-                  total: int) -> DataFrame:
+                  total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of the groups in ``counts`` for which ``wanted`` holds.
 
     ``counts`` has one row per group with its size ``n``; ``total`` is the number
@@ -132,7 +135,7 @@ def matching_rows(rows: DataFrame, counts: DataFrame, keys: Sequence[str], wante
     against a broadcast and taken out before that shuffle, so no group can fill
     a partition. Keys compare null-safe.
     """
-    is_hot = F.col("n") * HOT_SHARE > F.lit(total)
+    is_hot = (F.col("n") * HOT_SHARE > F.lit(total)) | (F.col("n") > hot_rows)
     marked = stage(counts.where(is_hot | wanted).select(*keys, is_hot.alias("__hot"), wanted.alias("__wanted")))
 
     def on(other: DataFrame) -> Column:

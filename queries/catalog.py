@@ -430,6 +430,29 @@ def correlations(spark, sf):
     return eda.ranked_correlations(eda.correlation_pairs(facts(spark, sf)))
 
 
+@query
+def flat_correlations(spark, sf):
+    return eda.EdaReport(facts(spark, sf)).flat_correlations
+
+
+@query
+def distributions(spark, sf):
+    return rounded(eda.EdaReport(lineitem(spark, sf)).distributions)
+
+
+@query
+def skipped_categories(spark, sf):
+    return eda.skipped_categories(Table(table(spark, sf, "lineitem"), {"l_returnflag": "Categorical", "l_suppkey": "Categorical"}))
+
+
+@query
+def quoted_names(spark, sf):
+    """SQL text over columns whose names hold blanks and quotation marks."""
+    odd = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order key"), F.col("o_totalprice").alias("a`b"))
+    key, price = templates.quote("order key"), templates.quote("a`b")
+    return spark.sql(f"SELECT {key} AS k, {price} AS p FROM {{odd}} WHERE {price} > 1000", odd=odd)
+
+
 @query
 def strongest_correlations(spark, sf):
     return eda.strongest_correlations(eda.correlation_pairs(facts(spark, sf)))

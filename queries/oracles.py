@@ -830,3 +830,8 @@ ORACLES["wide_pivot"] = f"""{_WIDE}, cells AS (SELECT column_1 AS x, column_2 AS
     UNION ALL SELECT column_2, column_1, round(c, 4) FROM w UNION ALL SELECT column_1, column_1, 1.0 FROM w GROUP BY column_1
     UNION ALL SELECT '{WIDE_NUMBERS[-1]}', '{WIDE_NUMBERS[-1]}', 1.0)
 SELECT y, """ + ", ".join(f"max(c) FILTER (WHERE x = '{c}') AS {c}" for c in WIDE_NUMBERS) + " FROM cells GROUP BY y"
+ORACLES["flat_correlations"] = f"SELECT column_1 || ' vs ' || column_2 AS pair, correlation FROM ({ORACLES['correlations']})"
+ORACLES["distributions"] = f"SELECT \"column\", skewness, distribution_shape AS shape FROM ({ORACLES['numeric_profile']})"
+ORACLES["skipped_categories"] = """SELECT 'l_suppkey' AS "column", 'fewer than 2 or more than 30 groups' AS reason FROM lineitem
+    HAVING count(DISTINCT l_suppkey) NOT BETWEEN 2 AND 30"""
+ORACLES["quoted_names"] = "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_totalprice > 1000"

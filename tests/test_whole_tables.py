@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.operators import anomalies, charts, eda, findings, frames, templates
 from assayer.operators.anomalies import Table
@@ -75,3 +76,12 @@ def test_staged_tables_can_be_released(spark):
     frames.release_staged()
     with pytest.raises(Exception, match="not exist|NOT_EXIST"):
         spark.read.parquet(path).count()
+
+
+def test_a_group_of_a_small_share_can_be_hot(spark):
+    total = 20_000
+    rows = spark.range(total).selectExpr("CASE WHEN id % 2000 = 0 THEN 'often' ELSE concat('v', id % 9000) END AS v", "id")
+    counts = rows.groupBy("v").agg(F.count("*").alias("n"))
+    for bound in (5, frames.HOT_ROWS):
+        got = frames.matching_rows(rows, counts, ["v"], F.col("n") == 10, total, bound)
+        assert got.count() == 10 and {r.v for r in got.collect()} == {"often"}
