@@ -647,6 +647,51 @@ def result_chart(spark, sf):
     return rounded(charts.result_chart(result).data, 3)
 
 
+@query
+def result_chart_kpi(spark, sf):
+    chart = charts.result_chart(templates.average(table(spark, sf, "orders"), "o_totalprice"))
+    return chart.data.select(F.lit(chart.chart_type).alias("kind"), F.round("average_o_totalprice", 3).alias("value"))
+
+
+@query
+def result_chart_line(spark, sf):
+    result = templates.average_by(table(spark, sf, "orders"), "o_orderdate", "o_totalprice")
+    return rounded(charts.result_chart(result).data, 6)
+
+
+@query
+def result_chart_histogram(spark, sf):
+    parts = table(spark, sf, "part")
+    result = templates.average(parts, "p_retailprice")
+    return rounded(charts.result_chart(result, "histogram", x="p_retailprice", source=parts).data.drop("bin"))
+
+
+@query
+def result_chart_scatter(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return charts.result_chart(orders, "scatter", "o_custkey", "o_totalprice", order_key=["o_orderkey"]).data
+
+
+@query
+def result_chart_heatmap(spark, sf):
+    numbers = table(spark, sf, "lineitem").select(*views.LINEITEM_NUMBERS)
+    return charts.result_chart(numbers, "heatmap").data
+
+
+@query
+def result_chart_stacked(spark, sf):
+    result = table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority")
+    return charts.result_chart(result, "stacked_bar").data
+
+
+@query
+def result_chart_empty(spark, sf):
+    """No chart for a result without rows: counted over a table of which nothing is left."""
+    orders = table(spark, sf, "orders")
+    chart = charts.result_chart(orders.where("o_totalprice < 0"))
+    return orders.agg(F.count("*").alias("orders"), F.lit(chart is None).alias("no_chart"))
+
+
 @query
 def result_chart_source(spark, sf):
     orders = table(spark, sf, "orders")

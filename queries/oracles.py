@@ -835,3 +835,14 @@ ORACLES["distributions"] = f"SELECT \"column\", skewness, distribution_shape AS
 ORACLES["skipped_categories"] = """SELECT 'l_suppkey' AS "column", 'fewer than 2 or more than 30 groups' AS reason FROM lineitem
     HAVING count(DISTINCT l_suppkey) NOT BETWEEN 2 AND 30"""
 ORACLES["quoted_names"] = "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_totalprice > 1000"
+ORACLES["result_chart_kpi"] = "SELECT 'kpi' AS kind, round(avg(o_totalprice), 3) AS value FROM orders"
+ORACLES["result_chart_line"] = "SELECT o_orderdate, round(avg(o_totalprice), 6) AS average_o_totalprice FROM orders GROUP BY 1"
+ORACLES["result_chart_histogram"] = ORACLES["histogram"]
+ORACLES["result_chart_scatter"] = """SELECT o_custkey::DOUBLE AS o_custkey, o_totalprice FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL
+    ORDER BY o_orderkey LIMIT 500"""
+_WHOLE_PAIRS = [(a, b) for i, a in enumerate(LINEITEM_NUMBERS) for b in LINEITEM_NUMBERS[i + 1:]]
+ORACLES["result_chart_heatmap"] = " UNION ALL ".join(
+    f"SELECT '{x}' AS x, '{y}' AS y, round(corr({a}, {b}), 4) AS correlation FROM lineitem" for a, b in _WHOLE_PAIRS for x, y in ((a, b), (b, a)))
+ORACLES["result_chart_heatmap"] = f"{ORACLES['result_chart_heatmap']} UNION ALL SELECT unnest([{', '.join(map(q, LINEITEM_NUMBERS))}]) AS x, x, 1.0"
+ORACLES["result_chart_stacked"] = "SELECT o_orderstatus, o_orderpriority, count(*) AS count FROM orders GROUP BY ALL"
+ORACLES["result_chart_empty"] = "SELECT count(*) AS orders, count(*) FILTER (WHERE o_totalprice < 0) = 0 AS no_chart FROM orders"
