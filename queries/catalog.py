@@ -704,7 +704,8 @@ def result_chart_source(spark, sf):
 
 @query
 def statistical_findings(spark, sf):
-    found = findings.statistical_findings(facts(spark, sf), 77.5)
+    score = quality_report(spark, sf, False).overall.first()["overall_score"]
+    found = findings.statistical_findings(facts(spark, sf), score)
     return rounded(found.select("type", "importance", "column", "column_2", "value"), 2)
 
 

@@ -763,7 +763,8 @@ for _x in FACT_CATEGORIES:
         round(100.0 * max(n) / sum(n), 2) FROM (SELECT count(*) AS n FROM d GROUP BY {_x})""")
 _FIND.append("""SELECT 'correlation', CASE WHEN abs(c) >= 0.7 THEN 'high' ELSE 'medium' END, column_1, column_2, round(c, 2) FROM
     (SELECT * FROM r ORDER BY abs(c) DESC LIMIT 5) WHERE abs(c) >= 0.5""")
-_FIND.append("SELECT 'quality', 'medium', NULL, NULL, 77.5")
+_FIND.append(f"""SELECT 'quality', CASE WHEN s < 60 THEN 'high' WHEN s < 80 THEN 'medium' ELSE 'low' END, NULL, NULL, s
+    FROM (SELECT overall_score AS s FROM ({ORACLES['quality_score_without_anomalies']}))""")
 ORACLES["statistical_findings"] = f"{FACTS}, {_CORR} {' UNION ALL '.join(_FIND)}"
 ORACLES["result_summary"] = """WITH r AS (SELECT l_shipdate AS d, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1)
 SELECT 'highest' AS kind, (SELECT count(*) FROM r) AS "rows", 'average_l_extendedprice' AS metric, CAST(arg_max(d, m) AS STRING) AS label, round(max(m), 3) AS value FROM r
