@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import textarrays
@@ -122,7 +122,7 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Train on a bounded sample of labelled rows; their number is at most per_language x languages."""
+    """Train on a bounded sample of labelled rows, each text once; their number is at most per_language x languages."""
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     ranked = labelled.select("lang", "text", F.xxhash64("text").alias("draw"))
     total = ranked.groupBy("lang").count().collect()  # one row for each language
@@ -130,9 +130,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     if share is None:
         return None
     near = ranked.filter(F.pmod("draw", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)  # about three times the sample
-    rows = []
-    for r in sorted(total, key=lambda r: r.lang):
-        rows += near.filter(F.col("lang") == r.lang).orderBy("draw", "text").limit(per_language).collect()
+    once = near.groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    rows = once.withColumn("nth", nth).filter(F.col("nth") <= per_language).collect()
+    rows.sort(key=lambda r: (r.lang, r.draw))
     return train([r.text for r in rows], [r.lang for r in rows]) if rows else None
 
 

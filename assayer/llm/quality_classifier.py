@@ -18,7 +18,7 @@ from assayer.llm import ngram_model, storage
 
 QUANTILE, SLACK = 0.99, 1.0
 #: Rows of one shard of the joins.
-SHARD_ENTRIES = 500_000
+SHARD_ENTRIES = 1_000_000
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
