@@ -12,6 +12,7 @@ CHECKED = (
     "schema_profile_dirty", "missing_by_column", "iqr_outliers", "suspicious_rows", "anomaly_issues", "quality_score",
     "consistency", "clean_result", "clean_log", "numeric_profile", "categorical_profile", "correlations",
     "category_numeric_groups", "cramers_v", "time_trend", "histogram", "statistical_findings", "exact_quantiles", "sql_cube",
+    "row_issues", "wide_pivot", "csv_round_trip", "schema_context", "json_records", "result_chart_heatmap",
 )
 
 
