@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from assayer.llm import storage, textarrays
 
 BAND_ROWS, MISS = 4, 1e-7
-SKETCH, LOW_BITS, SIGMAS = 768, 2, 4.5
+SKETCH, LOW_BITS, SIGMAS = 1024, 2, 4.25
 #: Rows without an id are numbered from here; no real id may be as large.
 NO_ID = 1 << 62
 
