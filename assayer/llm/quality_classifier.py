@@ -19,11 +19,15 @@ from assayer.llm import ngram_model, storage
 QUANTILE, SLACK = 0.99, 1.0
 #: Rows of one shard of the joins.
 SHARD_ENTRIES = 1_000_000
+#: Up to so many trusted ids, 8 bytes each, are broadcast, so that texts aren't shuffled to find them.
+MAX_BROADCAST_IDS = 2_000_000
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """(doc_id, lang, perplexity, deviation, limit, kept) of each document. trusted: a column of ids; null ids are ignored."""
     ids = trusted.select(trusted.columns[0]).toDF("_trusted").filter("_trusted IS NOT NULL").distinct()
+    ids = storage.stage(ids, "trusted_ids")
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
     named = docs.select(F.col(id_col).alias("doc_id"), ngram_model.language(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
     named = named.withColumn("filled", F.coalesce(F.col("text"), F.lit("")) != "")
     sample = named.join(ids, named.doc_id == ids._trusted, "left_semi")
