@@ -51,6 +51,11 @@ def language(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(UNKNOWN_LANG))
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(lang, text_key, text): each text of a language once, however many rows have it; copies are combined map-side."""
+    return docs.groupBy("lang", F.unhex(F.md5("text")).alias("text_key")).agg(F.first("text").alias("text"))
+
+
 def byte_grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Text number and gram of each window of `order` bytes within one text."""
     flat = textarrays.Bytes.of(texts)

@@ -1,12 +1,15 @@
 """Quality classifier: perplexity under models of trusted text.
 
-Interpolated modified Kneser-Ney models (see `ngram_model`) are trained on the trusted documents of each language. Joins
-with the model's shards give every document's perplexity. Its distance from the median of the language's trusted documents
-counts less for short texts; a document passes up to the QUANTILE of the trusted documents' distances, widened by SLACK of
-itself, for trusted text is easier for a model it has trained.
+Interpolated modified Kneser-Ney models (see `ngram_model`) are trained on the distinct trusted texts of each language. Joins
+with the model's shards give every document's perplexity. Its distance from the median of the language's trusted texts
+counts less for short texts; a document passes up to the QUANTILE of the trusted texts' distances. Median and quantile
+come from held-out scores: trusted texts are dealt into FOLDS by a hash, and each is scored by a model of the other folds,
+for a text that a model has seen is far easier for it than unseen text of the same kind. Copies of a text count once.
 
-A null or empty text isn't kept. A text shorter than a gram has no perplexity, and a language without trusted text has no
-limit: what can't be judged is kept. A null language is "und". Repeated rows are judged alike.
+A language with fewer than MIN_TEXTS held-out scores takes the quantile over all languages' distances from their medians.
+A null or empty text isn't kept. A text shorter than a gram has no perplexity, and a language without held-out scores (no
+trusted text, or all of it in one fold) has no limit: what can't be judged is kept. A null language is "und". Repeated
+rows are judged alike.
 """
 
 from __future__ import annotations
@@ -16,30 +19,59 @@ from pyspark.sql import functions as F
 
 from assayer.llm import ngram_model, storage
 
-QUANTILE, SLACK = 0.99, 1.0
+QUANTILE = 0.99
+#: Parts of the trusted texts, at most 9; a model of all but one scores that one.
+FOLDS = 4
+#: Held-out scores that a language needs for a quantile of its own.
+MIN_TEXTS = 20
 #: Rows of one shard of the joins.
 SHARD_ENTRIES = 1_000_000
 #: Up to so many trusted ids, 8 bytes each, are broadcast, so that texts aren't shuffled to find them.
 MAX_BROADCAST_IDS = 2_000_000
+#: Stands before the language in the model of all folds; a fold's number in the model of the others.
+ALL = "*"
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def models(sample: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Model table of all (fold, lang, text) rows, and of all but one fold for each fold; counted once for each fold."""
+    marked = sample.select(F.concat_ws("|", "fold", "lang").alias("lang"), "text")
+    counts = storage.stage(ngram_model.count_grams(marked), "fold_grams")
+    own = F.substring("lang", 1, 1)
+    outs = F.array(F.lit(ALL), *[F.lit(str(f)) for f in range(folds)])
+    used = counts.select(F.explode(F.filter(outs, lambda out: out != own)).alias("out"), F.expr("substring(lang, 3)").alias("lang"), "gram", "n")
+    summed = used.groupBy(F.concat_ws("|", "out", "lang").alias("lang"), "gram").agg(F.sum("n").alias("n"))
+    return ngram_model.estimate(summed)
+
+
+def held_out_limits(held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(lang, median, limit): one row for each language that has held-out scores."""
+    held = held.filter("perplexity IS NOT NULL")
+    middle = held.groupBy("lang").agg(F.percentile_approx(F.log("perplexity"), 0.5, 10_000).alias("median"))
+    away = held.join(F.broadcast(middle), "lang").withColumn("deviation", ngram_model.deviation(F.col("perplexity"), F.col("median"), F.col("grams")))
+    end = F.percentile_approx("deviation", quantile, 10_000)
+    over_all = away.agg(end.alias("over_all"))
+    own = away.groupBy("lang").agg(F.first("median").alias("median"), end.alias("own"), F.count("*").alias("n"))
+    limit = F.when(F.col("n") >= MIN_TEXTS, F.col("own")).otherwise(F.col("over_all"))
+    return own.crossJoin(F.broadcast(over_all)).select("lang", "median", limit.alias("limit"))
+
+
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, deviation, limit, kept) of each document. trusted: a column of ids; null ids are ignored."""
     ids = trusted.select(trusted.columns[0]).toDF("_trusted").filter("_trusted IS NOT NULL").distinct()
     ids = storage.stage(ids, "trusted_ids")
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
     named = docs.select(F.col(id_col).alias("doc_id"), ngram_model.language(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
     named = named.withColumn("filled", F.coalesce(F.col("text"), F.lit("")) != "")
-    sample = named.join(ids, named.doc_id == ids._trusted, "left_semi")
-    model = ngram_model.estimate(ngram_model.count_grams(sample))
-    scored = storage.stage(ngram_model.score(named, model, ["doc_id", "lang", "filled"], max_entries=SHARD_ENTRIES), "scored")
-    ours = scored.join(ids, scored.doc_id == ids._trusted, "left_semi").groupBy("lang")
-    middle = ours.agg(F.percentile_approx(F.log("perplexity"), 0.5, 10_000).alias("median"))  # one row for a language
-    distance = ngram_model.deviation(F.col("perplexity"), F.col("median"), F.col("grams"))
-    away = scored.join(F.broadcast(middle), "lang", "left").withColumn("deviation", distance)
-    limits = away.join(ids, away.doc_id == ids._trusted, "left_semi").groupBy("lang").agg(
-        ((1 + slack) * F.percentile_approx("deviation", quantile, 10_000)).alias("limit")
-    )
-    judged = away.join(F.broadcast(limits), "lang", "left")
+    sample = ngram_model.distinct_texts(named.join(ids, named.doc_id == ids._trusted, "left_semi").filter("filled"))
+    sample = storage.stage(sample.select(F.pmod(F.crc32("text_key"), F.lit(FOLDS)).cast("string").alias("fold"), "lang", "text"), "trusted_texts")
+    model = models(sample)
+    plain = F.expr("substring(lang, 3)").alias("lang")
+    of_all = model.filter(F.col("lang").startswith(ALL)).select(plain, "kind", "size", "gram", "value")
+    scored = storage.stage(ngram_model.score(named, of_all, ["doc_id", "lang", "filled"], max_entries=SHARD_ENTRIES), "scored")
+    marked = sample.select(F.concat_ws("|", "fold", "lang").alias("lang"), "text")
+    held = ngram_model.score(marked, model.filter(~F.col("lang").startswith(ALL)), ["lang"]).withColumn("lang", plain)
+    limits = held_out_limits(storage.stage(held, "held_out"), quantile)
+    judged = scored.join(F.broadcast(limits), "lang", "left")
+    judged = judged.withColumn("deviation", ngram_model.deviation(F.col("perplexity"), F.col("median"), F.col("grams")))
     kept = F.col("filled") & F.coalesce(F.col("deviation") <= F.col("limit"), F.lit(True))
     return judged.select("doc_id", "lang", "perplexity", "deviation", "limit", kept.alias("kept"))
