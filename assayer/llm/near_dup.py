@@ -4,7 +4,7 @@
    cost one row, however many there are.
 2. Band keys of BAND_ROWS minima put representatives in buckets. As many bands as make the chance that a pair at the
    threshold shares none at most MISS. Buckets with one member end here.
-3. Members get their full set and a packed signature of the SKETCH low bit pairs of minima. Similarity is estimated by bit
+3. Members get their full set and a packed signature of the SKETCH low bit pairs of minima, mixed once more. Similarity is estimated by bit
    counts, corrected for chance agreement; a pair stays if the estimate is within SIGMAS deviations of the threshold.
 4. First every member is held against the smallest of its bucket. What the confirmed links join is one component; then
    only members outside their bucket's largest component are held against members of other components, each pair in the
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from assayer.llm import storage, textarrays
 
 BAND_ROWS, MISS = 4, 1e-7
-SKETCH, LOW_BITS, SIGMAS = 1024, 2, 4.25
+SKETCH, LOW_BITS, SIGMAS = 1024, 2, 4.5
 #: Rows without an id are numbered from here; no real id may be as large.
 NO_ID = 1 << 62
 
@@ -57,6 +57,12 @@ def minima(shingles: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> np.n
     return best
 
 
+def places(shingles: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The minima, each mixed with its permutation: the low bits of a product follow from the shingle's low bits alone, so
+    without it two different minima would agree under all permutations or under none."""
+    return textarrays.mix(minima(shingles, factors, masks) ^ factors)
+
+
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     words = textarrays.spans(textarrays.Bytes.of(texts), textarrays.SPACES, lower=True)
@@ -118,7 +124,7 @@ def _with_sketch(width: int):
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         sets = shingle_sets(texts, width)
-        packed = _lists([pack(minima(s, factors, masks)) for s in sets], pa.int64())
+        packed = _lists([pack(places(s, factors, masks)) for s in sets], pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.binary()), _lists(sets, pa.int64()), packed], ["digest", "shingles", "sketch"])
 
     return work

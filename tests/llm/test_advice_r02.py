@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from assayer.llm import quality_classifier
+from assayer.llm import near_dup, quality_classifier
 
 
 def varied(seed, words=160, vocabulary=4000):
@@ -24,3 +25,20 @@ def test_classifier_keeps_clean_unseen_text(spark, copies):
     kept = {r.doc_id: r.kept for r in rows}
     assert len(rows) == docs.count() and all(kept[i] for i in range(40))
     assert sum(kept[100 + i] for i in range(60)) >= 54 and not any(kept[200 + i] for i in range(5))
+
+
+@pytest.mark.parametrize(("total", "common", "threshold"), [(7, 6, 0.85), (14, 12, 0.85), (5, 4, 0.8), (10, 8, 0.8)])
+def test_estimates_keep_small_sets_at_the_threshold(total, common, threshold):
+    factors, masks = near_dup.permutations(near_dup.SKETCH)
+    draw, lost = np.random.default_rng(total), 0
+    for _ in range(500):
+        union = draw.integers(0, 1 << 63, total, dtype=np.uint64) * np.uint64(2) + draw.integers(0, 2, total, dtype=np.uint64)
+        half = common + (total - common) // 2
+        a, b = union[:half], np.concatenate([union[:common], union[half:]])
+        differs = np.zeros(near_dup.SKETCH // 64, np.int64)
+        for x, y in zip(*(near_dup.pack(near_dup.places(s, factors, masks)).reshape(near_dup.LOW_BITS, -1) for s in (a, b)), strict=True):
+            differs |= x ^ y
+        agree = 1 - sum(int(d).bit_count() for d in differs.view(np.uint64)) / near_dup.SKETCH
+        chance = 0.5**near_dup.LOW_BITS
+        lost += (agree - chance) / (1 - chance) < near_dup.estimate_floor(threshold)
+    assert lost == 0
