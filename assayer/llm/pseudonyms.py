@@ -9,12 +9,18 @@ Numbers: payment cards, phone numbers, account numbers (IBAN), social security n
 year-month-day and day or month first with a four-digit year. Names in mail addresses and tokens of secrets are permuted
 letter by letter within their class. What doesn't validate stays as it is.
 
-Null text stays null; empty text stays empty; texts of any length are taken whole, matches never overlap (the first
-pattern in the list wins). Repeated rows get the same text. All other columns pass through, whatever their names.
+Where a match doesn't validate, or more numbers stand next to it, all readings of the run of numbers count: every kind at
+every start, up to every end where its pattern could end. Those that validate and don't overlap are chosen so that first
+the digits of certain kinds (all but phone numbers and cards in unusual groups), then those of phone numbers and cards
+with one separator, then all digits covered are as many as possible. A phone number isn't read inside an account number or a card in usual groups whose check fails.
+
+Null text stays null; empty text stays empty; texts of any length are taken whole, matches never overlap (mail and secret
+first, then the leftmost). Repeated rows get the same text. All other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
@@ -44,6 +50,17 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"),
 )
 
+#: What numbers and account numbers next to each other are made of; where a reading may begin and end; the longest reading.
+RUN = re.compile(r"[0-9A-Z ()+./-]+")
+STARTS = re.compile(r"(?=(?<![0-9])[0-9]|[+(]|\b[A-Z]{2}[0-9]{2})")
+ENDS = re.compile(r"(?<=[0-9A-Z])(?![0-9A-Z])|(?<=[0-9])(?=[A-Z])")
+LONGEST = 48
+#: Kinds with characters outside of runs; they always validate. No longer than MARGIN.
+WORDY, MARGIN = ("mail", "secret"), 800
+DIGIT, CLOSE = re.compile("[0-9]"), re.compile("[0-9A-Za-z@_%+-]")
+#: Cards in usual groups.
+USUAL_CARD = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])(?:[0-9]{4}\1){2,3}[0-9]{1,4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
+
 
 def check_digit(body: str) -> int:
     """Luhn's digit that belongs after a number."""
@@ -126,6 +143,10 @@ class Pseudonymiser:
             groups += own + 1
         self.pattern = re.compile("|".join(shifted))
         self.kinds = [kind for kind, _ in patterns]
+        alone = {kind: re.compile(pattern) for kind, pattern in patterns}
+        tails = {kind: re.search(r"(?:\(\?![^()]*\)|\\b)?$", pattern)[0] for kind, pattern in patterns}  # a reading cut short must hold them too
+        self.readings = [(kind, alone[kind], re.compile(tails[kind])) for kind in self.kinds if kind not in WORDY]
+        self.wordy = re.compile("|".join(f"(?P<{kind}>{alone[kind].pattern})" for kind in self.kinds if kind in WORDY) or r"(?!)")
         self.of = functools.lru_cache(100_000)(self.value)
 
     def value(self, kind: str, value: str, back: bool = False) -> str | None:
@@ -204,19 +225,79 @@ class Pseudonymiser:
         start = len(lead[0]) if lead else 0
         return value[:start] + self.permuter.text("phone", value[start:], back=back)
 
+    def candidates(self, text: str, start: int, end: int) -> list[tuple[int, int, str, str]]:
+        """All valid readings (start, end, kind, pseudonym) that begin in a run, by start, kind and falling length."""
+        found, failed = [], []
+        ends = [m.start() for m in ENDS.finditer(text, start, end)]
+        if not ends or ends[-1] != end:
+            ends.append(end)
+        for s in (m.start() for m in STARTS.finditer(text, start, end)):
+            near = ends[bisect.bisect_right(ends, s) : bisect.bisect_right(ends, s + LONGEST)]
+            for kind, pattern, tail in self.readings:
+                if not pattern.match(text, s):
+                    continue
+                formed = [e for e in reversed(near) if tail.match(text, e) and pattern.fullmatch(text, s, e)]
+                valid = [(s, e, kind, new) for e in formed if (new := self.of(kind, text[s:e])) is not None]
+                found += valid
+                if not valid:
+                    usual = [e for e in formed if kind == "iban" or (kind == "card" and USUAL_CARD.fullmatch(text, s, e))]
+                    failed += [(s, max(usual))] if usual else []
+        inside = lambda s, e: any(a <= s and e <= b for a, b in near_failed(s))
+        begins = [a for a, _ in failed]
+        near_failed = lambda s: failed[bisect.bisect_left(begins, s - LONGEST) : bisect.bisect_right(begins, s)]
+        found = [c for c in found if c[2] != "phone" or not inside(c[0], c[1])]
+        at = start
+        while at < end and (m := self.wordy.search(text, at, min(len(text), end + MARGIN))) and m.start() < end:
+            found.append((m.start(), m.end(), m.lastgroup, self.of(m.lastgroup, m[0])))
+            at = m.end()
+        rank = {kind: i for i, kind in enumerate(self.kinds)}
+        return sorted(found, key=lambda c: (c[0], rank[c[2]], -c[1]))
+
+    @staticmethod
+    def worth(text: str, start: int, end: int, kind: str) -> tuple[int, int, int, int]:
+        """Digits and letters of a reading: of mail or secret, of a certain kind, of anything but a card with blanks and hyphens, of all."""
+        n = sum(map(str.isalnum, text[start:end]))
+        certain = kind != "phone" and (kind != "card" or USUAL_CARD.fullmatch(text, start, end) is not None)
+        mixed = kind == "card" and " " in text[start:end] and "-" in text[start:end]
+        return n * (kind in WORDY), n * certain, n * (not mixed), n
+
+    def chosen(self, text: str, start: int, end: int) -> list[tuple[int, int, str, str]]:
+        """The readings of a run that are worth most together; of equal ones the earlier."""
+        found = self.candidates(text, start, end)
+        begins = [c[0] for c in found]
+        best, take = [(0, 0, 0, 0)] * (len(found) + 1), [None] * len(found)
+        for i in range(len(found) - 1, -1, -1):  # best[i]: of the readings from the i-th on
+            s, e, kind, _ = found[i]
+            after = bisect.bisect_left(begins, e, i + 1)
+            total = tuple(map(int.__add__, self.worth(text, s, e, kind), best[after]))
+            best[i], take[i] = (total, after) if total >= best[i + 1] else (best[i + 1], None)
+        out, i = [], 0
+        while i < len(found):
+            if take[i] is not None:
+                out.append(found[i])
+            i = take[i] if take[i] is not None else i + 1
+        return out
+
     def text(self, text: str) -> tuple[str, int]:
         """The text with pseudonyms, and how many."""
-        count = 0
-
-        def change(m: re.Match) -> str:
-            nonlocal count
-            new = self.of(m.lastgroup, m[0])
-            if new is None:
-                return m[0]
-            count += 1
-            return new
-
-        return self.pattern.sub(change, text), count
+        out, count, at, done = [], 0, 0, 0
+        while m := self.pattern.search(text, at):
+            kind, (start, end) = m.lastgroup, m.span()
+            new = self.of(kind, m[0])
+            if kind in WORDY:
+                spans, at = [(start, end, kind, new)], end
+            else:
+                run = RUN.match(text, start).end()
+                if new is not None and (kind != "card" or USUAL_CARD.fullmatch(m[0])) and not DIGIT.search(text, end, run) and not CLOSE.match(text, end):
+                    spans, at = [(start, end, kind, new)], end
+                else:
+                    spans = self.chosen(text, start, run)
+                    at = max(run, spans[-1][1] if spans else 0)
+            for s, e, _, value in spans:
+                out += [text[done:s], value]
+                done = e
+            count += len(spans)
+        return "".join([*out, text[done:]]), count
 
 
 @functools.lru_cache(4)

@@ -1,11 +1,12 @@
 """Cases of the second review: each failed before its finding was settled."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 
-from assayer.llm import near_dup, quality_classifier
+from assayer.llm import near_dup, pseudonyms, quality_classifier
 
 
 def varied(seed, words=160, vocabulary=4000):
@@ -42,3 +43,59 @@ def test_estimates_keep_small_sets_at_the_threshold(total, common, threshold):
         chance = 0.5**near_dup.LOW_BITS
         lost += (agree - chance) / (1 - chance) < near_dup.estimate_floor(threshold)
     assert lost == 0
+
+
+NUMBERS = {
+    "card": "4111111111111111", "spaced": "4111 1111 1111 1111", "phone": "415-555-0123", "blanks": "415 555 0123", "date": "2020-01-02", "social": "123-45-6789",
+    "iban": "GB82 WEST 1234 5698 7654 32", "address": "10.20.30.40",
+}
+
+
+@pytest.mark.parametrize(("text", "values"), [
+    ("12 4111111111111111", ["card"]), ("5 4111111111111111", ["card"]), ("4111 1111 1111 1111 123", ["spaced"]), ("415-555-0123 2020-01-02", ["phone", "date"]),
+    ("123-45-6789 2020-01-02", ["social", "date"]), ("415-555-0123 415-555-0124", ["phone"]), ("415 555 0123 415 555 0124", ["blanks"]),
+    ("2023-02-30 415-555-0123", ["phone"]), ("GB82 WEST 1234 5698 7654 32 THEN 4111111111111111", ["iban", "card"]), ("10.20.30.40 2020-01-02 7", ["address", "date"]),
+])
+def test_numbers_next_to_each_other_are_all_found(text, values):
+    own = pseudonyms.Pseudonymiser(b"k")
+    got, n = own.text(text)
+    assert n >= len(values) and len(got) >= len(text) - 12
+    for name in values:
+        kind = {"spaced": "card", "blanks": "phone"}.get(name, name)
+        assert NUMBERS[name] not in got and own.value(kind, NUMBERS[name]) in got
+    assert "0124" not in got
+
+
+def brute_worth(own, text):
+    """The most that readings of a text can be worth: all spans, each matched in the whole text."""
+    found, failed = {}, []
+    for kind, pattern in pseudonyms.PATTERNS:
+        for s in range(len(text)):
+            formed = [e for e in range(s + 1, len(text) + 1) if _spans(pattern, text, s, e)]
+            valid = [e for e in formed if own.value(kind, text[s:e]) is not None]
+            usual = [e for e in formed if kind == "iban" or (kind == "card" and pseudonyms.USUAL_CARD.fullmatch(text[s:e]))]
+            failed += [(s, max(usual))] if usual and not valid else []
+            found.setdefault(s, []).extend((e, kind) for e in valid)
+    best = [(0, 0, 0, 0)] * (len(text) + 1)
+    for s in range(len(text) - 1, -1, -1):
+        options = [best[s + 1]]
+        for e, kind in found.get(s, []):
+            if kind != "phone" or not any(a <= s and e <= b for a, b in failed):
+                options.append(tuple(map(int.__add__, own.worth(text, s, e, kind), best[e])))
+        best[s] = max(options)
+    return best[0]
+
+
+def _spans(pattern, text, s, e):
+    return re.match(f"(?s:.{{{s}}})(?:{pattern})(?s:.{{{len(text) - e}}})\\Z", text) is not None
+
+
+def test_adjacent_numbers_match_brute_force():
+    own, draw = pseudonyms.Pseudonymiser(b"k"), random.Random(4)
+    pieces = [*NUMBERS.values(), "12", "5", "123", "2023-02-30", "4111 1111 1111 1112", "+1 415 555 0199", "(415) 555-0123", "AB", "x", "31.12.1999", "4222222222222"]
+    for _ in range(5):
+        text = "".join(p + draw.choice([" ", " ", "-", ", ", "."]) for p in draw.choices(pieces, k=draw.randint(2, 3)))
+        spans = own.chosen(text, 0, len(text)) if pseudonyms.RUN.fullmatch(text) else None
+        if spans is not None:
+            got = [own.worth(text, s, e, kind) for s, e, kind, _ in spans]
+            assert tuple(map(sum, zip((0, 0, 0, 0), *got, strict=True))) == brute_worth(own, text), text
