@@ -1,8 +1,11 @@
 """Quality rules: counts over words and lines, then the perplexity band of the document's language.
 
-The model (see `ngram_model`) is counted over all documents that pass the counting rules and have few symbols, so it stays
+The model (see `ngram_model`) is counted over all texts that pass the counting rules and have few symbols, so it stays
 surprised by what the others are made of. The band of a language reaches FENCES quartile distances below the first and above
-the third quartile of those documents' log perplexity, which counts less for short texts; what lies outside is rejected.
+the third quartile of those texts' log perplexity, which counts less for short texts; what lies outside is rejected. Model,
+median and quartiles take each text of a language once, so copies don't move them. A language with fewer than MIN_TEXTS
+such texts, or without any distance between its quartiles, takes the band over the texts of all languages, each held
+against the median of its own.
 
 Words are runs of anything but white space. Null or empty text has no words and fails. Documents without a perplexity
 fail the counting rules by their length. Repeated rows are judged alike, each on its own row. An empty table gives an empty result.
@@ -24,6 +27,8 @@ MODEL_SYMBOLS = 0.1
 #: Quartile distances that a band reaches below and above the quartiles. Texts that share passages are easy for the model
 #: without being bad, so the lower end is further away.
 FENCES = (6.0, 3.0)
+#: Distinct texts that a language needs for a band of its own.
+MIN_TEXTS = 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -79,17 +84,19 @@ def in_model(scored: DataFrame) -> DataFrame:
 
 
 def with_bands(scored: DataFrame, fences: tuple[float, float] = FENCES) -> DataFrame:
-    """With deviation, low and high: the band of a language is one row, made from the documents in the model."""
-    middle = in_model(scored).groupBy("lang").agg(F.percentile_approx(F.log("perplexity"), 0.5, 10_000).alias("median"))
-    away = scored.join(F.broadcast(middle), "lang", "left").withColumn(
-        "deviation", ngram_model.deviation(F.col("perplexity"), F.col("median"), F.col("grams"))
-    )
+    """With deviation, low and high: the band of a language is one row, made from the distinct texts in the model."""
+    once = in_model(scored).groupBy("lang", "text_key").agg(F.first("perplexity").alias("perplexity"), F.first("grams").alias("grams"))
+    once = storage.stage(once, "distinct_scores")
+    middle = F.broadcast(once.groupBy("lang").agg(F.percentile_approx(F.log("perplexity"), 0.5, 10_000).alias("median")))
+    distance = ngram_model.deviation(F.col("perplexity"), F.col("median"), F.col("grams"))
+    away = once.join(middle, "lang").withColumn("deviation", distance)
     quartiles = F.percentile_approx("deviation", [0.25, 0.75], 10_000)
+    own = away.groupBy("lang").agg(quartiles.alias("own"), F.count("*").alias("n"))
+    enough = (F.col("n") >= MIN_TEXTS) & (F.col("own")[1] > F.col("own")[0])
+    bands = own.crossJoin(F.broadcast(away.agg(quartiles.alias("over_all")))).withColumn("q", F.when(enough, F.col("own")).otherwise(F.col("over_all")))
     spread = F.col("q")[1] - F.col("q")[0]
-    ends = in_model(away).groupBy("lang").agg(quartiles.alias("q")).select(
-        "lang", (F.col("q")[0] - fences[0] * spread).alias("low"), (F.col("q")[1] + fences[1] * spread).alias("high")
-    )
-    return away.join(F.broadcast(ends), "lang", "left")
+    ends = bands.select("lang", (F.col("q")[0] - fences[0] * spread).alias("low"), (F.col("q")[1] + fences[1] * spread).alias("high"))
+    return scored.join(middle, "lang", "left").withColumn("deviation", distance).join(F.broadcast(ends), "lang", "left")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = (), fences: tuple[float, float] = FENCES) -> DataFrame:
@@ -98,13 +105,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col(id_col).alias("doc_id"), ngram_model.language(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"),
         *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)],
     )
-    model = ngram_model.estimate(ngram_model.count_grams(named, accept=_for_model))
-    columns = ["doc_id", "lang", *(f"c{i}" for i in range(len(keep)))]
+    named = named.withColumn("text_key", F.unhex(F.md5("text")))
+    model = ngram_model.estimate(ngram_model.count_grams(ngram_model.distinct_texts(named), accept=_for_model))
+    columns = ["doc_id", "lang", "text_key", *(f"c{i}" for i in range(len(keep)))]
     counts = ngram_model.Extra(dict.fromkeys(COUNTS, "long"), _columns)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = storage.stage(ngram_model.score(named, model, columns, extra=counts).withColumn("base_failed", failed), "scored")
     kept = ~F.col("base_failed") & F.coalesce(F.col("deviation").between(F.col("low"), F.col("high")), F.lit(False))
-    return with_bands(scored, fences).withColumn("kept", kept)
+    return with_bands(scored, fences).drop("text_key").withColumn("kept", kept)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fences: tuple[float, float] = FENCES) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from assayer.llm import near_dup, pseudonyms, quality_classifier
+from assayer.llm import near_dup, pseudonyms, quality_classifier, quality_rules
 
 
 def varied(seed, words=160, vocabulary=4000):
@@ -99,3 +99,18 @@ def test_adjacent_numbers_match_brute_force():
         if spans is not None:
             got = [own.worth(text, s, e, kind) for s, e, kind, _ in spans]
             assert tuple(map(sum, zip((0, 0, 0, 0), *got, strict=True))) == brute_worth(own, text), text
+
+
+@pytest.mark.parametrize("copies", [40, 300])
+def test_copies_do_not_move_the_band(spark, copies):
+    good = [(i, varied(i), "en") for i in range(60)]
+    bad = [(100 + i, " ".join(f"{w}%|" if k % 3 == 0 else w for k, w in enumerate(varied(200 + i).split())), "en") for i in range(5)]
+    few = [(300 + i, varied(300 + i), "fr") for i in range(3)]
+    copied = [(1000 + i, good[0][1], "en") for i in range(copies)]
+    docs = spark.createDataFrame([*good, *bad, *few, *copied], "doc_id long, text string, lang string").repartition(4)
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    alone = {r.doc_id: r.kept for r in quality_rules.judge(docs.filter("doc_id < 1000")).collect()}
+    assert {i: k for i, k in kept.items() if i < 1000} == alone and len(kept) == docs.count()
+    passing = np.flatnonzero(quality_rules._for_model([text for _, text, _ in good])).tolist()
+    assert all(kept[i] == kept[0] for i in range(1000, 1000 + copies))
+    assert all(kept[i] for i in passing) and len(passing) >= 40 and not any(kept[100 + i] for i in range(5)) and sum(kept[300 + i] for i in range(3)) == quality_rules._for_model([text for _, text, _ in few]).sum() > 0
