@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontamination, langid, licenses, near_dup, pseudonyms, quality_classifier, quality_rules, sharding, storage, token_rollup
+from assayer.llm import bpe, decontamination, langid, licenses, merkle, near_dup, pseudonyms, quality_classifier, quality_rules, sharding, spelling, storage, token_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +107,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_subword_softmax": op2_subword_softmax,
@@ -118,6 +126,8 @@ QUERIES: dict[str, Query] = {
     "op8_token_rollup": op8_token_rollup,
     "op9_trusted_perplexity": op9_trusted_perplexity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
