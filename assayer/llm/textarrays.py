@@ -21,6 +21,9 @@ _U = np.uint64
 #: Odd multiplier of the rolling hash, and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Primes below 2**31 with a base each; bytes times powers add up exactly over so many bytes.
+_PRIMES = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_664_525_017))
+_EXACT = 1 << 24
 
 #: White space that splits words.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -124,27 +127,55 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_tables: dict[str, np.ndarray] = {}
+def _prime_powers(base: int, prime: int, n: int) -> np.ndarray:
+    out = np.ones(1, _U)
+    while len(out) < n:
+        out = np.concatenate([out, out * _U(pow(base, len(out), prime)) % _U(prime)])
+    return out[:n]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+_tables: dict[tuple, np.ndarray] = {}
+
+
+def _table(make: Callable[..., np.ndarray], *of: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 at least; kept up to the size of a usual slice."""
     if n > 4 * SLICE_BYTES:
-        return _powers(_BASE, n), _powers(_INVERSE, n)
-    if "up" not in _tables or len(_tables["up"]) < n:
-        size = max(n, SLICE_BYTES * 5 // 4)
-        _tables.update(up=_powers(_BASE, size), down=_powers(_INVERSE, size))
-    return _tables["up"], _tables["down"]
+        return make(*of, n)
+    if of not in _tables or len(_tables[of]) < n:
+        _tables[of] = make(*of, max(n, SLICE_BYTES * 5 // 4))
+    return _tables[of]
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of stretches of bytes, from one running sum over all of them."""
-    if not len(start):
+def rolling_hash(data: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all stretches of `width` bytes, a polynomial modulo 2**64: for a few hundred bytes at most, as long words can be
+    made to collide under it."""
+    n = len(data) - width + 1
+    if n <= 0:
         return np.zeros(0, _U)
-    up, down = _power_tables(len(data))
+    up, down = _table(_powers, _BASE, n=len(data)), _table(_powers, _INVERSE, n=len(data))
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum(data * up[: len(data)], out=sums[1:], dtype=_U)
-    value = (sums[end] - sums[start]) * down[start]
-    return mix(value + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    return mix((sums[width:] - sums[:n]) * down[:n])
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, from a running sum over all of them: polynomials modulo two primes.
+
+    Sums of up to _EXACT bytes are exact whole numbers before they are reduced; longer stretches are added up in parts."""
+    if not len(start):
+        return np.zeros(0, _U)
+    value = (end - start).astype(_U) * _U(0xD6E8FEB86659FD93)
+    parts = int((end - start).max()) // _EXACT + 1
+    for prime, base in _PRIMES:
+        up, down = _table(_prime_powers, base, prime, n=len(data)), _table(_prime_powers, pow(base, -1, prime), prime, n=len(data))
+        sums = np.zeros(len(data) + 1, _U)
+        np.cumsum(data * up[: len(data)], out=sums[1:], dtype=_U)
+        total = np.zeros(len(start), _U)
+        for j in range(parts):
+            low, high = (np.minimum(start + i * _EXACT, end) for i in (j, j + 1))
+            total += (sums[high] - sums[low]) % _U(prime)
+        value = mix(value + total % _U(prime) * down[start] % _U(prime))
+    return value
 
 
 def spans(texts: Bytes, separators: bytes, lower: bool = False) -> Spans:
