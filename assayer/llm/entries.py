@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontamination, langid, licenses, merkle, near_dup, pseudonyms, quality_classifier, quality_rules, sharding, spelling, storage, token_rollup
+from assayer.llm import bpe, decontamination, langid, licenses, merkle, near_dup, pseudonyms, quality_classifier, quality_rules, sharding, spelling, storage, suffix_dedup, token_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +107,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["high"] - x["low"]).alias("n_removed")
+    n_bytes = (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes")
+    return done.select("doc_id", removed, F.size("spans").cast("long").alias("n_spans"), "kept").select("doc_id", n_bytes, "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
@@ -126,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_rollup": op8_token_rollup,
     "op9_trusted_perplexity": op9_trusted_perplexity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_column_bwt": op11_column_bwt,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that are no longer in use: it learns of them by garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of a path and the path as its own type."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
