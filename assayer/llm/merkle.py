@@ -54,7 +54,7 @@ def _roll(nodes: DataFrame) -> DataFrame:
     return rows
 
 
-def _unfold(kids: Column, size: Column, k: int = DIGITS - 1) -> Column:
+def _unfold(kids: Column, size: Column, k: int) -> Column:
     """All nodes below: array of (rank, body, hash, path up to these children's parent)."""
     def entry(i: Column) -> Column:
         hashes = kids["node"]["hash"]
@@ -104,7 +104,7 @@ def descend(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
             rows = rows.unionByName(paths.select("tree", F.col("rank").alias("block"), none("long", "size"), none(kind, "node"), none(_PATH, "top"), F.col("path").alias("up"), "label"))
         met = rows.groupBy("tree", "block").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("size", "node", "top", "up", "label")])
         met = met.filter("node IS NOT NULL").withColumn("up", F.when(F.col("size") <= ARITY**DIGITS, F.col("top")).otherwise(F.col("up")))
-        below = met.select("tree", "up", "label", F.explode(_unfold(F.col("node.kids"), F.col("size"))).alias("x"))
+        below = met.select("tree", "up", "label", F.explode(_unfold(F.col("node.kids"), F.col("size"), DIGITS - 1)).alias("x"))
         paths = below.select("tree", "x.rank", "x.body", "x.hash", F.concat("x.path", "up").alias("path"), "label")
     return paths
 
