@@ -2,11 +2,10 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer, so it
 is used only behind a check of their number. Beyond it, a sketch proposes a
-bracket around each wanted rank and exact counts confirm it. Where that fails,
-the order statistics are found by narrowing: each round counts the values of the current bracket in equal-width
-bins (a bounded, map-side combined aggregate), keeps the bin that holds the
-wanted rank together with its true minimum and maximum, and stops when both are
-the same value. The result is exact either way.
+bracket around each wanted rank of a column and exact counts confirm it. What
+that cannot settle, and large groups, are ranked by a distributed sort (see
+``ranks``), from which the order statistics are picked. The result is exact
+either way.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayer.operators import frames
+from assayer.operators import frames, ranks
 
 # Up to this many distinct values the built-in exact percentile is the quickest way.
 SMALL_DISTINCT = 10_000
@@ -24,8 +23,6 @@ SMALL_DISTINCT = 10_000
 BUFFER_LIMIT = 1_000_000
 # Accuracy of the sketch that proposes brackets: rank error 1 / accuracy.
 SKETCH_ACCURACY = 10_000
-# Bins per bracket and round when narrowing.
-NARROWING_BINS = 1024
 
 
 def interpolate(low: float, high: float, fraction: float) -> float:
@@ -44,7 +41,7 @@ def column_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequenc
 
     Columns with few distinct values take one exact ``percentile`` job. The
     others take a sketch for a bracket around each rank, then exact counts that
-    prove the bracket right; what a bracket cannot settle is narrowed.
+    prove the bracket right; what a bracket cannot settle is ranked by a sort.
     """
     if not values:
         return {}
@@ -65,8 +62,8 @@ def column_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequenc
     if unsettled:
         pairs = [F.struct(F.lit(c).alias("item"), values[c].cast("double").alias("x")) for c in unsettled]
         long = df.select(F.inline(F.array(*pairs))).where(F.col("x").isNotNull())
-        narrowed = narrow_quantiles(long, ["item"], "x", probs)
-        found |= {c: narrowed.get((c,)) for c in unsettled}
+        sorted_ = {r["item"]: r["quantiles"] for r in ranks.rank_quantiles(long, ["item"], "x", probs).collect()}
+        found |= {c: sorted_.get(c) for c in unsettled}
     return found
 
 
@@ -98,114 +95,63 @@ def _bracketed_quantiles(df: DataFrame, values: Mapping[str, Column],
         counts += [F.count_if(x < F.lit(low)).alias(f"b{i}_{j}"), F.count_if(inside).alias(f"i{i}_{j}"),
                    F.approx_count_distinct(F.when(inside, x)).alias(f"d{i}_{j}")]
     counted = rows.agg(*counts).first()
-    proven: dict[tuple[int, int], list[float]] = {}
+    proven: dict[tuple[int, int], list[int]] = {}  # ranks inside the bracket
     failed = set()
     for (i, j) in brackets:
         low, high, _ = _ranks(sketch[f"n{i}"], probs[j])
         below, inside = counted[f"b{i}_{j}"], counted[f"i{i}_{j}"]
         if below <= low and high < below + inside and counted[f"d{i}_{j}"] <= BUFFER_LIMIT:
-            proven[i, j] = [(r - below + 0.5) / inside for r in (low, high)]
+            proven[i, j] = [r - below for r in (low, high)]
         else:
             failed.add(i)
     good = {k: f for k, f in proven.items() if k[0] not in failed}
     if not good:
         return found
-    inner = rows.select(*[
-        F.when(F.col(f"x{i}").between(*map(F.lit, brackets[i, j])), F.col(f"x{i}")).alias(f"y{i}_{j}") for i, j in good
-    ])
-    # percentile_disc at (rank + 1/2) / count is the value of that rank, without interpolation.
-    ranks = inner.agg(*[
-        F.expr(f"percentile_disc(array({', '.join(repr(f) + 'D' for f in fractions)})) WITHIN GROUP (ORDER BY y{i}_{j})")
-        .alias(f"r{i}_{j}") for (i, j), fractions in good.items()
-    ]).first()
+    # Each bracket is a group of its own: its distinct values are counted, then summed up in order.
+    inner = rows.select(F.inline(F.array(*[
+        F.struct(F.lit(f"{i}_{j}").alias("bracket"), F.when(F.col(f"x{i}").between(*map(F.lit, brackets[i, j])), F.col(f"x{i}")).alias("y"))
+        for i, j in good
+    ]))).where(F.col("y").isNotNull())
+    upto = F.sum("n").over(Window.partitionBy("bracket").orderBy("y"))
+    steps = inner.groupBy("bracket", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    wanted = F.lit(False)
+    for (i, j), places in good.items():
+        for place in places:
+            wanted = wanted | ((F.col("bracket") == f"{i}_{j}") & (F.col("upto") > place) & (F.col("upto") - F.col("n") <= place))
+    settled: dict[str, list] = {}
+    for row in steps.where(wanted).collect():  # two rows per bracket at most
+        settled.setdefault(row["bracket"], []).append((row["upto"] - row["n"], row["upto"], row["y"]))
+    ranks_of = {
+        (i, j): [next(y for low, high, y in settled[f"{i}_{j}"] if low <= place < high) for place in places]
+        for (i, j), places in good.items()
+    }
     for i, name in enumerate(names):
         if (i, 0) in good:
             found[name] = [
-                interpolate(*ranks[f"r{i}_{j}"], _ranks(sketch[f"n{i}"], p)[2]) for j, p in enumerate(probs)
+                interpolate(*ranks_of[i, j], _ranks(sketch[f"n{i}"], p)[2]) for j, p in enumerate(probs)
             ]
     return found
 
 
-def narrow_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                     probs: Sequence[float]) -> dict[tuple, list[float]]:
-    """Exact quantiles per group by narrowing; the groups must be few (a report's worth).
-
-    ``keys`` are non-null columns and ``value`` a non-null double.
-    """
-    spark = df.sparkSession
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
-    ).collect()
-    # One search per (group, rank): the bracket it lies in and its rank inside it.
-    searches: dict[tuple, dict] = {}
-    totals = {}
-    for row in sizes:
-        group = tuple(row[k] for k in keys)
-        totals[group] = row["n"]
-        for prob in probs:
-            for rank in _ranks(row["n"], prob)[:2]:
-                searches[(group, rank)] = {"rank": rank, "lo": row["lo"], "hi": row["hi"]}
-
-    key_fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    while True:
-        open_ = {s: b for s, b in searches.items() if b["lo"] != b["hi"]}
-        if not open_:
-            break
-        brackets = frames.local_rows(spark, [(*group, rank, b["rank"], b["lo"], b["hi"]) for (group, rank), b in open_.items()],
-            f"{key_fields}, target long, rank_in long, lo double, hi double",
-        )
-        x = F.col(value)
-        # Scaled before subtracting, so that a range beyond the largest double stays finite.
-        scale = F.lit(NARROWING_BINS / 2.0)
-        position = (x / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * scale * 2
-        binned = (
-            df.join(F.broadcast(brackets), list(keys))
-            .where(x.between(F.col("lo"), F.col("hi")))
-            .groupBy(*keys, "target", "rank_in", F.floor(position).alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-        )
-        # At most NARROWING_BINS + 1 rows per search.
-        upto = F.sum("n").over(Window.partitionBy(*keys, "target").orderBy("bin"))
-        hits = (
-            binned.withColumn("upto", upto)
-            .where((F.col("upto") > F.col("rank_in")) & (F.col("upto") - F.col("n") <= F.col("rank_in")))
-            .collect()
-        )
-        for row in hits:
-            group = tuple(row[k] for k in keys)
-            searches[(group, row["target"])] = {
-                "rank": row["rank_in"] - (row["upto"] - row["n"]), "lo": row["lo"], "hi": row["hi"],
-            }
-
-    result = {}
-    for group, n in totals.items():
-        out = []
-        for prob in probs:
-            low, high, fraction = _ranks(n, prob)
-            out.append(interpolate(searches[(group, low)]["lo"], searches[(group, high)]["lo"], fraction))
-        result[group] = out
-    return result
-
-
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str],
                       probs: Sequence[float]) -> DataFrame:
-    """``(keys..., item, quantiles array<double>)`` for few groups of any size.
+    """``(keys..., item, quantiles array<double>)`` for any number of groups of any size.
 
     ``values`` are numeric columns; rows where one is NULL do not count for it.
-    The size check is on the largest group.
+    ``keys`` hold no NULL. Groups of bounded size take the built-in percentile;
+    if the largest has too many distinct values for a buffer, all are ranked.
     """
-    rows = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values])
-    sizes = rows.groupBy(*keys).agg(*[F.approx_count_distinct(v).alias(v) for v in values])
-    largest = sizes.agg(F.max(F.greatest(*map(F.col, values)) if len(values) > 1 else F.col(values[0]))).first()[0]
+    rows = df.select(*map(frames.column, keys), *[frames.column(v).cast("double").alias(v) for v in values])
+    named = list(map(frames.column, keys))
+    sizes = rows.groupBy(*named).agg(*[F.approx_count_distinct(frames.column(v)).alias(v) for v in values])
+    widest = [frames.column(v) for v in values]
+    largest = sizes.agg(F.max(F.greatest(*widest) if len(values) > 1 else widest[0])).first()[0]
     if (largest or 0) <= BUFFER_LIMIT:
-        wide = rows.groupBy(*keys).agg(
-            *[F.percentile(v, F.array(*map(F.lit, probs))).alias(f"q{i}") for i, v in enumerate(values)]
+        wide = rows.groupBy(*named).agg(
+            *[F.percentile(frames.column(v), F.array(*map(F.lit, probs))).alias(f"q{i}") for i, v in enumerate(values)]
         )
         items = [F.struct(F.lit(v).alias("item"), F.col(f"q{i}").alias("quantiles")) for i, v in enumerate(values)]
-        return wide.select(*keys, F.inline(F.array(*items))).where(F.col("quantiles").isNotNull())
-    items = [F.struct(F.lit(v).alias("item"), F.col(v).alias("x")) for v in values]
-    long = rows.select(*keys, F.inline(F.array(*items))).where(F.col("x").isNotNull())
-    found = narrow_quantiles(long, [*keys, "item"], "x", probs)
-    key_fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return frames.local_rows(df.sparkSession, [(*group, q) for group, q in found.items()], f"{key_fields}, item string, quantiles array<double>"
-    )
+        return wide.select(*named, F.inline(F.array(*items))).where(F.col("quantiles").isNotNull())
+    items = [F.struct(F.lit(v).alias("item"), frames.column(v).alias("__value")) for v in values]
+    long = rows.select(*named, F.inline(F.array(*items))).where(F.col("__value").isNotNull())
+    return ranks.rank_quantiles(long, [*keys, "item"], "__value", probs)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayer.functions import text
 from assayer.operators import (
-    anomalies, charts, cleaning, eda, findings, frames, profile, quality, quantiles, templates,
+    anomalies, charts, cleaning, eda, findings, frames, profile, quality, ranks, templates,
 )
 from assayer.operators.anomalies import AnomalyReport, Table
 from assayer.plans import ask as asking, prepare
@@ -391,14 +391,22 @@ def categorical_profile(spark, sf):
     return eda.categorical_profile(dirty(spark, sf))
 
 
+def ranked_quantiles(spark, sf, group: str) -> DataFrame:
+    """Median and 90 % quantile by ranks, the way large groups take them."""
+    x = F.col("l_extendedprice")
+    long = table(spark, sf, "lineitem").select(group, x.alias("x")).where(x.isNotNull())
+    found = ranks.rank_quantiles(long, [group], "x", [0.5, 0.9])
+    return found.select(group, F.round(F.col("quantiles")[0], 4).alias("median"), F.round(F.col("quantiles")[1], 4).alias("p90"))
+
+
 @query
 def exact_quantiles(spark, sf):
-    """Median and 90 % quantile by narrowing, the way large tables take them."""
-    x = F.col("l_extendedprice")
-    long = table(spark, sf, "lineitem").select("l_returnflag", x.alias("x")).where(x.isNotNull())
-    found = quantiles.narrow_quantiles(long, ["l_returnflag"], "x", [0.5, 0.9])
-    rows = [(k[0], round(q[0], 4), round(q[1], 4)) for k, q in found.items()]
-    return frames.local_rows(spark, rows, "l_returnflag string, median double, p90 double")
+    return ranked_quantiles(spark, sf, "l_returnflag")
+
+
+@query
+def exact_quantiles_by_part(spark, sf):
+    return ranked_quantiles(spark, sf, "l_partkey")
 
 
 def order_facts(spark, sf) -> DataFrame:
@@ -583,6 +591,17 @@ def box_by_group(spark, sf):
     return rounded(charts.box_by_group(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice"))
 
 
+@query
+def box_by_part(spark, sf):
+    """As many groups as there are parts."""
+    return rounded(charts.box_by_group(table(spark, sf, "lineitem"), "l_partkey", "l_extendedprice"))
+
+
+@query
+def category_numeric_by_part(spark, sf):
+    return rounded(charts.category_numeric(table(spark, sf, "lineitem"), "l_partkey", "l_extendedprice"), 3)
+
+
 @query
 def scatter_sample(spark, sf):
     return charts.scatter_sample(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice",

@@ -606,6 +606,7 @@ SELECT g.col AS "column", v AS count, t - v AS missing_count, round(100.0 * (t -
     round(CASE WHEN u <= 1 THEN 0.0 ELSE h / log2(u) END, 6) AS normalized_entropy FROM g JOIN e ON g.col = e.col, t"""
 ORACLES["exact_quantiles"] = """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median,
     round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1"""
+ORACLES["exact_quantiles_by_part"] = ORACLES["exact_quantiles"].replace("l_returnflag", "l_partkey")
 
 FACTS = """WITH d AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate,
     l_extendedprice * (1 - l_discount) AS net_price,
@@ -731,8 +732,11 @@ SELECT 'price' AS "column", lo AS min, round(q1, 4) AS q1, round(med, 4) AS medi
     (SELECT string_agg(CAST(CAST(x AS BIGINT) AS STRING), ',' ORDER BY row_id) FROM (SELECT * FROM o ORDER BY row_id LIMIT 100)) AS outliers,
     (SELECT count(*) FROM o) AS outlier_count FROM b"""
 _GROUP_BOX = """SELECT {g}, count({x}) AS count, round(min({x}), 4) AS min, round(quantile_cont({x}, 0.25), 4) AS q1,
-    round(median({x}), 4) AS median, round(quantile_cont({x}, 0.75), 4) AS q3, round(max({x}), 4) AS max FROM orders GROUP BY 1"""
-ORACLES["box_by_group"] = _GROUP_BOX.format(g="o_orderpriority", x="o_totalprice")
+    round(median({x}), 4) AS median, round(quantile_cont({x}, 0.75), 4) AS q3, round(max({x}), 4) AS max FROM {t} GROUP BY 1"""
+ORACLES["box_by_group"] = _GROUP_BOX.format(g="o_orderpriority", x="o_totalprice", t="orders")
+ORACLES["box_by_part"] = _GROUP_BOX.format(g="CAST(l_partkey AS VARCHAR) AS l_partkey", x="l_extendedprice", t="lineitem")
+ORACLES["category_numeric_by_part"] = """SELECT CAST(l_partkey AS VARCHAR) AS l_partkey, round(avg(l_extendedprice), 3) AS mean,
+    round(median(l_extendedprice), 3) AS median, count(l_extendedprice) AS count FROM lineitem GROUP BY 1"""
 ORACLES["scatter_sample"] = """SELECT l_quantity, l_extendedprice FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
     ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 500"""
 ORACLES["category_numeric"] = """SELECT o_orderpriority, round(avg(o_totalprice), 3) AS mean, round(median(o_totalprice), 3) AS median,
@@ -746,7 +750,7 @@ ORACLES["date_axis"] = f"""{DIRTY} SELECT row_id, CAST(CAST({date('order_date')}
 ORACLES["bar_by_category"] = """SELECT p_brand, round(avg(p_retailprice), 3) AS p_retailprice FROM part GROUP BY 1
     ORDER BY avg(p_retailprice) DESC, p_brand LIMIT 15"""
 ORACLES["result_chart"] = "SELECT o_orderpriority, round(avg(o_totalprice), 3) AS average_o_totalprice FROM orders GROUP BY 1"
-ORACLES["result_chart_source"] = _GROUP_BOX.format(g="o_orderstatus", x="o_totalprice")
+ORACLES["result_chart_source"] = _GROUP_BOX.format(g="o_orderstatus", x="o_totalprice", t="orders")
 
 # -- findings and summaries ------------------------------------------------------------------------
 

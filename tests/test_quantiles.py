@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.operators import frames, quantiles
+from assayer.operators import frames, quantiles, ranks
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -21,14 +21,13 @@ def values_of(kind: str) -> list[float]:
 
 
 @pytest.mark.parametrize("kind", ["spread", "hot", "heavy", "single"])
-@pytest.mark.parametrize("way", ["builtin", "bracketed", "narrowed"])
+@pytest.mark.parametrize("way", ["builtin", "bracketed", "ranked"])
 def test_column_quantiles(spark, monkeypatch, kind, way):
     data = values_of(kind)
     df = spark.createDataFrame([(v,) for v in data] + [(None,)], "x double")
     monkeypatch.setattr(quantiles, "SMALL_DISTINCT", 10**9 if way == "builtin" else 0)
-    if way == "narrowed":
+    if way == "ranked":
         monkeypatch.setattr(quantiles, "BUFFER_LIMIT", 0)
-        monkeypatch.setattr(quantiles, "NARROWING_BINS", 16)
     got = quantiles.column_quantiles(df, {"x": F.col("x")}, PROBS)["x"]
     assert np.allclose(got, np.quantile(data, PROBS), rtol=1e-9)
 
@@ -45,6 +44,38 @@ def test_grouped_quantiles(spark, monkeypatch):
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_ranks_of_many_groups_and_one_hot_one(spark, monkeypatch, broadcast):
+    """One group holds most rows, one value most of that group; ranks run without a gap and follow the values."""
+    monkeypatch.setattr(ranks, "MAX_BROADCAST_ROWS", broadcast)
+    rng = random.Random(5)
+    rows = [("hot", 7.0 if rng.random() < 0.6 else rng.gauss(7, 2)) for _ in range(3000)]
+    rows += [(f"g{i}", float(j * i % 5)) for i in range(300) for j in range(1 + i % 4)]
+    df = spark.createDataFrame(rows, "`g.x` string, v double").repartition(7)
+    got: dict = {}
+    for r in ranks.ranked(df, ["g.x"], ["v"]).collect():
+        got.setdefault(r["g.x"], []).append((r["rank"], r["v"], r["size"]))
+    want: dict = {}
+    for g, v in rows:
+        want.setdefault(g, []).append(v)
+    assert got.keys() == want.keys()
+    for g, placed in got.items():
+        assert [(r, v) for r, v, _ in sorted(placed)] == list(enumerate(sorted(want[g]))) and {s for _, _, s in placed} == {len(want[g])}
+    found = {r["g.x"]: r["quantiles"] for r in ranks.rank_quantiles(df, ["g.x"], "v", PROBS).collect()}
+    assert found.keys() == want.keys() and all(np.allclose(found[g], np.quantile(want[g], PROBS)) for g in want)
+
+
+def test_ranked_plan_has_no_window_over_rows(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS v")
+    plan = ranks.rank_quantiles(df, ["g"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "CollectLimit" not in plan
+
+
+def test_no_rows_no_quantiles(spark):
+    df = spark.createDataFrame([], "g string, v double")
+    assert ranks.rank_quantiles(df, ["g"], "v", [0.5]).count() == 0
+
+
 def test_all_null_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert quantiles.column_quantiles(df, {"x": F.col("x")}, [0.5]) == {"x": None}
