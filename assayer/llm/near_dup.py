@@ -7,8 +7,9 @@
 3. Members get their full set and a packed signature of the SKETCH low bit pairs of minima, mixed once more. Similarity is estimated by bit
    counts, corrected for chance agreement; a pair stays if the estimate is within SIGMAS deviations of the threshold.
 4. First every member is held against the smallest of its bucket. What the confirmed links join is one component; then
-   only members outside their bucket's largest component are held against members of other components, each pair in the
-   first bucket it shares. So a group of copies costs rows in proportion to its size.
+   only members outside their bucket's largest component are held against members of other components. So a group of copies
+   costs rows in proportion to its size. Buckets with more than CROWDED members outside (a passage that many different texts
+   share) are split anew by the members' rarest shingles, of which similar sets share one.
 5. Links are confirmed on the full sets; components follow by rounds of large and small stars.
 
 Nulls and edge cases: null, empty or blank text has no set and is linked with nothing; fewer words than a shingle make one
@@ -20,17 +21,20 @@ they share the component. Columns other than id and text aren't read by `near_du
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import storage, textarrays
 
 BAND_ROWS, MISS = 4, 1e-7
 SKETCH, LOW_BITS, SIGMAS = 1024, 2, 4.5
+#: Members outside a bucket's largest component that are held against the bucket directly.
+CROWDED = 32
 #: Rows without an id are numbered from here; no real id may be as large.
 NO_ID = 1 << 62
 
@@ -178,6 +182,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     )
 
 
+def _open_keys(placed: DataFrame) -> DataFrame:
+    """(key, main, outside) of buckets whose members aren't all in one component yet; main: the largest, outside: members of others."""
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    found = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    outside = (F.col("n") - F.col("top.n")).alias("outside")
+    return storage.stage(found.filter("parts > 1").select("key", F.col("top.component").alias("main"), outside), "open_keys")
+
+
+def _across(placed: DataFrame, brief: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
+    """Plausible pairs (a, b) of a bucket's members in different components, one of them outside the largest."""
+    met = storage.stage(placed.select("key", "rep", "component", "main").join(brief, "rep"), "open_members")
+    x, y = met.filter("component <> main").alias("x"), met.alias("y")
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & plausible("x", "y"))
+    return apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def _by_rare_shingles(placed: DataFrame, sets: DataFrame, brief: DataFrame, threshold: float, plausible: Callable[[str, str], Column]) -> DataFrame:
+    """The same for crowded buckets, split anew: two sets that are similar enough share one of their rarest shingles.
+
+    Of a set of n, in any order that all sets follow, the first n - ceil(threshold * n) + 1 meet those of every set as similar.
+    The order is by how many members have a shingle, so a passage that all share comes last. No pair is lost by it."""
+    members = storage.stage(placed.select("rep", "component").distinct().join(sets.select("rep", "shingles"), "rep"), "crowded_members")
+    listed = members.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    common = storage.stage(listed.groupBy("key").agg(F.count("*").alias("df")), "shingle_counts")
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(round(100 * threshold)) / 100) + 1
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("df", "key"))
+    rare = listed.join(common, "key").withColumn("nth", nth).filter((F.col("nth") <= prefix) & (F.col("df") > 1))
+    rare = storage.stage(rare.select("key", "rep", "component"), "rare_shingles")
+    return _across(rare.join(_open_keys(rare).select("key", "main"), "key"), brief, plausible)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept. The threshold counts in whole percents."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -195,7 +231,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         "representatives",
     )
     keyed = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).filter("size > 1")
+    # staged, so that the joins that follow shuffle each side for themselves and a crowded key can be split between tasks
+    shared = storage.stage(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).filter("size > 1"), "shared_keys")
     members = storage.stage(keyed.join(shared, "key"), "members")
 
     wanted = members.select("rep").distinct().join(reps, "rep")
@@ -203,7 +240,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     sets = storage.stage(
         textarrays.map_texts(again, _with_sketch(width), "_text", "digest binary, shingles array<long>, sketch array<long>")
         .groupBy("digest").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
-        .join(wanted.select("digest", "rep", "bands"), "digest").drop("digest"),
+        .join(wanted.select("digest", "rep"), "digest").drop("digest"),
         "sets",
     )
     floor, ratio = estimate_floor(threshold), threshold - 1e-9
@@ -212,7 +249,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         sizes = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= ratio * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
         return sizes & (estimate(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) >= floor)
 
-    brief = sets.select("rep", F.size("shingles").alias("n"), "sketch", "bands")
+    brief = sets.select("rep", F.size("shingles").alias("n"), "sketch")
     stars = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     near = (
         stars.join(brief.alias("x"), F.col("a") == F.col("x.rep")).join(brief.alias("y"), F.col("b") == F.col("y.rep"))
@@ -221,22 +258,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     links = storage.stage(_confirmed(near, sets, threshold), "links")
     first = components(links)
 
-    placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "band", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    open_keys = storage.stage(placed.join(largest.select("key", F.col("top.component").alias("main")), "key").join(brief, "rep"), "open_members")
-    x, y = open_keys.filter("component <> main").alias("x"), open_keys.alias("y")
-    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
-    earlier = F.exists(F.sequence(F.lit(0), F.col("x.band")), lambda i: (i < F.col("x.band")) & (F.get("x.bands", i) == F.get("y.bands", i)))
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & plausible("x", "y") & ~earlier)
-    rest = apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = storage.stage(placed.select("key", "band", "rep", F.coalesce("component", "rep").alias("component")), "placed_members")
+    open_keys = _open_keys(placed)
+    small, crowded = open_keys.filter(F.col("outside") <= CROWDED), open_keys.filter(F.col("outside") > CROWDED)
+    few = _across(placed.join(small, "key"), brief, plausible)
+    pairs = few if crowded.isEmpty() else few.unionByName(_by_rare_shingles(placed.join(crowded, "key"), sets, brief, threshold, plausible))
+    rest = storage.stage(pairs.distinct(), "further_pairs")
     links = storage.stage(links.union(_confirmed(rest, sets, threshold)), "all_links")
     final = components(links).withColumnRenamed("node", "rep")
 
     labelled = reps.join(final, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    joined = rows.join(labelled, "digest", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    blank = rows.filter("digest IS NULL").select("node", "n_shingles", F.col("node").alias("component"))
+    filled = rows.filter("digest IS NOT NULL").join(labelled, "digest").select("node", "n_shingles", "component")
+    joined = filled.unionByName(blank)
     real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return joined.select(
         real("node").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"), "node"
