@@ -1,16 +1,18 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask picks some of the word positions of a window; the others may differ. Hashes of all masked windows of the test
-items are joined to those of every document; around a hit, the words along its diagonal are compared and the best
-stretch is kept: +1 for a word that agrees, -2 for one that doesn't. A document is contaminated where a stretch holds
-enough agreeing words.
+items are joined to those of every document; around a hit, the words along its diagonal are compared and every stretch
+that holds enough agreeing words is kept: the best first, +1 for a word that agrees, -2 for one that doesn't, then the best
+on either side of it, and so on. A document is contaminated where there is such a stretch.
 
 The test side is a stated query set: it is sent to the tasks in blocks of at most MAX_SEEDS hashes, each of which meets
-all documents, so memory stays bounded whatever its size. Documents aren't shuffled.
+all documents, so memory stays bounded whatever its size; a block's result is written and its broadcast given up before the
+next block is read. Documents aren't shuffled.
 
 Words are runs of ASCII letters and digits (A-Z in lower case) and of characters beyond ASCII. Null or empty texts and
 items overlap with nothing; neither does an empty table. Repeated items or documents each give their own rows. An item of
-fewer words than a mask spans is compared through shorter unspaced windows; columns besides id and text pass through.
+fewer words than any mask spans has one window, all of it, and is found where all its words stand; columns besides id and text
+pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm import textarrays
+from assayer.llm import storage, textarrays
 
 #: Positions that count are 1. An unspaced mask for short items comes last.
 MASKS = ("1101100111", "1110010111", "1011011011", "11111")
@@ -56,7 +58,15 @@ class SeedTable:
         self.masks = masks
         words = textarrays.spans(textarrays.Bytes.of(items), textarrays.NOT_ALNUM, lower=True)
         self.words, self.first = words.hash, textarrays.group_starts(words.text, len(items))
+        # items that no mask fits in are found by a window of their own length
+        size = np.diff(self.first)[words.text]
+        shortest = min(map(len, masks))
+        self.whole = ["1" * n for n in sorted(set(size[size < shortest].tolist()))]
         found = [seeds(words, mask) for mask in masks]
+        for mask in self.whole:
+            at, value = seeds(words, mask)
+            fits = size[at] == len(mask)
+            found.append((at[fits], value[fits]))
         place, value = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(value, kind="stable")
         self.value, self.place = value[order], place[order]
@@ -68,7 +78,7 @@ class SeedTable:
     def hits(self, words: textarrays.Spans) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (word of the documents, word of the items) where masked windows agree."""
         left, right = [], []
-        for mask in self.masks:
+        for mask in (*self.masks, *self.whole):
             at, value = seeds(words, mask)
             near = np.flatnonzero(self.maybe[(value >> self.shift).astype(np.int64)])
             at, value = at[near], value[near]
@@ -87,8 +97,22 @@ def best_stretch(agrees: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(sums[: end + 1])), end
 
 
+def stretches(agrees: np.ndarray, enough: int) -> list[tuple[int, int]]:
+    """The best stretch and the best ones of what is left on either side, as far as they hold enough agreeing words."""
+    out, open_ = [], [(0, len(agrees))]
+    while open_:
+        low, high = open_.pop()
+        if high - low < enough or int(agrees[low:high].sum()) < enough:
+            continue
+        a, b = best_stretch(agrees[low:high])
+        if int(agrees[low + a : low + b].sum()) >= enough:
+            out.append((low + a, low + b))
+        open_ += [(low + b, high), (low, low + a)]
+    return sorted(out)
+
+
 def compare(table: SeedTable, words: textarrays.Spans, firsts: np.ndarray, min_words: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, item, start in text, start in item, words, agreeing words) of each verified overlap, once for a diagonal."""
+    """(text, item, start in text, start in item, words, agreeing words) of each verified overlap."""
     left, right = table.hits(words)
     if not len(left):
         return []
@@ -101,10 +125,8 @@ def compare(table: SeedTable, words: textarrays.Spans, firsts: np.ndarray, min_w
         text_words = words.hash[firsts[t] : firsts[t + 1]]
         low, high = max(0, -d), min(len(item_words), len(text_words) - d)
         agrees = item_words[low:high] == text_words[low + d : high + d]
-        a, b = best_stretch(agrees)
-        n = int(agrees[a:b].sum())
-        if n >= min(min_words, len(item_words)):
-            out.append((t, i, low + a + d, low + a, b - a, n))
+        for a, b in stretches(agrees, min(min_words, len(item_words))):
+            out.append((t, i, low + a + d, low + a, b - a, int(agrees[a:b].sum())))
     return out
 
 
@@ -114,7 +136,7 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, masks: tuple[str
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size * len(masks) // (4 * max_seeds)))  # a word takes 4 characters at least, on average
     for block in range(n):
-        yield items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()
+        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()]
 
 
 def find_overlaps(
@@ -132,17 +154,25 @@ def find_overlaps(
     kinds = {"id": docs.select(id_col).schema[0].dataType.simpleString(), "item": benchmark.select(item_id).schema[0].dataType.simpleString()}
     schema = OVERLAPS.format(**kinds)
     named = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    parts = [
-        textarrays.map_texts(named, _scan(docs.sparkSession, [tuple(r) for r in block], masks, min_words), "_text", schema)
-        for block in _blocks(benchmark, item_id, item_text, masks, max_seeds)
-        if block
-    ]
+    parts, pending = [], None
+    for block in filter(None, _blocks(benchmark, item_id, item_text, masks, max_seeds)):
+        if pending:
+            parts.append(settle(*pending))
+        shared = docs.sparkSession.sparkContext.broadcast([t for _, t in block])
+        found = textarrays.map_texts(named, _scan(shared, pa.array([i for i, _ in block]), masks, min_words), "_text", schema)
+        pending = (found, shared)
+    parts += [pending[0]] if pending else []
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
-def _scan(spark, block: list[tuple], masks: tuple[str, ...], min_words: int):
-    ids = pa.array([i for i, _ in block])
-    shared = spark.sparkContext.broadcast([t for _, t in block])
+def settle(found: DataFrame, shared) -> DataFrame:
+    """The result of a block as a table, its broadcast destroyed."""
+    staged = storage.stage(found, "block")
+    shared.destroy()
+    return staged
+
+
+def _scan(shared, ids: pa.Array, masks: tuple[str, ...], min_words: int):
     built: list[SeedTable] = []
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
@@ -169,10 +199,12 @@ def decontaminate(
     max_seeds: int = MAX_SEEDS,
 ) -> DataFrame:
     """Documents without any overlap, all columns as they are. Each block of items is one more filter, without a shuffle."""
-    for block in _blocks(benchmark, item_id, item_text, masks, max_seeds):
-        if block:
-            shared = docs.sparkSession.sparkContext.broadcast([r.text for r in block])
-            docs = textarrays.map_rows(docs, _clean_rows(shared, masks, min_words), text_col)
+    shared = None
+    for block in filter(None, _blocks(benchmark, item_id, item_text, masks, max_seeds)):
+        if shared is not None:
+            docs = settle(docs, shared)
+        shared = docs.sparkSession.sparkContext.broadcast([t for _, t in block])
+        docs = textarrays.map_rows(docs, _clean_rows(shared, masks, min_words), text_col)
     return docs
 
 
