@@ -76,6 +76,21 @@ def piece_starts(code: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return starts
 
 
+def unlike(data: np.ndarray, low: np.ndarray, high: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which stretches differ in a byte from the stretch that stands for them, though their hashes are equal."""
+    size = high - low
+    out = size != size[other]
+    rows = np.flatnonzero(~out & (other != np.arange(len(low))))
+    stop = np.cumsum(size[rows])
+    if len(rows):
+        step = np.arange(stop[-1])
+        back = stop - size[rows]
+        differs = data[np.repeat(low[rows] - back, size[rows]) + step] != data[np.repeat(low[other[rows]] - back, size[rows]) + step]
+        if differs.any():
+            out[rows[np.searchsorted(stop, np.flatnonzero(differs), "right")]] = True
+    return np.flatnonzero(out)
+
+
 class Codec:
     """Tables of one vocabulary file. Inside, a token's number is its rank: bytes first, then merges in order."""
 
@@ -198,7 +213,11 @@ class Codec:
         first = np.flatnonzero(starts)
         at = np.concatenate(([0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), dtype=np.int64)))
         low, high = at[first], np.append(at[first[1:]], len(raw))
-        _, sample, which = np.unique(textarrays.span_hash(np.frombuffer(raw, np.uint8), low, high), return_index=True, return_inverse=True)
+        data = np.frombuffer(raw, np.uint8)
+        _, sample, which = np.unique(textarrays.span_hash(data, low, high), return_index=True, return_inverse=True)
+        apart = unlike(data, low, high, sample[which])
+        which[apart] = len(sample) + np.arange(len(apart))
+        sample = np.concatenate([sample, apart])
         pieces = [raw[a:b] for a, b in zip(low[sample].tolist(), high[sample].tolist(), strict=True)]
         found = list(map(self.new.get, pieces))
         found = [self.ids_of(p) if f is None else f for p, f in zip(pieces, found, strict=True)]
