@@ -306,8 +306,9 @@ def _pseudonymiser(key: bytes) -> Pseudonymiser:
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """All columns, with pseudonyms in the text; count_col: name of a further column with their number."""
-
+    """All columns, with pseudonyms in the text; count_col: name of a further column with their number, in place of one that is
+    already called so."""
+    docs = docs.drop(count_col) if count_col and count_col != text_col else docs
     at = docs.columns.index(text_col)
 
     def work(batch: pa.RecordBatch, _: list[str]) -> pa.RecordBatch:
