@@ -49,8 +49,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+
+def _lower(text: Column) -> Column:
+    """Lower case that makes ASCII letters of A-Z only: the two characters beyond ASCII that would become some change to another first."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u212b")), F.lit("\u0130"), F.lit("\u212b")))
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    return F.filter(F.split(_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
 def grams(tokens: Column, k: int) -> Column:
