@@ -195,16 +195,25 @@ def approx_distincts(df: DataFrame, values: Mapping[str, Column]) -> tuple[int,
 
 
 def exact_distincts(df: DataFrame, values: Mapping[str, Column]) -> dict[str, int]:
-    """Exact distinct counts in one job; repeats are combined map-side, and texts are compared by a 128-bit digest."""
+    """Exact distinct counts of several columns in one query.
+
+    Values are compared by a 128-bit digest, one short row per cell, so no row is
+    widened to all columns; repeats are combined map-side.
+    """
     if not values:
         return {}
-    named = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values.values())])
-    short = named.select(*[
-        F.unhex(F.md5(F.col(f.name).cast("binary"))).alias(f.name) if text.is_string(f.dataType) else F.col(f.name)
-        for f in named.schema.fields
-    ])
-    got = short.agg(*[F.count_distinct(f"v{i}").alias(f"d{i}") for i in range(len(values))]).first()
-    return {c: got[f"d{i}"] for i, c in enumerate(values)}
+    cells = df.select(F.inline(F.array(*[cell_digest(i, v) for i, v in enumerate(values.values())]))).where("__there")
+    distinct = cells.groupBy("__column", *DIGEST).agg(F.lit(1).alias("__one"))
+    got = {r["__column"]: r["n"] for r in distinct.groupBy("__column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: got.get(i, 0) for i, c in enumerate(values)}
+
+
+def cell_digest(number: int, value: Column) -> Column:
+    """Column number, whether there is a value, and the value's digest."""
+    # By text form, in which equal values of one type are equal, but for the two zeros of doubles.
+    plain = F.when(value.cast("string") == "-0.0", F.lit("0.0")).otherwise(value.cast("string"))
+    return F.struct(F.lit(number).alias("__column"), value.isNotNull().alias("__there"),
+                    F.xxhash64(plain).alias(DIGEST[0]), F.xxhash64(F.lit("cell"), plain).alias(DIGEST[1]))
 
 
 # Columns of a row's digest: two hashes of 64 bits.

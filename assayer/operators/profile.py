@@ -14,6 +14,7 @@ TOP_VALUES = 10
 MIN_ID_VALUES, ID_UNIQUE, ID_STRUCTURED, SERIAL_UNIQUE = 5, 0.95, 0.8, 0.98
 DATE_NAMED, DATE_UNNAMED, NUMBER_PARSED = 0.90, 0.98, 0.95
 LONG_TEXT = 40
+UNIQUE_CUTS = (0.05, 0.20, ID_UNIQUE, SERIAL_UNIQUE)
 # An approximate distinct count this close to a threshold is replaced by the exact one.
 APPROX_MARGIN = 0.25
 
@@ -204,13 +205,13 @@ def _near_a_threshold(approx: int, non_null: int) -> bool:
     if not non_null or approx <= 200:
         return True
     share = approx / non_null
-    return any(abs(share - cut) <= APPROX_MARGIN * cut for cut in (0.05, 0.20, ID_UNIQUE, SERIAL_UNIQUE))
+    return any(abs(share - cut) <= APPROX_MARGIN * cut for cut in UNIQUE_CUTS)
 
 
 def schema_profile(df: DataFrame, row_key: Sequence[str] = (), exact_unique: bool = True) -> Profile:
     """Profile every column: counts, parse ratios, semantic type and a summary by type.
 
-    At most seven jobs whatever the number of columns: one wide aggregate, one
+    At most seven queries whatever the number of columns: one wide aggregate, one
     for date formats (date-like columns only), one for distinct counts, one for the summaries, one for medians, one for top
     values. ``exact_unique=False`` reports approximate distinct counts where no
     type decision is near, which drops the one shuffle that grows with the table.
@@ -244,19 +245,8 @@ def schema_profile(df: DataFrame, row_key: Sequence[str] = (), exact_unique: boo
     exact = [c for c in columns if exact_unique or _near_a_threshold(facts[c]["approx"], facts[c]["non_null"])]
     exact_counts = frames.exact_distincts(df, {c: refs[c] for c in exact})
     for c in columns:
-        f = facts[c]
-        f["unique"] = exact_counts.get(c, f["approx"])
-        if text.is_string(dtypes[c]):
-            f["numeric_ratio"] = stats_ratio(f["amounts"], f["non_null"])
-            if f["date_like"]:
-                f["datetime_ratio"], f["date_format"] = choose_date_format(f, f["non_null"])
-            else:
-                f["datetime_ratio"], f["date_format"] = 0.0, None
-        else:
-            numeric = text.is_numeric(dtypes[c])
-            f["numeric_ratio"] = 1.0 if numeric and f["non_null"] else 0.0
-            f["datetime_ratio"] = 1.0 if text.is_temporal(dtypes[c]) and f["non_null"] else 0.0
-        f["type"] = detect_type(c, dtypes[c], f)
+        facts[c]["unique"] = exact_counts.get(c, facts[c]["approx"])
+        settle_type(c, dtypes[c], facts[c])
 
     kinds = {c: facts[c]["type"] for c in columns}
     summaries = _summaries(df, dtypes, kinds, {c: facts[c].get("date_format") for c in columns})
@@ -269,32 +259,51 @@ def schema_profile(df: DataFrame, row_key: Sequence[str] = (), exact_unique: boo
     tops = _top_values(df, columns_of(kinds, "Categorical", "Boolean"), TOP_VALUES)
     marks = _null_like_values(df, [c for c in columns if facts[c].get("null_like")])
 
-    records = []
-    for c in columns:
-        f = facts[c]
-        records.append({
-            "column": c,
-            "physical_type": dtypes[c].simpleString(),
-            "detected_type": f["type"],
-            "missing": rows - f["non_null"],
-            "non_null": f["non_null"],
-            "unique": f["unique"],
-            "missing_ratio": round((rows - f["non_null"]) / rows, 4),
-            "unique_ratio": round(stats_ratio(f["unique"], f["non_null"]), 4),
-            "null_like_count": f.get("null_like", 0),
-            "null_like_ratio": round(f.get("null_like", 0) / rows, 4),
-            "null_like_values": marks.get(c, []),
-            "numeric_parse_ratio": round(f["numeric_ratio"], 4),
-            "datetime_parse_ratio": round(f["datetime_ratio"], 4),
-            "date_format": f.get("date_format") if f["type"] == "Datetime" else None,
-            "average_text_length": round(f["length"] or 0.0, 2),
-            "median": (medians.get(c) or [None])[0],
-            "top_values": tops.get(c),
-            **summaries.get(c, {}),
-        })
+    records = [
+        record(c, dtypes[c], facts[c], marks.get(c, []), (medians.get(c) or [None])[0], tops.get(c), summaries.get(c, {}))
+        for c in columns
+    ]
     return Profile(df.sparkSession, rows, records, exact_unique)
 
 
+def settle_type(name: str, dtype: T.DataType, f: dict) -> None:
+    """Put parse ratios, date format and detected type to a column's counts."""
+    if text.is_string(dtype):
+        f["numeric_ratio"] = stats_ratio(f["amounts"], f["non_null"])
+        f["datetime_ratio"], f["date_format"] = choose_date_format(f, f["non_null"]) if f["date_like"] else (0.0, None)
+    else:
+        numeric = text.is_numeric(dtype)
+        f["numeric_ratio"] = 1.0 if numeric and f["non_null"] else 0.0
+        f["datetime_ratio"] = 1.0 if text.is_temporal(dtype) and f["non_null"] else 0.0
+    f["type"] = detect_type(name, dtype, f)
+
+
+def record(name: str, dtype: T.DataType, f: Mapping, marks: Sequence[str], median: float | None,
+           top: Mapping[str, int] | None, summary: Mapping) -> dict:
+    """One column's entry of a profile, from its counts and its detected type."""
+    rows = f["rows"]
+    return {
+        "column": name,
+        "physical_type": dtype.simpleString(),
+        "detected_type": f["type"],
+        "missing": rows - f["non_null"],
+        "non_null": f["non_null"],
+        "unique": f["unique"],
+        "missing_ratio": round((rows - f["non_null"]) / rows, 4),
+        "unique_ratio": round(stats_ratio(f["unique"], f["non_null"]), 4),
+        "null_like_count": f.get("null_like", 0) or 0,
+        "null_like_ratio": round((f.get("null_like", 0) or 0) / rows, 4),
+        "null_like_values": list(marks),
+        "numeric_parse_ratio": round(f["numeric_ratio"], 4),
+        "datetime_parse_ratio": round(f["datetime_ratio"], 4),
+        "date_format": f.get("date_format") if f["type"] == "Datetime" else None,
+        "average_text_length": round(f["length"] or 0.0, 2),
+        "median": median,
+        "top_values": top,
+        **summary,
+    }
+
+
 def stats_ratio(part: int, whole: int) -> float:
     return part / whole if whole else 0.0
 
