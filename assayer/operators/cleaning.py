@@ -54,21 +54,48 @@ def null_text_counts(df: DataFrame, row_key: Sequence[str] = ()) -> DataFrame:
     return frames.aggregate_columns(df, {c: {"count": stats.count_if(is_null_text(df, c))} for c in strings})
 
 
-def drop_duplicates(df: DataFrame, row_key: Sequence[str] = ()) -> DataFrame:
+def repeated_digests(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Digests that two rows and more have: what tells most rows apart from those that may be duplicates."""
+    return frames.with_digest(df, columns).groupBy(*frames.DIGEST).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def drop_duplicates(df: DataFrame, row_key: Sequence[str] = (), repeated: DataFrame | None = None) -> DataFrame:
     """One row per distinct record. With a row key, the smallest key of each group stays.
 
-    Combined map-side, so a record repeated a billion times is one row per task.
+    Rows are compared by digest first. A row whose digest no other row has passes
+    through as it is, without a shuffle as long as Spark can broadcast the repeated
+    digests (16 bytes each); only rows that share a digest are compared in full,
+    combined map-side, so a record repeated a billion times is one row per task.
+    ``repeated`` are the digests of :func:`repeated_digests`, if they are known.
     """
-    if not row_key:
-        return df.dropDuplicates()
     columns = [c for c in df.columns if c not in row_key]
-    kept = df.groupBy(*[frames.column(c) for c in columns]).agg(
+    repeated = frames.stage(repeated_digests(df, columns).select(*frames.DIGEST)) if repeated is None else repeated
+    one, two = frames.row_digest([(frames.column(c), frames.dtype(df, c)) for c in columns])
+    marked = df.withColumns({frames.DIGEST[0]: one, frames.DIGEST[1]: two})
+    on = list(frames.DIGEST)
+    single = marked.join(repeated, on, "left_anti").drop(*frames.DIGEST)
+    shared = marked.join(repeated, on, "left_semi").drop(*frames.DIGEST)
+    if not row_key:
+        return single.unionByName(shared.dropDuplicates())
+    kept = shared.groupBy(*[frames.column(c) for c in columns]).agg(
         F.min(F.struct(*[frames.column(k) for k in row_key])).alias("__key")
     )
-    return kept.select(*[
-        F.col(f"__key.{k}").alias(k) if k in row_key else frames.column(c)
-        for c in df.columns for k in [c]
-    ])
+    first = kept.select(*[F.col("__key").getField(c).alias(c) if c in row_key else frames.column(c) for c in df.columns])
+    return single.unionByName(first)
+
+
+def raw_and_normal_digests(raw: DataFrame, row_key: Sequence[str] = ()) -> DataFrame:
+    """``(version, digest, n)`` of rows as they came (version 0) and with null-like text settled (1), counted in one pass."""
+    columns = [c for c in raw.columns if c not in row_key]
+    beside = raw.withColumn("__raw", F.struct(*[frames.column(c).alias(f"c{i}") for i, c in enumerate(columns)]))
+    normal = normalize_nulls(beside, [*row_key, "__raw"])
+    versions = ([F.col(f"__raw.c{i}") for i in range(len(columns))], [frames.column(c) for c in columns])
+    cells = [
+        F.struct(F.lit(version).alias("version"), *[d.alias(n) for d, n in zip(
+            frames.row_digest([(v, frames.dtype(raw, c)) for v, c in zip(values, columns)]), frames.DIGEST)])
+        for version, values in enumerate(versions)
+    ]
+    return normal.select(F.inline(F.array(*cells))).groupBy("version", *frames.DIGEST).agg(F.count(F.lit(1)).alias("n"))
 
 
 def to_boolean(col: Column, dtype: T.DataType) -> Column:
@@ -249,14 +276,15 @@ def clean(df: DataFrame, types: Mapping | Profile | None = None, row_key: Sequen
     if before["rows"] == 0:
         raise ValueError("cannot clean an empty table")
     distinct_rows = lambda frame: frames.with_digest(frame, columns).distinct().count()
-    raw_duplicates = before["rows"] - distinct_rows(raw)
+    repeated = frames.stage(raw_and_normal_digests(raw, row_key).where("n > 1"))
+    raw_duplicates = repeated.where("version = 0").agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
     null_text = {c: before[f"t{i}"] for i, c in enumerate(strings)}
     for c, n in null_text.items():
         if n:
             note(c, "null_normalization", n, f"{n} null-like value(s) in {c} set to missing")
 
     normalized = normalize_nulls(df, row_key)
-    unique = drop_duplicates(normalized, row_key)
+    unique = drop_duplicates(normalized, row_key, repeated.where("version = 1").select(*frames.DIGEST))
     # Raw and typed values side by side: the casts are counted and staged together.
     casts = to_typed(unique, kinds, formats, lenient_numbers)
     failed = {

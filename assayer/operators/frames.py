@@ -220,15 +220,20 @@ def cell_digest(number: int, value: Column) -> Column:
 DIGEST = ("__digest_1", "__digest_2")
 
 
-def with_digest(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``keep`` and the digest of the other columns: equal rows have equal digests, NULL is a value of its own."""
+def row_digest(values: Sequence[tuple[Column, T.DataType]]) -> tuple[Column, Column]:
+    """128 bits of a row: equal rows have equal digests, NULL is a value of its own."""
     parts = []
-    for c in columns:
-        v = column(c)
-        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+    for v, kind in values:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
             v = v + F.lit(0.0)  # one zero
         parts += [v.isNull(), v]
-    return df.select(*[column(k) for k in keep], F.xxhash64(*parts).alias(DIGEST[0]), F.xxhash64(F.lit("row"), *parts).alias(DIGEST[1]))
+    return F.xxhash64(*parts), F.xxhash64(F.lit("row"), *parts)
+
+
+def with_digest(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` and the digest of the other columns."""
+    one, two = row_digest([(column(c), df.schema[c].dataType) for c in columns])
+    return df.select(*[column(k) for k in keep], one.alias(DIGEST[0]), two.alias(DIGEST[1]))
 
 
 def is_text(df: DataFrame, name: str) -> bool:

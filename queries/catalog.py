@@ -923,6 +923,24 @@ def prepared_bundle(spark, sf):
     return bundle.bundle_info(spark, path)
 
 
+@query
+def bundle_versions(spark, sf):
+    """A section replaced: the version that was open still shows the old table, the next one the new."""
+    path = bundle_path(spark)
+    bundle.write_bundle(path, {"cleaned": table(spark, sf, "orders"), "findings": table(spark, sf, "customer").select(F.col("c_name").alias("name"))})
+    old = bundle.open_bundle(spark, path)
+    bundle.replace_section(path, "findings", table(spark, sf, "supplier").select(F.col("s_name").alias("name")))
+    new = bundle.open_bundle(spark, path)
+    return frames.union_all([v.section("findings").select(F.lit(v.number).alias("version"), "name") for v in (old, new)])
+
+
+@query
+def bundle_read_back(spark, sf):
+    path = bundle_path(spark)
+    bundle.write_bundle(path, {"cleaned": table(spark, sf, "orders")})
+    return bundle.read_section(spark, path, "cleaned")
+
+
 @query
 def ask_average(spark, sf):
     registry = TableRegistry(spark)

@@ -854,3 +854,6 @@ ORACLES["result_chart_heatmap"] = " UNION ALL ".join(
 ORACLES["result_chart_heatmap"] = f"{ORACLES['result_chart_heatmap']} UNION ALL SELECT unnest([{', '.join(map(q, LINEITEM_NUMBERS))}]) AS x, x, 1.0"
 ORACLES["result_chart_stacked"] = "SELECT o_orderstatus, o_orderpriority, count(*) AS count FROM orders GROUP BY ALL"
 ORACLES["result_chart_empty"] = "SELECT count(*) AS orders, count(*) FILTER (WHERE o_totalprice < 0) = 0 AS no_chart FROM orders"
+
+ORACLES["bundle_versions"] = "SELECT 1 AS version, c_name AS name FROM customer UNION ALL SELECT 2, s_name FROM supplier"
+ORACLES["bundle_read_back"] = "SELECT * FROM orders"

@@ -65,3 +65,30 @@ def test_lenient_numbers(spark):
 def test_no_schema_leaves_values(spark):
     df = spark.createDataFrame([(" a ", 1), ("n/a", 2)], "s string, n int")
     assert sorted(map(tuple, cleaning.clean(df).df.collect()), key=lambda r: r[1]) == [("a", 1), (None, 2)]
+
+
+@pytest.mark.parametrize("key", [["row_id"], []])
+def test_digest_first_duplicates_match_brute_force(spark, key):
+    rows = [(i, "hot" if i % 3 else f"v{i % 40}", None if i % 2 else float(i % 5)) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, name string, x double").repartition(5)
+    if not key:
+        df = df.drop("row_id")
+    got = sorted(map(tuple, cleaning.drop_duplicates(df, key).collect()), key=str)
+    best: dict = {}
+    for i, name, x in rows:
+        best.setdefault((name, x), i)
+    want = [(i, *record) for record, i in best.items()] if key else list(best)
+    assert got == sorted(want, key=str)
+
+
+def test_single_rows_pass_without_a_shuffle(spark):
+    df = spark.range(1000).selectExpr("id AS row_id", "id % 990 AS x", "CAST(id % 990 AS STRING) AS name")
+    plan = cleaning.drop_duplicates(df, ["row_id"])._jdf.queryExecution().executedPlan().toString()
+    single = plan.split("Union")[1]
+    assert "BroadcastHashJoin" in single.split("LeftSemi")[0]
+
+
+def test_both_versions_are_counted_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "a"), (2, " a "), (3, "n/a"), (4, None), (5, "n/a")], "row_id long, name string")
+    got = {(r.version, r.n) for r in cleaning.raw_and_normal_digests(df, ["row_id"]).where("n > 1").collect()}
+    assert got == {(0, 2), (1, 2), (1, 3)}

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import pytest
@@ -132,3 +133,20 @@ def test_result_summaries(people):
 def test_findings(people):
     kinds = {r["type"] for r in findings.statistical_findings(people, 55.0).collect()}
     assert kinds == {"dataset_summary", "missing_values", "numeric_summary", "skewness", "category_distribution", "correlation", "quality"}
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_crosstabs_match_brute_force(spark, monkeypatch, limit):
+    """Pairs counted by a dictionary and row by row: missing values, a hot pair, more tasks than values."""
+    monkeypatch.setattr(eda, "DICTIONARY_VALUES", limit)
+    rows = [("x" if i % 4 else None, f"c{i % 7}", "hot" if i % 9 else "rare", str(i % 2) if i % 5 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "a string, `b.c` string, d string, e string").repartition(6)
+    names = df.columns
+    got = {tuple(r) for r in eda.crosstabs(eda.Table(df, dict.fromkeys(names, "Categorical")), columns=names).collect()}
+    want: dict = {}
+    for row in rows:
+        for i, j in itertools.combinations(range(4), 2):
+            if row[i] is not None and row[j] is not None:
+                key = (names[i], names[j], row[i], row[j])
+                want[key] = want.get(key, 0) + 1
+    assert got == {(*k, n) for k, n in want.items()}

@@ -106,3 +106,32 @@ def test_prepare_and_ask(spark, csv, tmp_path):
     boxed = ask.ask(registry, "SELECT count(*) AS n FROM prepared", table="prepared", chart="histogram",
                     types=done.after.profile)
     assert boxed.chart.chart_type == "histogram" and boxed.chart.data.count() >= 1
+
+
+def test_bundle_versions_show_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "bundle")
+    numbers = lambda n: spark.range(n).toDF("n")
+    first = bundle.write_bundle(path, {"cleaned": numbers(3), "findings": numbers(1)})
+    held = bundle.open_bundle(spark, path)
+    second = bundle.replace_section(path, "findings", bundle.read_section(spark, path, "findings").unionAll(numbers(4)))
+    assert (first.number, second.number, bundle.versions(spark, path)) == (1, 2, [1, 2])
+    assert bundle.read_section(spark, path, "findings").count() == 5 and held.section("findings").count() == 1
+    assert bundle.read_section(spark, path, "cleaned").count() == 3
+
+    broken = spark.range(2).selectExpr("CAST(raise_error('ends midway') AS STRING) AS x")
+    with pytest.raises(Exception, match="ends midway"):
+        bundle.write_bundle(path, {"cleaned": numbers(9), "info": broken})
+    assert bundle.open_bundle(spark, path).number == 2 and bundle.read_section(spark, path, "cleaned").count() == 3
+
+    with monkeypatch.context() as m:  # two writers start from the same version
+        m.setattr(bundle, "open_bundle", lambda *_: held)
+        with pytest.raises(bundle.ConcurrentWrite):
+            bundle.replace_section(path, "findings", numbers(7))
+    assert bundle.versions(spark, path) == [1, 2] and bundle.read_section(spark, path, "findings").count() == 5
+
+    third = bundle.write_bundle(path, {"cleaned": numbers(6)})
+    with pytest.raises(KeyError):
+        third.section("findings")
+    assert bundle.prune(spark, path) > 0 and bundle.versions(spark, path) == [3]
+    assert bundle.read_section(spark, path, "cleaned").count() == 6
+    assert bundle.write_bundle(path, {}) is None and bundle.open_bundle(spark, str(tmp_path / "none")).number == 0
