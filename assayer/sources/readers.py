@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayer.functions import stats
 from assayer.operators import frames
+from assayer.sources import quoted
 
 # Cell text that a CSV scan reads as missing.
 CSV_MISSING = (
@@ -24,7 +25,7 @@ BOOLEAN_WORD = r"^([Tt]rue|TRUE|[Ff]alse|FALSE)$"
 
 
 def load_dataset(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-                 multiline: bool = False) -> DataFrame:
+                 multiline: bool | None = None) -> DataFrame:
     """Read a CSV or Excel file (or folder or glob of them) into a typed table.
 
     Raises for an unknown extension, a missing path and a file without rows.
@@ -46,16 +47,25 @@ def load_dataset(spark: SparkSession, path: str, schema: T.StructType | str | No
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             multiline: bool = False) -> DataFrame:
+             multiline: bool | None = None) -> DataFrame:
     """CSV with a header row. Without a schema, one extra pass types the columns.
 
-    ``multiline`` allows line breaks inside quotes; such files cannot be split
-    between tasks, so it is off by default.
+    Line breaks inside quotes are found by a first look and read in splits (see
+    ``quoted``). ``multiline=False`` says that there are none and skips the look,
+    ``multiline=True`` leaves such files to Spark's own reader, one task per file.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
-    if schema is not None:
-        return frames.nan_to_null(reader.schema(schema).csv(path))
-    raw = reader.option("inferSchema", False).csv(path)
+    if multiline is None and quoted.has_open_lines(spark, path):
+        raw = quoted.read(spark, path)
+        if schema is not None:
+            fields = (schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)).fields
+            cells = zip(fields, raw.columns)
+            return frames.nan_to_null(raw.select(*[
+                F.when(frames.column(c) != "", frames.column(c)).try_cast(f.dataType).alias(f.name) for f, c in cells]))
+    else:
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", bool(multiline))
+        if schema is not None:
+            return frames.nan_to_null(reader.schema(schema).csv(path))
+        raw = reader.option("inferSchema", False).csv(path)
     return infer_physical_types(raw.select(*[
         F.when(~frames.column(c).isin(list(CSV_MISSING)), frames.column(c)).alias(c) for c in raw.columns
     ]))
