@@ -7,8 +7,8 @@ different left neighbours; discounts D1, D2, D3+ follow from the counts of count
 The estimated model is a table (lang, kind, size, gram, value): kind p has the log probability of a seen gram, kind b the
 log weight that a context gives to shorter ones. To score, it is cut into shards of at most `max_entries` rows by the two
 bytes before the predicted one; what a position needs is in one shard. Each shard is broadcast as sorted hash arrays and
-joined to all documents in turn; a document's log probability is the sum over the shards. A shard's size is bounded
-whatever the size of the model, and texts are never shuffled.
+joined to all documents in turn; a document's log probability is the sum over the shards. A shard holds about `max_entries`
+rows (one frequent pair of bytes can hold more), the driver has one at a time, and texts are never shuffled.
 
 Null or empty texts and texts shorter than `order` have no grams and a null perplexity, as have texts in a language the
 model doesn't know. A null language is the language "und".
@@ -20,9 +20,11 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,8 +190,9 @@ class HashArray:
         return self.value[place]
 
 
-def _shard_number(two_bytes, shards: int):
-    return (two_bytes * 40503) % 65536 % shards
+def _shard_number(two_bytes, shards: int, floor=np.floor):
+    """By the high bits of a product, in which all bits of the two bytes count."""
+    return floor(two_bytes * 40503 % 65536 * shards / 65536)
 
 
 @dataclass
@@ -233,7 +236,7 @@ def shards_of(model: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRI
     two = F.when(F.col("kind") == "p", F.shiftright("gram", 8)).otherwise(F.col("gram")).bitwiseAND(F.lit(0xFFFF))
     everywhere = F.col("size") < F.when(F.col("kind") == "p", F.lit(3)).otherwise(F.lit(2))
     for number in range(shards):
-        own = model.filter(everywhere | (_shard_number(two, shards) == number)) if shards > 1 else model
+        own = model.filter(everywhere | (_shard_number(two, shards, F.floor) == number)) if shards > 1 else model
         if not tables:
             yield Shard(order, number, shards, {})
             continue
@@ -297,23 +300,26 @@ def score(
     shards = shards_of(model, order, max_entries)
     first = next(shards)
 
-    def partial(shard: Shard, rows: DataFrame, extra: Extra | None = None) -> DataFrame:
+    def partial(shard: Shard, rows: DataFrame, extra: Extra | None = None) -> tuple[DataFrame, Broadcast]:
         fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields[:-2]} | {"total": "double", "grams": "long"} | (extra.fields if extra else {})
-        task = _score_task(spark.sparkContext.broadcast(shard), len(rows.columns) - 2, list(fields), extra)
-        return rows.mapInArrow(task, ", ".join(f"`{name}` {kind}" for name, kind in fields.items()))
+        shared = spark.sparkContext.broadcast(shard)
+        task = _score_task(shared, len(rows.columns) - 2, list(fields), extra)
+        return rows.mapInArrow(task, ", ".join(f"`{name}` {kind}" for name, kind in fields.items())), shared
 
     if first.shards == 1:
-        scored = partial(first, docs.select(*kept, lang, text), extra)
+        scored, _ = partial(first, docs.select(*kept, lang, text), extra)
     else:  # the sums of a text are the same wherever it stands, so texts are the key
         key = F.unhex(F.md5(F.concat_ws("\x00", language(F.col(lang_col)), F.coalesce(F.col(text_col), F.lit(""))))).alias("key")
-        sums = None
-        for shard in (first, *shards):
-            one = partial(shard, docs.select(key, lang, text)).groupBy("key").agg(F.max("total").alias("total"), F.max("grams").alias("grams"))
-            sums = storage.stage(one if sums is None else sums.union(one), "partial_sums")
-        sums = sums.groupBy("key").agg(F.sum("total").alias("total"), F.sum("grams").alias("grams"))
+        parts = []
+        for shard in chain([first], shards):  # one in the driver at a time, given up when its sums are written
+            one, shared = partial(shard, docs.select(key, lang, text))
+            parts.append(storage.stage(one.groupBy("key").agg(F.max("total").alias("total"), F.max("grams").alias("grams")), "partial_sums"))
+            shared.destroy()
+            first = shard = None
+        sums = reduce(DataFrame.union, parts).groupBy("key").agg(F.sum("total").alias("total"), F.sum("grams").alias("grams"))
         rows = docs.select(*kept, key, lang, text)
         if extra:
-            rows = partial(Shard(order, 0, 1, {}), rows, extra).drop("total", "grams")
+            rows = partial(Shard(order, 0, 1, {}), rows, extra)[0].drop("total", "grams")
         scored = rows.join(sums, "key")
     perplexity = F.when(F.col("grams") > 0, F.exp(-F.col("total") / F.col("grams"))).alias("perplexity")
     return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], perplexity, "grams", *(extra.fields if extra else {}))

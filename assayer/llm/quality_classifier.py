@@ -34,6 +34,8 @@ ALL = "*"
 
 def models(sample: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Model table of all (fold, lang, text) rows, and of all but one fold for each fold; counted once for each fold."""
+    if not 2 <= folds <= 9:
+        raise ValueError("2 to 9 folds")  # a fold is one character of the model's language
     marked = sample.select(F.concat_ws("|", "fold", "lang").alias("lang"), "text")
     counts = storage.stage(ngram_model.count_grams(marked), "fold_grams")
     own = F.substring("lang", 1, 1)
