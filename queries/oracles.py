@@ -857,3 +857,48 @@ ORACLES["result_chart_empty"] = "SELECT count(*) AS orders, count(*) FILTER (WHE
 
 ORACLES["bundle_versions"] = "SELECT 1 AS version, c_name AS name FROM customer UNION ALL SELECT 2, s_name FROM supplier"
 ORACLES["bundle_read_back"] = "SELECT * FROM orders"
+
+# -- prepared datasets -----------------------------------------------------------------------------
+
+# The cleaned table as text again, so that the checks of the raw one apply to it.
+_CLEANED = f"""WITH d AS (SELECT row_id, order_id, customer_id, status, CAST(price AS STRING) AS price, strftime(order_date, '%Y-%m-%d') AS order_date,
+    priority, CAST(is_urgent AS STRING) AS is_urgent, quantity, channel, market FROM ({ORACLES["clean_result"]}))"""
+
+
+def _scores(rows: str) -> str:
+    return f"""({rows}, {_ALL}, {_WITH} SELECT component, CAST(score AS DOUBLE) AS score FROM parts
+        UNION ALL SELECT 'overall', CAST(overall_score AS DOUBLE) FROM ({_OVERALL}))"""
+
+
+ORACLES["score_delta"] = f"""SELECT component, b.score AS before, a.score AS after, round(a.score - b.score, 2) AS change
+    FROM {_scores(DIRTY)} b JOIN {_scores(_CLEANED)} a USING (component)"""
+ORACLES["prepared_bundle"] = f"""SELECT 'orders' AS name, (SELECT count(*) FROM ({DIRTY_ORDERS})) AS original_rows, (SELECT count(*) FROM ({ORACLES["clean_result"]})) AS rows,
+    {len(DIRTY_COLUMNS) + 1}::INTEGER AS columns, before AS score_before, after AS score_after, change AS quality_improvement
+    FROM ({ORACLES["score_delta"]}) WHERE component = 'overall'"""
+
+# -- automatic charts of the part table: its type is the only category with few enough values ---------
+
+_PART_NUMBERS = ("p_size", "p_retailprice")
+_VARIATION = lambda x: f"(SELECT least(1.0, (max(m) - min(m)) / abs(avg(m))) FROM (SELECT avg({x}) AS m FROM part GROUP BY p_type))"
+_OUTSIDE = lambda x: f"""(SELECT count(*) FROM part, (SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM part)
+    WHERE {x} < q1 - 1.5 * (q3 - q1) OR {x} > q3 + 1.5 * (q3 - q1))"""
+_PART_CORRELATION = "(SELECT corr(p_size, p_retailprice) FROM part)"
+_TYPES = "(SELECT count(DISTINCT p_type) FROM part)"
+_CANDIDATES = (
+    [f"SELECT 0 AS nth, 'bar' AS chart_type, 'p_type' AS x, 'count' AS y, 'category_distribution' AS family, 'p_type' AS names, "
+     f"58 + CASE WHEN {_TYPES} <= 8 THEN 8 ELSE 0 END AS score, 'distribution' AS intent, {_TYPES} AS points"]
+    + [f"SELECT {1 + i}, 'histogram', 'bin', 'frequency', 'numeric_distribution', '{x}', 52, 'distribution', "
+       f"least(20, greatest(5, floor(sqrt((SELECT count({x}) FROM part)))))" for i, x in enumerate(_PART_NUMBERS)]
+    + [f"SELECT {3 + i}, 'box', '{x}', '{x}', 'numeric_box', '{x}', 45 + least(20.0, least(100, {_OUTSIDE(x)}) / 5), 'outlier', 1" for i, x in enumerate(_PART_NUMBERS)]
+    + [f"SELECT 5, 'heatmap', 'x', 'y', 'correlation_heatmap', NULL, 72 + round(abs({_PART_CORRELATION}), 4) * 15, 'correlation', 4",
+       f"""SELECT 6, 'scatter', 'p_size', 'p_retailprice', 'scatter', 'p_size|p_retailprice', 65 + abs({_PART_CORRELATION}) * 25, 'relationship',
+           least(500, (SELECT count(*) FROM part)) WHERE abs({_PART_CORRELATION}) >= 0.30"""]
+    + [f"SELECT {7 + i}, 'bar', 'p_type', 'mean', 'category_numeric', 'p_type|{x}', 68 + least(15.0, {_VARIATION(x)} * 15), 'comparison', {_TYPES}" for i, x in enumerate(_PART_NUMBERS)]
+    + [f"SELECT {9 + i}, 'box', 'p_type', '{x}', 'grouped_box', 'p_type|{x}', 64, 'group_distribution', {_TYPES}" for i, x in enumerate(_PART_NUMBERS)]
+)
+_CHOSEN = f"""WITH c AS ({" UNION ALL ".join(_CANDIDATES)}), placed AS (
+    SELECT row_number() OVER (ORDER BY nth) - 1 AS place, chart_type, x, y, family, concat_ws('|', family, names) AS signature,
+        CAST(printf('%.3f', CAST(score AS DOUBLE)) AS DOUBLE) AS score, intent, points FROM c)
+    SELECT * FROM placed ORDER BY score DESC, place LIMIT 10"""
+ORACLES["chart_ranking"] = f"SELECT place::INTEGER AS place, chart_type, x, y, NULL::VARCHAR AS color, family, signature, score, intent FROM ({_CHOSEN})"
+ORACLES["automatic_charts"] = f"SELECT signature, points::BIGINT AS points FROM ({_CHOSEN})"
