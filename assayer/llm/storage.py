@@ -36,7 +36,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here, lost executors lose nothing."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def release(staged: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    fs, target = file_system(staged.sparkSession, staged.staged_at)
+    fs.delete(target, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -224,7 +224,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     schema = "key long, content long, doc long, at long"
     rows = storage.stage(textarrays.map_texts(texts.select("doc", "text"), _scan(length, gram), "text", schema), "segments")
     again = storage.stage(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated_minimizers")
-    rows = storage.stage(rows.join(again, "key"), "shared_segments")
+    storage.free_shuffles(spark)
+    every, rows = rows, storage.stage(rows.join(again, "key"), "shared_segments")
+    storage.release(every)
+    del every
     storage.free_shuffles(spark)
 
     contents = rows.groupBy("key", "content").agg(F.min(F.struct("doc", "at")).alias("owner"), F.count("*").alias("copies"))
@@ -245,12 +248,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         textarrays.map_texts(found, _fetch(length, buckets), "text", "bucket long, one long, two long, doc long, at long, piece binary"), "pieces"
     )
     storage.free_shuffles(spark)
+    storage.release(rows)
     spans = "doc long, check long, low long, high long"
     sorted_ = pieces.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_collection(length), spans)
     single = pieces.filter("bucket IS NULL").select("one", "two", "doc", "at")
     owners = single.groupBy("one", "two").agg(F.min(F.struct("doc", "at")).alias("owner"), F.count("*").alias("copies")).filter("copies > 1")
     crowded = single.join(owners, ["one", "two"]).filter(F.struct("doc", "at") != F.col("owner")).select("doc", check, first, (first + length).alias("high"))
-    return reduce(DataFrame.unionByName, [copied, storage.stage(sorted_, "sorted_repeats"), storage.stage(crowded, "crowded_repeats")])
+    found = [copied, storage.stage(sorted_, "sorted_repeats"), storage.stage(crowded, "crowded_repeats")]
+    storage.release(pieces)
+    storage.free_shuffles(spark)
+    return reduce(DataFrame.unionByName, found)
 
 
 def named(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
