@@ -44,9 +44,9 @@ _U = np.uint64
 FULL_GRAMS = 1000
 
 
-def deviation(perplexity: Column, median: Column, grams: Column) -> Column:
+def deviation(perplexity: Column, median: Column, grams: Column, full: int = FULL_GRAMS) -> Column:
     """Log perplexity against a median, less for short texts: chance alone moves those by 1 / sqrt(grams)."""
-    return (F.log(perplexity) - median) * F.sqrt(F.least(grams, F.lit(FULL_GRAMS)) / FULL_GRAMS)
+    return (F.log(perplexity) - median) * F.sqrt(F.least(grams, F.lit(full)) / full)
 
 
 def language(column: Column) -> Column:
@@ -82,7 +82,11 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return grams[first], np.add.reduceat(counts, first)
 
 
-def _count_task(order: int, accept: Callable[[list[str]], np.ndarray] | None):
+#: A function (texts, order) -> (text number, gram), and the order.
+Kind = tuple[Callable[[list[str], int], tuple[np.ndarray, np.ndarray]], int]
+
+
+def _count_task(kinds: dict[str, Kind], accept: Callable[[list[str]], np.ndarray] | None):
     def rows(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
             grams, counts = _merge(parts)
@@ -101,12 +105,14 @@ def _count_task(order: int, accept: Callable[[list[str]], np.ndarray] | None):
                 for lang, text, take in zip(langs, texts, wanted, strict=True):
                     if take:
                         by_lang[lang].append(text)
-                for lang, texts in by_lang.items():
-                    grams, counts = np.unique(byte_grams(texts, order)[1], return_counts=True)
-                    if len(grams):
-                        held[lang].append((grams, counts))
-                        if sum(len(g) for g, _ in held[lang]) > 4 * len(held[lang][0][0]) + 500_000:
-                            held[lang] = [_merge(held[lang])]
+                for mark, (find, order) in kinds.items():
+                    for lang, texts in by_lang.items():
+                        grams, counts = np.unique(find(texts, order)[1], return_counts=True)
+                        if len(grams):
+                            own = held[mark + lang]
+                            own.append((grams, counts))
+                            if sum(len(g) for g, _ in own) > 4 * len(own[0][0]) + 500_000:
+                                held[mark + lang] = [_merge(own)]
                 if sum(len(g) for parts in held.values() for g, _ in parts) > HELD_GRAMS:
                     yield from rows(held)
                     held.clear()
@@ -115,11 +121,16 @@ def _count_task(order: int, accept: Callable[[list[str]], np.ndarray] | None):
     return run
 
 
-def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, accept: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
-    """(lang, gram, n) over all documents, or those that `accept` marks."""
+def count_grams(
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER,
+    accept: Callable[[list[str]], np.ndarray] | None = None, kinds: dict[str, Kind] | None = None,
+) -> DataFrame:
+    """(lang, gram, n) over all documents, or those that `accept` marks. kinds: several kinds of grams in one pass, by what is put before
+    the language."""
+    kinds = kinds or {"": (byte_grams, order)}
     textarrays.ship_code(docs.sparkSession)
     named = docs.select(language(docs[lang_col]).alias("lang"), docs[text_col].alias("text"))
-    counted = named.mapInArrow(_count_task(order, accept), "lang string, gram long, n long")
+    counted = named.mapInArrow(_count_task(kinds, accept), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -250,13 +261,19 @@ def shards_of(model: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRI
 
 @dataclass
 class Extra:
-    """Further columns that the scoring pass makes from the texts: names with types, and a function of the texts."""
+    """Further columns that the scoring pass makes from the texts: names with types, and a function of texts and languages."""
 
     fields: dict[str, str]
-    work: Callable[[list[str]], list[np.ndarray]]
+    work: Callable[[list[str], list[str]], list]
+
+    def columns(self, texts: list[str], langs: list[str]) -> list[pa.Array]:
+        kinds = {"double": pa.float64(), "long": pa.int64()}
+        return [pa.array(c, kinds[k]) for c, k in zip(self.work(texts, langs), self.fields.values(), strict=True)]
+
 
-    def columns(self, texts: list[str]) -> list[pa.Array]:
-        return [pa.array(c) for c in self.work(texts)]
+def whole_model(model: DataFrame, order: int) -> Shard:
+    """A model of bounded size as one shard."""
+    return next(shards_of(model, order, 1 << 62))
 
 
 def _score_task(shared, n_keep: int, names: list[str], extra: Extra | None):
@@ -282,7 +299,7 @@ def _score_task(shared, n_keep: int, names: list[str], extra: Extra | None):
                         text, gram = text[mine], gram[mine]
                         total[rows] = np.bincount(text, shard.log_probability(tables, lang, gram), len(rows))
                         n[rows] = np.bincount(text, minlength=len(rows))
-                more = extra.columns(listed) if extra else []
+                more = extra.columns(listed, langs.tolist()) if extra else []
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], pa.array(total), pa.array(n), *more], names)
 
     return run

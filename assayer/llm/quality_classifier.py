@@ -1,8 +1,9 @@
 """Quality classifier: perplexity under models of trusted text.
 
-Interpolated modified Kneser-Ney models (see `ngram_model`) are trained on the distinct trusted texts of each language. Joins
+Interpolated modified Kneser-Ney models (see `ngram_model`), of byte 5-grams for spelling and of trigrams of word classes (see
+`word_classes`) for the order of words, are trained on the distinct trusted texts of each language. Joins
 with the model's shards give every document's perplexity. Its distance from the median of the language's trusted texts
-counts less for short texts; a document passes up to the QUANTILE of the trusted texts' distances. Median and quantile
+counts less for short texts; a document passes if by both it is up to the QUANTILE of the trusted texts' distances. Median and quantile
 come from held-out scores: trusted texts are dealt into FOLDS by a hash, and each is scored by a model of the other folds,
 for a text that a model has seen is far easier for it than unseen text of the same kind. Copies of a text count once.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm import ngram_model, storage
+from assayer.llm import ngram_model, storage, word_classes
 
 QUANTILE = 0.99
 #: Parts of the trusted texts, at most 9; a model of all but one scores that one.
@@ -32,24 +33,30 @@ MAX_BROADCAST_IDS = 2_000_000
 ALL = "*"
 
 
-def models(sample: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """Model table of all (fold, lang, text) rows, and of all but one fold for each fold; counted once for each fold."""
+def models(sample: DataFrame, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:
+    """Model tables, by bytes and by word classes, of all (fold, lang, text) rows and of all but one fold for each fold; counted
+    once for each fold."""
     if not 2 <= folds <= 9:
         raise ValueError("2 to 9 folds")  # a fold is one character of the model's language
     marked = sample.select(F.concat_ws("|", "fold", "lang").alias("lang"), "text")
-    counts = storage.stage(ngram_model.count_grams(marked), "fold_grams")
+    counted = storage.stage(ngram_model.count_grams(marked, kinds=word_classes.BOTH), "fold_grams")
+    of_class = F.col("lang").startswith(word_classes.MARK)
+    by_class = counted.filter(of_class).withColumn("lang", F.expr("substring(lang, 2)"))
+    return ngram_model.estimate(_all_but_one(counted.filter(~of_class), folds)), ngram_model.estimate(_all_but_one(by_class, folds), word_classes.ORDER)
+
+
+def _all_but_one(counts: DataFrame, folds: int) -> DataFrame:
     own = F.substring("lang", 1, 1)
     outs = F.array(F.lit(ALL), *[F.lit(str(f)) for f in range(folds)])
     used = counts.select(F.explode(F.filter(outs, lambda out: out != own)).alias("out"), F.expr("substring(lang, 3)").alias("lang"), "gram", "n")
-    summed = used.groupBy(F.concat_ws("|", "out", "lang").alias("lang"), "gram").agg(F.sum("n").alias("n"))
-    return ngram_model.estimate(summed)
+    return used.groupBy(F.concat_ws("|", "out", "lang").alias("lang"), "gram").agg(F.sum("n").alias("n"))
 
 
-def held_out_limits(held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def held_out_limits(held: DataFrame, quantile: float = QUANTILE, full: int = ngram_model.FULL_GRAMS) -> DataFrame:
     """(lang, median, limit): one row for each language that has held-out scores."""
     held = held.filter("perplexity IS NOT NULL")
     middle = held.groupBy("lang").agg(F.percentile_approx(F.log("perplexity"), 0.5, 10_000).alias("median"))
-    away = held.join(F.broadcast(middle), "lang").withColumn("deviation", ngram_model.deviation(F.col("perplexity"), F.col("median"), F.col("grams")))
+    away = held.join(F.broadcast(middle), "lang").withColumn("deviation", ngram_model.deviation(F.col("perplexity"), F.col("median"), F.col("grams"), full))
     end = F.percentile_approx("deviation", quantile, 10_000)
     over_all = away.agg(end.alias("over_all"))
     own = away.groupBy("lang").agg(F.first("median").alias("median"), end.alias("own"), F.count("*").alias("n"))
@@ -66,14 +73,32 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     named = named.withColumn("filled", F.coalesce(F.col("text"), F.lit("")) != "")
     sample = ngram_model.distinct_texts(named.join(ids, named.doc_id == ids._trusted, "left_semi").filter("filled"))
     sample = storage.stage(sample.select(F.pmod(F.crc32("text_key"), F.lit(FOLDS)).cast("string").alias("fold"), "lang", "text"), "trusted_texts")
-    model = models(sample)
+    model, class_model = models(sample)
     plain = F.expr("substring(lang, 3)").alias("lang")
-    of_all = model.filter(F.col("lang").startswith(ALL)).select(plain, "kind", "size", "gram", "value")
-    scored = storage.stage(ngram_model.score(named, of_all, ["doc_id", "lang", "filled"], max_entries=SHARD_ENTRIES), "scored")
+    of_all = lambda table: table.filter(F.col("lang").startswith(ALL)).select(plain, "kind", "size", "gram", "value")
+    of_folds = lambda table: table.filter(~F.col("lang").startswith(ALL))
+    more = _by_class(of_all(class_model))
+    scored = storage.stage(ngram_model.score(named, of_all(model), ["doc_id", "lang", "filled"], max_entries=SHARD_ENTRIES, extra=more), "scored")
     marked = sample.select(F.concat_ws("|", "fold", "lang").alias("lang"), "text")
-    held = ngram_model.score(marked, model.filter(~F.col("lang").startswith(ALL)), ["lang"]).withColumn("lang", plain)
-    limits = held_out_limits(storage.stage(held, "held_out"), quantile)
-    judged = scored.join(F.broadcast(limits), "lang", "left")
-    judged = judged.withColumn("deviation", ngram_model.deviation(F.col("perplexity"), F.col("median"), F.col("grams")))
-    kept = F.col("filled") & F.coalesce(F.col("deviation") <= F.col("limit"), F.lit(True))
-    return judged.select("doc_id", "lang", "perplexity", "deviation", "limit", kept.alias("kept"))
+    held = ngram_model.score(marked, of_folds(model), ["lang"], extra=_by_class(of_folds(class_model))).withColumn("lang", plain)
+    held = storage.stage(held, "held_out")
+    by_bytes = judged_by(scored, held_out_limits(held, quantile))
+    as_plain = {c: c.removeprefix("class_") for c in word_classes.FIELDS}
+    limits = held_out_limits(held.drop("perplexity", "grams").withColumnsRenamed(as_plain), quantile, word_classes.FULL_GRAMS)
+    set_by = {c: f"byte_{c}" for c in ("perplexity", "grams", "deviation", "limit", "fits")}
+    both = judged_by(by_bytes.withColumnsRenamed(set_by).withColumnsRenamed(as_plain), limits, word_classes.FULL_GRAMS)
+    kept = F.col("filled") & F.col("byte_fits") & F.col("fits")
+    names = [F.col(f"byte_{c}").alias(c) for c in ("perplexity", "deviation", "limit")] + [F.col(c).alias(f"class_{c}") for c in ("perplexity", "deviation", "limit")]
+    return both.select("doc_id", "lang", *names, kept.alias("kept"))
+
+
+def _by_class(model: DataFrame) -> ngram_model.Extra:
+    shared = model.sparkSession.sparkContext.broadcast(ngram_model.whole_model(model, word_classes.ORDER))
+    return ngram_model.Extra(word_classes.FIELDS, word_classes.scorer(shared))
+
+
+def judged_by(scored: DataFrame, limits: DataFrame, full: int = ngram_model.FULL_GRAMS) -> DataFrame:
+    """With deviation, limit and whether the document fits; what can't be judged does."""
+    joined = scored.join(F.broadcast(limits), "lang", "left")
+    judged = joined.withColumn("deviation", ngram_model.deviation(F.col("perplexity"), F.col("median"), F.col("grams"), full)).drop("median")
+    return judged.withColumn("fits", F.coalesce(F.col("deviation") <= F.col("limit"), F.lit(True)))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontamination, entries, licenses, near_dup, quality_rules, textarrays
+from assayer.llm import bpe, decontamination, entries, licenses, near_dup, quality_classifier, quality_rules, textarrays, word_classes
 from tests.llm.conftest import prose
 from tests.llm.test_table_operators import brute_groups
 
@@ -160,3 +160,56 @@ def test_only_ascii_letters_are_lowered(spark):
     assert labels[2] == "mit" and not labels[1]
     words = docs.select(F.col("doc_id"), licenses._lower(F.col("text")).alias("w")).collect()
     assert words[2].w != "work"
+
+
+def ordered(seed, words=200):
+    """Sentences with a capital at the start, function words before nouns, a full stop or a comma here and there."""
+    draw = random.Random(seed)
+    noun = lambda: "".join(draw.choices("aeiourstnlmdp", k=draw.randint(4, 9)))
+    out = []
+    while len(out) < words:
+        sentence = []
+        for _ in range(draw.randint(2, 5)):
+            sentence += [draw.choice(["the", "of", "and", "in"]), *(noun() for _ in range(draw.randint(1, 2)))]
+            sentence[-1] += draw.choice(["", "", ","])
+        out += [sentence[0].capitalize(), *sentence[1:-1], sentence[-1].rstrip(",") + "."]
+    return " ".join(out[:words])
+
+
+def mixed_up(text, seed):
+    words = text.split()
+    random.Random(seed).shuffle(words)
+    return " ".join(words)
+
+
+def test_shuffled_words_leave_the_band(spark):
+    good = [(i, ordered(i, 150 + i), "en") for i in range(120)]
+    bad = [(1000 + i, mixed_up(ordered(500 + i), i), "en") for i in range(40)]
+    docs = spark.createDataFrame([*good, *bad], "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    assert sum(kept[i] for i in range(120)) >= 116 and sum(kept[1000 + i] for i in range(40)) <= 4
+
+
+def test_shuffled_words_exceed_the_trusted_limit(spark):
+    good = [(i, ordered(i, 150 + i), "en") for i in range(160)]
+    bad = [(1000 + i, mixed_up(ordered(500 + i), i), "en") for i in range(40)]
+    docs = spark.createDataFrame([*good, *bad], "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id: r.kept for r in quality_classifier.classify(docs, docs.filter("doc_id < 100").select("doc_id")).collect()}
+    assert sum(kept[i] for i in range(160)) >= 150 and sum(kept[1000 + i] for i in range(40)) <= 4
+
+
+def test_word_classes_match_a_plain_reading():
+    texts = ["The cat, of X. Ümlaut grün! ***", "", "a b", "don't (stop) now."]
+    owner, value = word_classes.classes(texts)
+    plain = [(i, w) for i, t in enumerate(texts) for w in t.split()]
+    assert owner.tolist() == [i for i, _ in plain]
+    for (_, w), c in zip(plain, value.tolist(), strict=True):
+        core, ending = (w[:-1], 2 if w[-1] in ".!?" else 1) if w[-1] in ",;:.!?" else (w, 0)
+        if not core[:1].isalpha():
+            base = 0
+        elif len(core) <= 3:
+            base = word_classes.SHORT + 1 if core[0].isupper() else c % word_classes.BASES
+        else:
+            base = (word_classes.SHORT + 2 if core[0].isupper() else word_classes.SHORT + 5) + (len(core) > 5) + (len(core) > 8)
+        assert c == ending * word_classes.BASES + base and 0 <= c < word_classes.CLASSES
+    assert len(word_classes.class_grams(texts)[1]) == 7 - 2 + 1 and len(word_classes.class_grams([])[1]) == 0
