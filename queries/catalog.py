@@ -275,6 +275,11 @@ def quality_components(spark, sf):
     return quality_report(spark, sf).components.select("component", "score", "weight")
 
 
+@query
+def quality_explanations(spark, sf):
+    return quality_report(spark, sf).components.select("component", "explanation")
+
+
 @query
 def quality_score(spark, sf):
     return quality_report(spark, sf).overall
@@ -551,7 +556,7 @@ def important_relationships(spark, sf):
 
 @query
 def eda_flags(spark, sf):
-    return eda.EdaReport(dirty(spark, sf)).flags.select("type", "column", "severity")
+    return eda.EdaReport(dirty(spark, sf)).flags.select("type", "column", "severity", "message")
 
 
 @query
@@ -723,6 +728,12 @@ def result_chart_empty(spark, sf):
     return orders.agg(F.count("*").alias("orders"), F.lit(chart is None).alias("no_chart"))
 
 
+@query
+def result_chart_violin(spark, sf):
+    orders = table(spark, sf, "orders")
+    return rounded(charts.result_chart(orders, "violin", "o_orderpriority", "o_totalprice").data)
+
+
 @query
 def result_chart_source(spark, sf):
     orders = table(spark, sf, "orders")

@@ -439,6 +439,14 @@ _WITHOUT = _components("100.0", "100.0 * surplus / total")
 _ALL = f"{_ANOMALY}, {_COMPLETE}, {_VALID}, {_CONSIST}, {_PENALTY}"
 ORACLES["quality_components"] = f"{DIRTY}, {_ALL}, {_WITH} SELECT component, CAST(score AS DOUBLE) AS score, CAST(weight AS DOUBLE) AS weight FROM parts"
 ORACLES["quality_score"] = f"{DIRTY}, {_ALL}, {_WITH} {_OVERALL}"
+ORACLES["quality_explanations"] = f"""{DIRTY}, {_ALL}
+    SELECT 'completeness' AS component, CASE WHEN sum(m) = 0 THEN 'no missing cells' ELSE printf('%.2f%% of all cells are missing', {pct('sum(m)', 'sum(n_rows)')}) END AS explanation FROM comp
+    UNION ALL SELECT 'uniqueness', CASE WHEN surplus = 0 AND round(p, 2) = 0 THEN 'no duplicate rows or identifiers'
+        ELSE printf('%d duplicate row(s); on average %.2f%% of identifiers are shared', surplus, round(p, 2)) END FROM dups, pen
+    UNION ALL SELECT 'validity', CASE WHEN sum(bad) = 0 THEN 'every value fits its type' ELSE printf('%d value(s) do not fit their type', sum(bad)::BIGINT) END FROM val
+    UNION ALL SELECT 'consistency', CASE WHEN sum(bad) = 0 THEN 'no mixed spellings' ELSE printf('%d value(s) are written in more than one way', sum(bad)::BIGINT) END FROM con
+    UNION ALL SELECT 'anomaly_quality', CASE WHEN outliers + extreme_outliers + s = 0 THEN 'no anomalies'
+        ELSE printf('%d outlier(s), %d of them extreme, and %d suspicious row(s)', outliers, extreme_outliers, s) END FROM pens"""
 ORACLES["quality_score_without_anomalies"] = f"{DIRTY}, {_IDS}, {_DUPS}, {_COMPLETE}, {_VALID}, {_CONSIST}, {_PENALTY}, {_WITHOUT} {_OVERALL}"
 _GRADE = lambda cond: f"CASE WHEN {cond} THEN 'high' ELSE 'medium' END"
 _QUALITY_ISSUES = f"""qi AS (
@@ -564,8 +572,7 @@ ORACLES["overview"] = f"""{DIRTY}, {_DUPS} SELECT total AS "rows", {len(DIRTY_CO
     total * {len(DIRTY_COLUMNS)} AS total_cells, {_NULLS('d')} AS total_missing,
     round(100.0 * {_NULLS('d')} / (total * {len(DIRTY_COLUMNS)}), 6) AS missing_percentage, surplus AS duplicate_rows,
     round(100.0 * surplus / total, 6) AS duplicate_percentage FROM dups"""
-ORACLES["semantic_type_counts"] = "SELECT detected_type, count(*) AS columns FROM (VALUES " + ", ".join(
-    f"('{k.lower()}')" for k in DIRTY_TYPES.values()) + ") t(detected_type) GROUP BY 1"
+ORACLES["semantic_type_counts"] = f"SELECT lower(detected_type) AS detected_type, count(*) AS columns FROM ({ORACLES['schema_profile_dirty']}) GROUP BY 1"
 _SPARSE_NULLS = each(_SPARSE_COLUMNS, lambda c: f"SELECT '{c}' AS \"column\", count(*) AS \"rows\", count(*) - count({c}) AS missing_count FROM d")
 ORACLES["missing_values_by_column"] = f"{SPARSE} SELECT *, {pct('missing_count', '\"rows\"', 6)} AS missing_percentage FROM ({_SPARSE_NULLS})"
 ORACLES["high_missing_columns"] = f"""{SPARSE} SELECT "column", {pct('missing_count', '"rows"', 6)} AS missing_percentage
@@ -690,14 +697,14 @@ ORACLES["important_relationships"] = f"""{FACTS}, {_RELATIONS} SELECT type, colu
     ORDER BY score DESC LIMIT 25"""
 ORACLES["eda_flags"] = f"""{DIRTY}, {_DUPS}, {_outliers(_DIRTY_NUMBERS, 'd', number)},
 nul AS ({each(DIRTY_COLUMNS, lambda c: f"SELECT '{c}' AS col, 100.0 * (count(*) - count({c})) / count(*) AS p FROM d")}),
-neg AS ({each(_DIRTY_NUMBERS, lambda c: f"SELECT '{c}' AS col FROM d WHERE {number(c)} < 0 LIMIT 1", ") UNION ALL (").join('()')}),
+neg AS ({each(_DIRTY_NUMBERS, lambda c: f"SELECT '{c}' AS col, 100.0 * count(*) FILTER (WHERE {number(c)} < 0) / count({number(c)}) AS p FROM d")}),
 cat AS ({each(_CATEGORIES, lambda c: f"SELECT '{c}' AS col, count(DISTINCT {c}) AS u, count({c}) AS v, (SELECT max(n) FROM (SELECT count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY {c})) AS top FROM d")})
-SELECT 'duplicate_rows' AS type, NULL AS "column", 'medium' AS severity FROM dups WHERE 100.0 * surplus / total >= 5
-UNION ALL SELECT 'high_missingness', col, CASE WHEN p >= 50 THEN 'high' ELSE 'medium' END FROM nul WHERE p >= 30
-UNION ALL SELECT 'outliers', "column", CASE WHEN 100.0 * o / n >= 15 THEN 'high' ELSE 'medium' END FROM outs WHERE 100.0 * o / n >= 5
-UNION ALL SELECT 'negative_values', col, 'info' FROM neg
-UNION ALL SELECT 'high_cardinality', col, 'info' FROM cat WHERE u >= 100 OR u / v >= 0.5
-UNION ALL SELECT 'dominant_category', col, 'info' FROM cat WHERE 100.0 * top / v >= 90"""
+SELECT 'duplicate_rows' AS type, NULL AS "column", 'medium' AS severity, printf('%.2f%% of rows are duplicates', 100.0 * surplus / total) AS message FROM dups WHERE 100.0 * surplus / total >= 5
+UNION ALL SELECT 'high_missingness', col, CASE WHEN p >= 50 THEN 'high' ELSE 'medium' END, printf('%s: %.2f%% missing', col, p) FROM nul WHERE p >= 30
+UNION ALL SELECT 'outliers', "column", CASE WHEN 100.0 * o / n >= 15 THEN 'high' ELSE 'medium' END, printf('%s: %.2f%% outliers', "column", 100.0 * o / n) FROM outs WHERE 100.0 * o / n >= 5
+UNION ALL SELECT 'negative_values', col, 'info', printf('%s: %.2f%% negative', col, p) FROM neg WHERE p > 0
+UNION ALL SELECT 'high_cardinality', col, 'info', printf('%s: %d categories', col, u) FROM cat WHERE u >= 100 OR u / v >= 0.5
+UNION ALL SELECT 'dominant_category', col, 'info', printf('%s: %.2f%% are one category', col, 100.0 * top / v) FROM cat WHERE 100.0 * top / v >= 90"""
 ORACLES["chart_recommendations"] = f"""{FACTS}, {_RELATIONS},
 five AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY round(score, 6) DESC, column_1, column_2) AS k FROM rel)
 SELECT 'histogram' AS chart, unnest([{', '.join(map(q, FACT_NUMBERS))}]) AS x, NULL AS y, 'distribution' AS intent
@@ -753,6 +760,7 @@ ORACLES["date_axis"] = f"""{DIRTY} SELECT row_id, CAST(CAST({date('order_date')}
 ORACLES["bar_by_category"] = """SELECT p_brand, round(avg(p_retailprice), 3) AS p_retailprice FROM part GROUP BY 1
     ORDER BY avg(p_retailprice) DESC, p_brand LIMIT 15"""
 ORACLES["result_chart"] = "SELECT o_orderpriority, round(avg(o_totalprice), 3) AS average_o_totalprice FROM orders GROUP BY 1"
+ORACLES["result_chart_violin"] = ORACLES["box_by_group"]
 ORACLES["result_chart_source"] = _GROUP_BOX.format(g="o_orderstatus", x="o_totalprice", t="orders")
 
 # -- findings and summaries ------------------------------------------------------------------------
