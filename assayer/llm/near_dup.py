@@ -190,11 +190,13 @@ def _open_keys(placed: DataFrame) -> DataFrame:
     return storage.stage(found.filter("parts > 1").select("key", F.col("top.component").alias("main"), outside), "open_keys")
 
 
-def _across(placed: DataFrame, brief: DataFrame, plausible: Callable[[str, str], Column]) -> DataFrame:
-    """Plausible pairs (a, b) of a bucket's members in different components, one of them outside the largest."""
-    met = storage.stage(placed.select("key", "rep", "component", "main").join(brief, "rep"), "open_members")
+def _across(placed: DataFrame, brief: DataFrame, plausible: Callable[[str, str], Column], unless: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Plausible pairs (a, b) of a bucket's members in different components, one of them outside the largest; `unless` leaves out pairs
+    that meet elsewhere."""
+    met = storage.stage(placed.join(brief, "rep"), "open_members")
     x, y = met.filter("component <> main").alias("x"), met.alias("y")
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
+    once = once if unless is None else once & ~unless("x", "y")
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & plausible("x", "y"))
     return apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
@@ -210,8 +212,11 @@ def _by_rare_shingles(placed: DataFrame, sets: DataFrame, brief: DataFrame, thre
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(round(100 * threshold)) / 100) + 1
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("df", "key"))
     rare = listed.join(common, "key").withColumn("nth", nth).filter((F.col("nth") <= prefix) & (F.col("df") > 1))
-    rare = storage.stage(rare.select("key", "rep", "component"), "rare_shingles")
-    return _across(rare.join(_open_keys(rare).select("key", "main"), "key"), brief, plausible)
+    rare = storage.stage(rare.select("key", "rep", "component", "nth"), "rare_shingles")
+    # all of a set's rare shingles, the rarest first: a pair is held together by the first that it shares only
+    lists = rare.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "key"))), lambda x: x["key"]).alias("rare"))
+    first = lambda a, b: F.get(F.array_intersect(f"{a}.rare", f"{b}.rare"), F.lit(0)) != F.col(f"{a}.key")
+    return _across(rare.join(_open_keys(rare).select("key", "main"), "key").select("key", "rep", "component", "main"), brief.join(lists, "rep"), plausible, first)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,7 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     sets = storage.stage(
         textarrays.map_texts(again, _with_sketch(width), "_text", "digest binary, shingles array<long>, sketch array<long>")
         .groupBy("digest").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
-        .join(wanted.select("digest", "rep"), "digest").drop("digest"),
+        .join(wanted.select("digest", "rep", "bands"), "digest").drop("digest"),
         "sets",
     )
     floor, ratio = estimate_floor(threshold), threshold - 1e-9
@@ -262,7 +267,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     placed = storage.stage(placed.select("key", "band", "rep", F.coalesce("component", "rep").alias("component")), "placed_members")
     open_keys = _open_keys(placed)
     small, crowded = open_keys.filter(F.col("outside") <= CROWDED), open_keys.filter(F.col("outside") > CROWDED)
-    few = _across(placed.join(small, "key"), brief, plausible)
+    # a pair is held together in the first bucket it shares only
+    earlier = lambda a, b: F.exists(F.sequence(F.lit(0), F.col(f"{a}.band")), lambda i: (i < F.col(f"{a}.band")) & (F.get(f"{a}.bands", i) == F.get(f"{b}.bands", i)))
+    few = _across(placed.join(small, "key").select("key", "band", "rep", "component", "main"), brief.join(sets.select("rep", "bands"), "rep"), plausible, earlier)
     pairs = few if crowded.isEmpty() else few.unionByName(_by_rare_shingles(placed.join(crowded, "key"), sets, brief, threshold, plausible))
     rest = storage.stage(pairs.distinct(), "further_pairs")
     links = storage.stage(links.union(_confirmed(rest, sets, threshold)), "all_links")

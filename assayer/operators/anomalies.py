@@ -21,6 +21,9 @@ NEAR_CONSTANT = 0.95
 # leaves room for the error of the approximate count.
 NEAR_CONSTANT_DISTINCT_SHARE = 0.10
 
+# Stands for a column where a row's digest is counted among the values of columns.
+WHOLE_ROW = "\x00row"
+
 ISSUE_FIELDS = "type string, column string, severity string, message string"
 
 
@@ -445,26 +448,20 @@ def row_issues(table: Table | DataFrame, types: Mapping | None = None, row_key:
         note(c, "invalid_date", 2, invalid_date(table, c))
     parts = [table.df.select(*keys, F.inline(F.array_compact(F.array(*found))))]
 
+    # Rare values, shared identifiers and repeated rows are counted and matched together: a row's digest is one more value of it.
     categories, identifiers = table.kinds("Categorical", "Boolean"), table.kinds("Identifier")
     names = categories + identifiers
-    if names:
-        # Rare values and shared identifiers are found and matched together.
-        n = F.col("n")
-        wanted = F.col("column").isin(identifiers) & (n > 1)
-        if categories:
-            rare = F.col("column").isin(categories) & is_rare(n, valid_count(table, names))
-            wanted = wanted | rare
-        cells = frames.long_values(table.df, {c: table.present(c) for c in names}, table.row_key)
-        cells = cells.where(F.col("value").isNotNull())
-        hits = frames.matching_rows(cells, category_counts(table, names), ["column", "value"], wanted, table.rows)
-        kind = F.when(F.col("column").isin(identifiers), "shared_identifier").otherwise("rare_category")
-        parts.append(hits.select(*keys, "column", kind.alias("issue"), F.lit(1).cast("long").alias("points")))
-
-    marked = frames.with_digest(table.df, table.columns, keep=table.row_key)
-    repeated = frames.matching_rows(
-        marked, marked.groupBy(*frames.DIGEST).agg(F.count(F.lit(1)).alias("n")), frames.DIGEST, F.col("n") > 1, table.rows)
-    parts.append(repeated.select(
-        *keys, F.lit(None).cast("string").alias("column"), F.lit("duplicate_row").alias("issue"), F.lit(1).cast("long").alias("points")))
+    one, two = frames.row_digest([(table.ref(c), frames.dtype(table.df, c)) for c in table.columns])
+    values = {c: table.present(c) for c in names} | {WHOLE_ROW: F.concat_ws(":", one, two)}
+    n, name = F.col("n"), F.col("column")
+    wanted = name.isin([*identifiers, WHOLE_ROW]) & (n > 1)
+    if categories:
+        wanted = wanted | (name.isin(categories) & is_rare(n, valid_count(table, names)))
+    cells = frames.long_values(table.df, values, table.row_key).where(F.col("value").isNotNull())
+    hits = frames.matching_rows(cells, frames.value_counts(table.df, values), ["column", "value"], wanted, table.rows)
+    kind = F.when(name == WHOLE_ROW, "duplicate_row").when(name.isin(identifiers), "shared_identifier").otherwise("rare_category")
+    parts.append(hits.select(
+        *keys, F.when(name != WHOLE_ROW, name).alias("column"), kind.alias("issue"), F.lit(1).cast("long").alias("points")))
     return frames.union_all(parts)
 
 

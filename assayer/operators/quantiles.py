@@ -39,7 +39,7 @@ def column_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequenc
                      distincts: Mapping[str, int] | None = None) -> dict[str, list[float] | None]:
     """Quantiles of several columns of a table; None for a column without values.
 
-    Columns with few distinct values take one exact ``percentile`` job. The
+    Columns with few distinct values take the exact ``percentile``. The
     others take a sketch for a bracket around each rank, then exact counts that
     prove the bracket right; what a bracket cannot settle is ranked by a sort.
     """
@@ -51,13 +51,7 @@ def column_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequenc
         distincts = {c: got[i] for i, c in enumerate(values)}
     small = [c for c in values if distincts[c] <= SMALL_DISTINCT]
     large = {c: v for c, v in values.items() if c not in small}
-    found: dict[str, list[float] | None] = {}
-    if small:
-        got = df.agg(*[F.percentile(values[c], F.array(*map(F.lit, probs))).alias(f"q{i}")
-                       for i, c in enumerate(small)]).first()
-        found |= {c: got[i] for i, c in enumerate(small)}
-    if large:
-        found |= _bracketed_quantiles(df, large, probs)
+    found = _few_passes(df, {c: values[c] for c in small}, large, probs)
     unsettled = [c for c in values if c not in found]
     if unsettled:
         pairs = [F.struct(F.lit(c).alias("item"), values[c].cast("double").alias("x")) for c in unsettled]
@@ -67,15 +61,21 @@ def column_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequenc
     return found
 
 
-def _bracketed_quantiles(df: DataFrame, values: Mapping[str, Column],
-                         probs: Sequence[float]) -> dict[str, list[float] | None]:
-    """Three narrow passes: sketch the brackets, count them, read the ranks inside them.
+def _few_passes(df: DataFrame, small: Mapping[str, Column], large: Mapping[str, Column],
+                probs: Sequence[float]) -> dict[str, list[float] | None]:
+    """Narrow passes: sketch the brackets of large columns, count them and take the small columns' quantiles, read the ranks.
 
-    A column is left out when a count disproves one of its brackets or a bracket
-    holds too many distinct values.
+    A large column is left out when a count disproves one of its brackets or a
+    bracket holds too many distinct values.
     """
-    names = list(values)
-    rows = df.select(*[v.cast("double").alias(f"x{i}") for i, v in enumerate(values.values())])
+    names = list(large)
+    rows = df.select(*[v.cast("double").alias(f"x{i}") for i, v in enumerate(large.values())],
+                     *[v.alias(f"s{i}") for i, v in enumerate(small.values())])
+    exact = [F.percentile(f"s{i}", F.array(*map(F.lit, probs))).alias(f"q{i}") for i in range(len(small))]
+    found: dict[str, list[float] | None] = {}
+    if not large:
+        got = rows.agg(*exact).first()
+        return {c: got[f"q{i}"] for i, c in enumerate(small)}
     margin = 2.0 / SKETCH_ACCURACY
     ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
     sketch = rows.agg(*[e for i in range(len(names)) for e in (
@@ -85,16 +85,17 @@ def _bracketed_quantiles(df: DataFrame, values: Mapping[str, Column],
         (i, j): (sketch[f"e{i}"][2 * j], sketch[f"e{i}"][2 * j + 1])
         for i in range(len(names)) if sketch[f"n{i}"] for j in range(len(probs))
     }
-    found: dict[str, list[float] | None] = {n: None for i, n in enumerate(names) if not sketch[f"n{i}"]}
-    if not brackets:
+    found |= {n: None for i, n in enumerate(names) if not sketch[f"n{i}"]}
+    if not brackets and not small:
         return found
-    counts = []
+    counts = list(exact)
     for (i, j), (low, high) in brackets.items():
         x = F.col(f"x{i}")
         inside = x.between(F.lit(low), F.lit(high))
         counts += [F.count_if(x < F.lit(low)).alias(f"b{i}_{j}"), F.count_if(inside).alias(f"i{i}_{j}"),
                    F.approx_count_distinct(F.when(inside, x)).alias(f"d{i}_{j}")]
     counted = rows.agg(*counts).first()
+    found |= {c: counted[f"q{i}"] for i, c in enumerate(small)}
     proven: dict[tuple[int, int], list[int]] = {}  # ranks inside the bracket
     failed = set()
     for (i, j) in brackets:
