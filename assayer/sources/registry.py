@@ -45,6 +45,19 @@ def validate_query(query: str) -> tuple[bool, str | None]:
     return True, None
 
 
+def plan_commands(spark: SparkSession, query: str) -> list[str]:
+    """Kinds of the nodes in a statement's parsed plan that do something besides reading: inserts, definitions, other commands."""
+    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{name}") for name in ("Command", "ParsedStatement")]
+    found, open_ = [], [spark._jsparkSession.sessionState().sqlParser().parsePlan(query)]
+    while open_:
+        node = open_.pop()
+        if any(kind.isInstance(node) for kind in kinds):
+            found.append(node.nodeName())
+        for below in (node.children(), node.innerChildren()):  # the latter are the queries of WITH
+            open_ += [below.apply(i) for i in range(below.size()) if hasattr(below.apply(i), "innerChildren")]
+    return found
+
+
 class TableRegistry:
     """Tables registered in a session as temporary views, queried read-only."""
 
@@ -76,11 +89,15 @@ class TableRegistry:
         return self.spark.table(name).columns
 
     def query(self, sql: str) -> DataFrame:
-        """Run one read-only statement, lazily."""
+        """Run one read-only statement, lazily. Its words are checked, then what it parses to."""
         ok, reason = validate_query(sql)
         if not ok:
             raise ValueError(f"query rejected: {reason}")
-        return self.spark.sql(sql.strip().removesuffix(";"))
+        statement = sql.strip().removesuffix(";")
+        commands = plan_commands(self.spark, statement)
+        if commands:
+            raise ValueError(f"query rejected: {commands[0]} is not a read")
+        return self.spark.sql(statement)
 
     def close(self) -> None:
         for name in self._names:

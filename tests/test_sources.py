@@ -5,6 +5,7 @@ import pytest
 from assayer.operators import templates
 from assayer.plans import ask, prepare
 from assayer.sources import bundle, readers, records
+from assayer.sources import registry as registry_module
 from assayer.sources.registry import TableRegistry, validate_query
 
 CSV = """order_id,order_date,region,quantity,price,paid
@@ -135,3 +136,19 @@ def test_bundle_versions_show_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert bundle.prune(spark, path) > 0 and bundle.versions(spark, path) == [3]
     assert bundle.read_section(spark, path, "cleaned").count() == 6
     assert bundle.write_bundle(path, {}) is None and bundle.open_bundle(spark, str(tmp_path / "none")).number == 0
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT * FROM t LIMIT 5", "SELECT region, count(*) FROM t GROUP BY region", "WITH x AS (SELECT 1 AS a) SELECT a FROM x WHERE a IN (SELECT 1)",
+    "SELECT 'drop table t' AS s, replace(a, 'x', 'y') FROM t",
+])
+def test_plans_that_only_read(spark, sql):
+    assert registry_module.plan_commands(spark, sql) == []
+
+
+@pytest.mark.parametrize("sql", [
+    "WITH x AS (SELECT 1 AS a) INSERT INTO t SELECT a FROM x", "INSERT INTO t VALUES (1)", "DROP TABLE t", "CREATE TABLE u AS SELECT 1 AS a",
+    "SET spark.sql.ansi.enabled = false", "DELETE FROM t", "CACHE TABLE t", "FROM t INSERT INTO u SELECT a INSERT INTO v SELECT b",
+])
+def test_plans_that_do_more_than_read(spark, sql):
+    assert registry_module.plan_commands(spark, sql)
