@@ -1,12 +1,15 @@
 """Cases of the third review: words that collide under a polynomial modulo 2**64, crowded buckets, short and split items, clashing names."""
 
+import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontamination, entries, licenses, near_dup, quality_classifier, quality_rules, textarrays, word_classes
+from assayer.llm import bpe, decontamination, entries, licenses, near_dup, quality_classifier, quality_rules, sharding, textarrays, word_classes
 from tests.llm.conftest import prose
 from tests.llm.test_table_operators import brute_groups
 
@@ -213,3 +216,40 @@ def test_word_classes_match_a_plain_reading():
             base = (word_classes.SHORT + 2 if core[0].isupper() else word_classes.SHORT + 5) + (len(core) > 5) + (len(core) > 8)
         assert c == ending * word_classes.BASES + base and 0 <= c < word_classes.CLASSES
     assert len(word_classes.class_grams(texts)[1]) == 7 - 2 + 1 and len(word_classes.class_grams([])[1]) == 0
+
+
+def brute_shard(key, tree):
+    """Three draws, each the child of the smallest -log(u) / weight, recomputed from the digests."""
+    below, node = tree.children(), sharding.ROOT
+    for _ in range(3):
+        draws = [(-math.log((int(hashlib.md5(f"{key}|{n}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)) / w, n) for n, w in below[node].items()]
+        node = min(draws)[1]
+    return int(node)
+
+
+def test_shards_match_recomputed_draws(spark):
+    tree = sharding.Topology.regular(16).weighted(3, 2.5)
+    docs = spark.createDataFrame([(i * 7919, f"text {i}") for i in range(400)] + [(None, "x")], "doc_id long, text string")
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.place(docs, tree, tree.grown()).collect()}
+    assert got == {i: (brute_shard("null" if i is None else i, tree), brute_shard("null" if i is None else i, tree.grown())) for i in got}
+    assert len(set(got.values())) > 14
+
+
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+def test_license_places_match_a_recount(spark):
+    draw, parts = random.Random(6), "under the mit license apache version 2 cc by nc other Word é9".split()
+    seps = [" ", "  ", "-", "\n", ". ", "/"]
+    texts = ["".join(draw.choice(parts) + draw.choice(seps) for _ in range(draw.randint(0, 40))) for _ in range(60)]
+    texts += [f"a {p.upper()} b {p} {p.replace(' ', '-')}" for p in PHRASES] + ["under the under the mit license", "cc by nc by nc", ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string").repartition(3)
+    rows = licenses.scan_licenses(docs).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        text = "" if r.doc_id is None else "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r.doc_id])
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+        places = [(i, label) for p, label in PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        starts = [i for i, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({label for _, label in places})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
