@@ -122,10 +122,67 @@ class Table:
         )
         return {c: q for c, q in found.items() if q}
 
+    @cached_property
+    def frequencies(self) -> DataFrame:
+        """Staged ``(column, value, n)`` that reports, scores and row evidence share: one pass, one shuffle.
+
+        Categories and columns that one value may fill are there in full. Of
+        identifiers and of whole rows (WHOLE_ROW, by digest) only what repeats is.
+        """
+        full = list(dict.fromkeys(self.kinds("Categorical", "Boolean") + low_variance_suspects(self)[1]))
+        names = list(dict.fromkeys(full + self.kinds("Identifier")))
+        counts = frames.value_counts(self.df, {c: self.present(c) for c in names} | {WHOLE_ROW: self.row_digest})
+        return frames.stage(counts.where((F.col("n") > 1) | F.col("column").isin(full)))
+
+    @property
+    def row_digest(self) -> Column:
+        return F.concat_ws(":", *frames.row_digest([(self.ref(c), frames.dtype(self.df, c)) for c in self.columns]))
+
+    @cached_property
+    def cell_counts(self) -> DataFrame:
+        """Settled counts of every column's cells in one pass: missing, invalid, padded, outlying."""
+        checked, none = set(checked_numeric(self)), F.lit(0).cast("long")
+        metrics = {}
+        for c in self.columns:
+            x, f = self.number(c), _fences(self.quartiles[c]) if c in checked else None
+            metrics[c] = plain_counts(self, c) | {
+                "values_checked": F.count(x) if f else none,
+                "outliers": stats.count_if(_outside(x, f["lo"], f["hi"], f["iqr"])) if f else none,
+                "extreme_outliers": stats.count_if(_outside(x, f["xlo"], f["xhi"], f["iqr"])) if f else none,
+                "invalid_dates": stats.count_if(invalid_date(self, c)) if self.types.get(c) == "Datetime" else none,
+            }
+        return frames.settle(frames.aggregate_columns(self.df, metrics))
+
     @cached_property
     def duplicate_summary(self) -> DataFrame:
         """One settled row: rows, duplicate_rows, duplicate_percentage, affected_rows."""
-        return frames.settle(duplicate_rows(self.df, self.columns))
+        got = self.frequencies.where(F.col("column") == WHOLE_ROW).agg(F.sum(F.col("n") - 1), F.sum("n")).first()
+        surplus, affected = got[0] or 0, got[1] or 0
+        share = F.round(stats.percent(F.lit(surplus).cast("long"), F.lit(self.rows).cast("long")), 2)
+        row = frames.local_rows(self.df.sparkSession, [(self.rows, surplus, affected)], "rows long, duplicate_rows long, affected_rows long")
+        return frames.settle(row.select("rows", "duplicate_rows", share.alias("duplicate_percentage"), "affected_rows"))
+
+
+def plain_counts(table: Table, name: str) -> dict[str, Column]:
+    """Cells of one column that are missing, don't fit its type, or are padded text."""
+    padded = ~table.missing(name) & (table.ref(name).cast("string") != text.trimmed(table.ref(name)))
+    return {
+        "rows": F.count(F.lit(1)), "missing_values": stats.count_if(table.missing(name)),
+        "invalid_values": stats.count_if(invalid(table, name)),
+        "padded": stats.count_if(padded) if table.types.get(name) == "Text" else F.lit(0).cast("long"),
+    }
+
+
+def invalid(table: Table, name: str) -> Column:
+    """A value is present and doesn't fit the column's type."""
+    kind, present = table.types.get(name), ~table.missing(name)
+    if kind == "Numerical":
+        return present & table.number(name).isNull()
+    if kind == "Datetime":
+        return present & table.date(name).isNull()
+    if kind == "Boolean":
+        return present & ~text.in_words(table.ref(name), t.VALID_BOOLEANS)
+    return present & (text.trimmed(table.ref(name)) == "")
 
 
 # -- duplicates ------------------------------------------------------------
@@ -266,11 +323,12 @@ def rare_categories(table: Table | DataFrame, types: Mapping | None = None) -> D
         "column", "value", "n", F.round(stats.percent(F.col("n"), total), 2).alias("percentage"))
 
 
-def column_shapes(table: Table, columns: Sequence[str]) -> DataFrame:
+def column_shapes(table: Table, columns: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """Per column, from one frequency table: distinct, most frequent, rare and shared values."""
     n = F.col("n")
     rare = is_rare(n, valid_count(table, columns)) if columns else F.lit(False)
-    return category_counts(table, columns).groupBy("column").agg(
+    counts = category_counts(table, columns) if counts is None else counts.where(F.col("column").isin(list(columns)))
+    return counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct"), F.max("n").alias("top"), F.sum("n").alias("total"),
         stats.count_if(rare).alias("rare"), F.coalesce(F.sum(F.when(rare, n)), F.lit(0)).alias("rare_rows"),
         stats.count_if(n > 1).alias("shared"), F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("shared_rows"),
@@ -451,14 +509,14 @@ def row_issues(table: Table | DataFrame, types: Mapping | None = None, row_key:
     # Rare values, shared identifiers and repeated rows are counted and matched together: a row's digest is one more value of it.
     categories, identifiers = table.kinds("Categorical", "Boolean"), table.kinds("Identifier")
     names = categories + identifiers
-    one, two = frames.row_digest([(table.ref(c), frames.dtype(table.df, c)) for c in table.columns])
-    values = {c: table.present(c) for c in names} | {WHOLE_ROW: F.concat_ws(":", one, two)}
+    values = {c: table.present(c) for c in names} | {WHOLE_ROW: table.row_digest}
     n, name = F.col("n"), F.col("column")
     wanted = name.isin([*identifiers, WHOLE_ROW]) & (n > 1)
     if categories:
         wanted = wanted | (name.isin(categories) & is_rare(n, valid_count(table, names)))
     cells = frames.long_values(table.df, values, table.row_key).where(F.col("value").isNotNull())
-    hits = frames.matching_rows(cells, frames.value_counts(table.df, values), ["column", "value"], wanted, table.rows)
+    counts = table.frequencies.where(name.isin(list(values)))
+    hits = frames.matching_rows(cells, counts, ["column", "value"], wanted, table.rows)
     kind = F.when(name == WHOLE_ROW, "duplicate_row").when(name.isin(identifiers), "shared_identifier").otherwise("rare_category")
     parts.append(hits.select(
         *keys, F.when(name != WHOLE_ROW, name).alias("column"), kind.alias("issue"), F.lit(1).cast("long").alias("points")))
@@ -492,22 +550,10 @@ def suspicious_rows(table: Table | DataFrame, types: Mapping | None = None,
 def column_facts(table: Table | DataFrame, types: Mapping | None = None) -> DataFrame:
     """Every per-column count behind the report: one narrow pass and one frequency table."""
     table = Table.of(table, types)
-    checked, dates_ = set(checked_numeric(table)), set(table.kinds("Datetime"))
-    none = F.lit(0).cast("long")
-    metrics = {}
-    for c in table.columns:
-        x, f = table.number(c), _fences(table.quartiles[c]) if c in checked else None
-        metrics[c] = {
-            "rows": F.count(F.lit(1)), "missing_values": stats.count_if(table.missing(c)),
-            "values_checked": F.count(x) if f else none,
-            "outliers": stats.count_if(_outside(x, f["lo"], f["hi"], f["iqr"])) if f else none,
-            "extreme_outliers": stats.count_if(_outside(x, f["xlo"], f["xhi"], f["iqr"])) if f else none,
-            "invalid_dates": stats.count_if(invalid_date(table, c)) if c in dates_ else none,
-        }
-    facts = frames.aggregate_columns(table.df, metrics)
+    facts = table.cell_counts
     categories, identifiers = table.kinds("Categorical", "Boolean"), table.kinds("Identifier")
     empty, suspects = low_variance_suspects(table)
-    shapes = column_shapes(table, list(dict.fromkeys(categories + identifiers + suspects)))
+    shapes = column_shapes(table, list(dict.fromkeys(categories + identifiers + suspects)), table.frequencies)
     name = F.col("column")
     count_of = lambda kinds, n: F.when(name.isin(kinds), F.coalesce(n, F.lit(0))).otherwise(0)
     return facts.join(F.broadcast(shapes), "column", "left").select(  # one row per column

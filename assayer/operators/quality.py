@@ -15,18 +15,12 @@ from assayer.operators.profile import Profile
 SEVERITY_ORDER = ("high", "medium", "low")
 
 
-def conformity(table: Table) -> DataFrame:
-    """One pass: missing, invalid and padded cells per column."""
+def conformity(table: Table, counts: DataFrame | None = None) -> DataFrame:
+    """Missing, invalid and padded cells per column: one pass, unless they are counted already."""
     kinds = F.create_map(*[F.lit(x) for c in table.columns for x in (c, table.types.get(c) or "")])
-    return frames.aggregate_columns(table.df, {
-        c: {
-            "rows": F.count(F.lit(1)), "missing_values": stats.count_if(table.missing(c)),
-            "invalid_values": stats.count_if(_invalid(table, c)),
-            "padded": stats.count_if(~table.missing(c) & (table.ref(c).cast("string") != text.trimmed(table.ref(c))))
-            if table.types.get(c) == "Text" else F.lit(0).cast("long"),
-        }
-        for c in table.columns
-    }).select(
+    if counts is None:
+        counts = frames.aggregate_columns(table.df, {c: anomalies.plain_counts(table, c) for c in table.columns})
+    return counts.select(
         "column", F.nullif(kinds[F.col("column")], F.lit("")).alias("semantic_type"), "rows", "missing_values",
         (F.col("rows") - F.col("missing_values")).alias("checked_values"), "invalid_values", "padded",
     )
@@ -69,7 +63,8 @@ def uniqueness_total(duplicates: DataFrame, identifiers: DataFrame, rounded: boo
     when an anomaly report is at hand.
     """
     rate = stats.percent(F.col("duplicate_identifier_rows"), F.col("values_checked"))
-    penalty = identifiers.agg(F.avg(rate)).first()[0]  # NULL without identifier columns
+    rates = [r[0] for r in identifiers.select(rate).collect() if r[0] is not None]  # one per column
+    penalty = sum(rates) / len(rates) if rates else None
     share = F.col("duplicate_percentage") if rounded else stats.percent(F.col("duplicate_rows"), F.col("rows"))
     mixed = 100 - share if penalty is None else 0.6 * (100 - share) + 0.4 * F.lit(100 - penalty)
     return duplicates.select(
@@ -79,18 +74,6 @@ def uniqueness_total(duplicates: DataFrame, identifiers: DataFrame, rounded: boo
     )
 
 
-def _invalid(table: Table, name: str) -> Column:
-    """Present value that does not conform to the column's semantic type."""
-    kind, present = table.types.get(name), ~table.missing(name)
-    if kind == "Numerical":
-        return present & table.number(name).isNull()
-    if kind == "Datetime":
-        return present & table.date(name).isNull()
-    if kind == "Boolean":
-        return present & ~text.in_words(table.ref(name), t.VALID_BOOLEANS)
-    return present & (text.trimmed(table.ref(name)) == "")
-
-
 def validity(table: Table | DataFrame, types: Mapping | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Per column: present values that conform to the semantic type."""
     facts = conformity(Table.of(table, types)) if facts is None else facts
@@ -101,7 +84,8 @@ def validity(table: Table | DataFrame, types: Mapping | None = None, facts: Data
     )
 
 
-def consistency(table: Table | DataFrame, types: Mapping | None = None, facts: DataFrame | None = None) -> DataFrame:
+def consistency(table: Table | DataFrame, types: Mapping | None = None, facts: DataFrame | None = None,
+                counts: DataFrame | None = None) -> DataFrame:
     """Per column: values written in more than one way, or text with outer whitespace.
 
     Categories are compared trimmed and lower-cased. Both groupings combine
@@ -109,9 +93,10 @@ def consistency(table: Table | DataFrame, types: Mapping | None = None, facts: D
     """
     table = Table.of(table, types)
     facts = conformity(table) if facts is None else facts
+    categories = table.kinds("Categorical", "Boolean")
+    counts = anomalies.category_counts(table, categories) if counts is None else counts.where(F.col("column").isin(categories))
     spellings = (
-        anomalies.category_counts(table, table.kinds("Categorical", "Boolean"))
-        .groupBy("column", text.folded(F.col("value")).alias("folded"))
+        counts.groupBy("column", text.folded(F.col("value")).alias("folded"))
         .agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n"))
         .where(F.col("spellings") > 1)
         .groupBy("column").agg(F.sum("n").alias("mixed"))
@@ -237,7 +222,7 @@ class QualityReport:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return frames.settle(conformity(self.table))
+        return frames.settle(conformity(self.table, self.table.cell_counts if self.anomaly_report else None))
 
     @property
     def completeness(self) -> DataFrame:
@@ -261,7 +246,7 @@ class QualityReport:
 
     @cached_property
     def consistency(self) -> DataFrame:
-        return frames.settle(consistency(self.table, facts=self.facts))
+        return frames.settle(consistency(self.table, facts=self.facts, counts=self.table.frequencies))
 
     @cached_property
     def anomaly_quality(self) -> DataFrame | None:
