@@ -21,12 +21,14 @@ they share the component. Columns other than id and text aren't read by `near_du
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import storage, textarrays
@@ -35,6 +37,8 @@ BAND_ROWS, MISS = 4, 1e-7
 SKETCH, LOW_BITS, SIGMAS = 1024, 2, 4.5
 #: Members outside a bucket's largest component that are held against the bucket directly.
 CROWDED = 32
+#: Slots in which the shingles of crowded buckets are counted.
+SLOTS = 1 << 18
 #: Rows without an id are numbered from here; no real id may be as large.
 NO_ID = 1 << 62
 
@@ -201,18 +205,40 @@ def _across(placed: DataFrame, brief: DataFrame, plausible: Callable[[str, str],
     return apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
+def _rarest(shared: Broadcast, percent: int):
+    """Of rows (rep, component, shingles): rows (key, rep, component, nth) of each set's rarest shingles that another set may have."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            key = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            n = often[key & (SLOTS - 1)]
+            order = np.lexsort((key, n, row))
+            key, row, n = key[order], row[order], n[order]
+            nth = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            keep = (nth < size[row] - -(-size[row] * percent // 100) + 1) & (n > 1)
+            rows = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(nth[keep])], ["key", "rep", "component", "nth"])
+
+    return run
+
+
 def _by_rare_shingles(placed: DataFrame, sets: DataFrame, brief: DataFrame, threshold: float, plausible: Callable[[str, str], Column]) -> DataFrame:
     """The same for crowded buckets, split anew: two sets that are similar enough share one of their rarest shingles.
 
     Of a set of n, in any order that all sets follow, the first n - ceil(threshold * n) + 1 meet those of every set as similar.
-    The order is by how many members have a shingle, so a passage that all share comes last. No pair is lost by it."""
+    The order is by how often the members have shingles of the same slot, so a passage that all share comes last. Any order loses no pair;
+    slots keep what is sent to the tasks at SLOTS numbers."""
     members = storage.stage(placed.select("rep", "component").distinct().join(sets.select("rep", "shingles"), "rep"), "crowded_members")
-    listed = members.select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    common = storage.stage(listed.groupBy("key").agg(F.count("*").alias("df")), "shingle_counts")
-    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(round(100 * threshold)) / 100) + 1
-    nth = F.row_number().over(Window.partitionBy("rep").orderBy("df", "key"))
-    rare = listed.join(common, "key").withColumn("nth", nth).filter((F.col("nth") <= prefix) & (F.col("df") > 1))
-    rare = storage.stage(rare.select("key", "rep", "component", "nth"), "rare_shingles")
+    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")
+    counted = members.select(F.explode("shingles").alias("key")).groupBy(slot).agg(F.count("*").alias("n")).collect()  # SLOTS rows at most
+    often = np.zeros(SLOTS, np.int64)
+    often[[r.slot for r in counted]] = [r.n for r in counted]
+    shared = placed.sparkSession.sparkContext.broadcast(often)
+    rare = members.mapInArrow(_rarest(shared, round(100 * threshold)), "key long, rep long, component long, nth long")
+    rare = storage.stage(rare, "rare_shingles")
     # all of a set's rare shingles, the rarest first: a pair is held together by the first that it shares only
     lists = rare.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "key"))), lambda x: x["key"]).alias("rare"))
     first = lambda a, b: F.get(F.array_intersect(f"{a}.rare", f"{b}.rare"), F.lit(0)) != F.col(f"{a}.key")
