@@ -40,6 +40,7 @@ class Table:
         self.types = {c: k for c, k in resolve_types(df, types).items() if c in self.columns}
         self.date_formats = types.date_formats if isinstance(types, Profile) else {}
         self._known_unique = dict(types.exact_unique) if isinstance(types, Profile) else {}
+        self._known_approx: dict[str, int] = {}
         self._exprs: dict[tuple[str, str], Column] = {}
 
     @classmethod
@@ -113,6 +114,15 @@ class Table:
     def approx(self) -> dict[str, int]:
         return self._scan[2]
 
+    def approx_counts(self, names: Sequence[str]) -> dict[str, int]:
+        """Approximate distinct counts of some columns; the others are not read unless they were counted already."""
+        if "_scan" in self.__dict__:
+            return {c: self.approx[c] for c in names}
+        todo = [c for c in names if c not in self._known_approx]
+        if todo:
+            self._known_approx |= frames.approx_distincts(self.df, {c: self.present(c) for c in todo})[2]
+        return {c: self._known_approx[c] for c in names}
+
     @cached_property
     def quartiles(self) -> dict[str, list[float]]:
         """Exact q1, median, q3 of every Numerical column that has values."""

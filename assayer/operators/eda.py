@@ -298,7 +298,8 @@ def usable_categories(table: Table, lowest: int = MIN_GROUPS, highest: int = MAX
 
     Columns that are far above it by the approximate count are not counted exactly.
     """
-    names = [c for c in table.kinds("Categorical", "Boolean") if table.approx[c] <= highest * 2]
+    approx = table.approx_counts(table.kinds("Categorical", "Boolean"))
+    names = [c for c in approx if approx[c] <= highest * 2]
     exact = table.distinct_counts(names)
     return [c for c in names if lowest <= exact[c] <= highest]
 

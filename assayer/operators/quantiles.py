@@ -2,8 +2,9 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer, so it
 is used only behind a check of their number. Beyond it, a sketch proposes a
-bracket around each wanted rank of a column and exact counts confirm it. What
-that cannot settle, and large groups, are ranked by a distributed sort (see
+bracket around each wanted rank of a column and exact counts confirm it. A few
+groups narrow their ranks down by exact histograms. What that cannot settle, and large
+groups where there are many groups, are ranked by a distributed sort (see
 ``ranks``), from which the order statistics are picked. The result is exact
 either way.
 """
@@ -12,8 +13,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from assayer.operators import frames, ranks
 
@@ -23,6 +26,11 @@ SMALL_DISTINCT = 10_000
 BUFFER_LIMIT = 1_000_000
 # Accuracy of the sketch that proposes brackets: rank error 1 / accuracy.
 SKETCH_ACCURACY = 10_000
+# Groups times values that histograms narrow down at most, and bins of the first and of later rounds.
+MAX_NARROWED = 2_000
+FIRST_BINS, LATER_BINS = 1 << 12, 1 << 20
+# Rounds after which a group is ranked by a sort instead.
+MAX_ROUNDS = 8
 
 
 def interpolate(low: float, high: float, fraction: float) -> float:
@@ -139,11 +147,17 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str],
     """``(keys..., item, quantiles array<double>)`` for any number of groups of any size.
 
     ``values`` are numeric columns; rows where one is NULL do not count for it.
-    ``keys`` hold no NULL. Groups of bounded size take the built-in percentile;
-    if the largest has too many distinct values for a buffer, all are ranked.
+    ``keys`` hold no NULL. A few groups are narrowed down by histograms. Of many,
+    groups of bounded size take the built-in percentile; if the largest has too
+    many distinct values for a buffer, all are ranked.
     """
     rows = df.select(*map(frames.column, keys), *[frames.column(v).cast("double").alias(v) for v in values])
     named = list(map(frames.column, keys))
+    ends = rows.groupBy(*named).agg(*[e for i, v in enumerate(map(frames.column, values)) for e in (
+        F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"))])
+    few = ends.limit(MAX_NARROWED // len(values) + 1).collect()
+    if len(few) <= MAX_NARROWED // len(values):
+        return _narrowed(rows, keys, values, probs, few)
     sizes = rows.groupBy(*named).agg(*[F.approx_count_distinct(frames.column(v)).alias(v) for v in values])
     widest = [frames.column(v) for v in values]
     largest = sizes.agg(F.max(F.greatest(*widest) if len(values) > 1 else widest[0])).first()[0]
@@ -153,6 +167,102 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str],
         )
         items = [F.struct(F.lit(v).alias("item"), F.col(f"q{i}").alias("quantiles")) for i, v in enumerate(values)]
         return wide.select(*named, F.inline(F.array(*items))).where(F.col("quantiles").isNotNull())
+    return ranks.rank_quantiles(_long(rows, keys, values), [*keys, "item"], "__value", probs)
+
+
+def _long(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     items = [F.struct(F.lit(v).alias("item"), frames.column(v).alias("__value")) for v in values]
-    long = rows.select(*named, F.inline(F.array(*items))).where(F.col("__value").isNotNull())
-    return ranks.rank_quantiles(long, [*keys, "item"], "__value", probs)
+    return rows.select(*map(frames.column, keys), F.inline(F.array(*items))).where(F.col("__value").isNotNull())
+
+
+def _narrowed(rows: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Sequence[float],
+              groups: Sequence[Row]) -> DataFrame:
+    """Quantiles of a few groups, each given with the number, least and largest of its values.
+
+    A round counts the values of every range in bins and keeps the bin that holds the wanted ranks, with its least and
+    largest value as the next range, until these are equal or the two ranks fall into different bins. A bin is one row
+    per task in the shuffle. At most two bins per group, value and probability reach the driver.
+    """
+    spark = rows.sparkSession
+    types = [*[rows.schema[k] for k in keys], T.StructField("item", T.StringType()),
+             T.StructField("quantiles", T.ArrayType(T.DoubleType()))]
+    counts = {(g, i): row[f"n{i}"] for g, row in enumerate(groups) for i in range(len(values))}
+    ranges = {(g, i, j): (row[f"lo{i}"], row[f"hi{i}"], 0) for g, row in enumerate(groups)
+              for i in range(len(values)) if row[f"n{i}"] for j in range(len(probs))}
+    settled: dict[tuple[int, int, int], tuple[float, float]] = {}
+    for turn in range(MAX_ROUNDS):
+        for t, (low, high, _) in list(ranges.items()):
+            if low == high:
+                settled[t] = low, high
+                del ranges[t]
+        if not ranges:
+            break
+        # The first range is that of all probabilities.
+        wanted = ranges if turn else {t: r for t, r in ranges.items() if t[2] == 0}
+        parts, bins = (len(probs), LATER_BINS) if turn else (1, FIRST_BINS)
+        places = {t: [r - ranges[t][2] for r in _between(counts[t[:2]], probs[t[2]])] for t in ranges}
+        for t, (first, last) in _bins(rows, keys, groups, len(values), parts, wanted, bins, places).items():
+            if first["__bin"] == last["__bin"]:
+                ranges[t] = first["__lo"], first["__hi"], ranges[t][2] + first["__upto"] - first["__n"]
+            else:
+                settled[t] = first["__hi"], last["__lo"]
+                del ranges[t]
+    open_ = {t[:2] for t in ranges}
+    done = []
+    for (g, i), n in counts.items():
+        if n and (g, i) not in open_:
+            places = [((n - 1) * p, *settled[g, i, j]) for j, p in enumerate(probs)]
+            done.append([*[groups[g][k] for k in keys], values[i], [
+                a if a == b else (math.ceil(at) - at) * a + (at - math.floor(at)) * b for at, a, b in places]])
+    found = frames.local_rows(spark, done, T.StructType(types))
+    if not open_:
+        return found
+    rest = frames.local_rows(spark, [[*[groups[g][k] for k in keys], values[i]] for g, i in sorted(open_)], T.StructType(types[:-1]))
+    group = [*keys, "item"]
+    left = _long(rows, keys, values).join(F.broadcast(rest), group, "left_semi")
+    return found.unionByName(ranks.rank_quantiles(left, group, "__value", probs))
+
+
+def _between(n: int, prob: float) -> tuple[int, int]:
+    """The two ranks a quantile lies between."""
+    return math.floor((n - 1) * prob), math.ceil((n - 1) * prob)
+
+
+def _bins(rows: DataFrame, keys: Sequence[str], groups: Sequence[Row], width: int, parts: int,
+          ranges: Mapping[tuple[int, int, int], tuple], bins: int,
+          places: Mapping[tuple[int, int, int], Sequence[int]]) -> dict[tuple[int, int, int], tuple[Row, Row]]:
+    """The bins of each range in which the ``places`` fall: number, least and largest value, count, count up to it."""
+    open_ = [(i, j) for i in range(width) for j in range(parts) if any((g, i, j) in ranges for g in range(len(groups)))]
+    end = lambda g, t, k: ranges[g, *t][k] if (g, *t) in ranges else None
+    table = [[*[row[k] for k in keys], g, *[end(g, t, k) for t in open_ for k in (0, 1)]] for g, row in enumerate(groups)]
+    double = T.DoubleType()
+    fields = [*[T.StructField(f"__key{n}", rows.schema[k].dataType) for n, k in enumerate(keys)], T.StructField("__g", T.IntegerType()),
+              *[T.StructField(f"__{k}{i}_{j}", double) for i, j in open_ for k in ("lo", "hi")]]
+    fenced = frames.local_rows(rows.sparkSession, table, T.StructType(fields))
+    value = [c for c in rows.columns if c not in keys]
+    cells, inside = [], []
+    for i, j in open_:
+        x, low, high = frames.column(value[i]), F.col(f"__lo{i}_{j}"), F.col(f"__hi{i}_{j}")
+        place = F.coalesce(F.floor(F.try_divide(x - low, high - low) * F.lit(float(bins))), F.lit(0))
+        inside.append((x >= low) & (x <= high))
+        cells.append(F.when(inside[-1], F.struct(
+            F.lit(i).alias("__i"), F.lit(j).alias("__j"), F.least(place, F.lit(bins - 1)).alias("__bin"), x.alias("__x"))))
+    cell = ["__g", "__i", "__j"]
+    same = reduce(and_, [frames.column(k).eqNullSafe(F.col(f"__key{n}")) for n, k in enumerate(keys)])
+    counted = rows.join(F.broadcast(fenced), same).where(reduce(or_, inside)).select("__g", F.inline(F.array(*cells))).where(
+        F.col("__x").isNotNull()).groupBy(*cell, "__bin").agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    placed = counted.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*cell).orderBy("__bin")))
+    # One row per cell with the ranks to look for, in the first round those of all probabilities.
+    asked: dict[tuple[int, int, int], list[int]] = {}
+    for (g, i, j), ranks_ in places.items():
+        asked.setdefault((g, i, min(j, parts - 1)), []).extend(ranks_)
+    sought = frames.local_rows(rows.sparkSession, [[*t, r] for t, r in asked.items()], "__g int, __i int, __j int, __ranks array<long>")
+    hit = F.exists("__ranks", lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__n")))
+    got: dict[tuple[int, int, int], list[Row]] = {}
+    for row in placed.join(F.broadcast(sought), cell).where(hit).drop("__ranks").collect():
+        got.setdefault((row["__g"], row["__i"], row["__j"]), []).append(row)
+    return {
+        t: tuple(next(b for b in got[t[0], t[1], min(t[2], parts - 1)] if b["__upto"] - b["__n"] <= r < b["__upto"]) for r in wanted)
+        for t, wanted in places.items()
+    }
