@@ -136,6 +136,10 @@ def _other_metrics(col: Column, dtype: T.DataType) -> dict[str, Column]:
     return metrics
 
 
+def _counts(col: Column) -> dict[str, Column]:
+    return {"non_null": F.count(col), "approx": F.approx_count_distinct(col)}
+
+
 def choose_date_format(got: Mapping, non_null: int) -> tuple[float, str | None]:
     """Best single format (the earlier wins a tie, a near-full match stops the search).
 
@@ -221,24 +225,25 @@ def schema_profile(df: DataFrame, row_key: Sequence[str] = (), exact_unique: boo
     dtypes = {c: frames.dtype(df, c) for c in columns}
 
     # Trimmed and folded text is computed once per value, in a projection of its own.
-    exprs, places, inputs = [F.count(F.lit(1)).alias("rows")], {}, []
+    # Text columns are one row per cell: generated for each of them, the expressions would be too much code to compile.
+    exprs, places = [F.count(F.lit(1)).alias("rows")], {}
+    texts = [c for c in columns if text.is_string(dtypes[c])]
     for i, c in enumerate(columns):
-        ref = F.col(f"v{i}")
-        inputs.append(refs[c].alias(f"v{i}"))
-        if text.is_string(dtypes[c]):
-            inputs += [text.trimmed(refs[c]).alias(f"t{i}"), text.folded(refs[c]).alias(f"f{i}")]
-            metrics = _text_metrics(F.col(f"t{i}"), F.col(f"f{i}"))
-        else:
-            metrics = _other_metrics(ref, dtypes[c])
-        metrics["non_null"] = F.count(ref)
-        metrics["approx"] = F.approx_count_distinct(ref)
-        places[c] = list(metrics)
-        exprs += [e.alias(f"c{i}_{m}") for m, e in metrics.items()]
-    wide = df.select(*inputs).agg(*exprs).first()
+        if c not in texts:
+            metrics = _other_metrics(refs[c], dtypes[c]) | _counts(refs[c])
+            places[c] = list(metrics)
+            exprs += [e.alias(f"c{i}_{m}") for m, e in metrics.items()]
+    wide = df.agg(*exprs).first()
     rows = wide["rows"]
     if rows == 0:
         raise ValueError("cannot profile an empty table")
-    facts = {c: {m: wide[f"c{i}_{m}"] for m in places[c]} | {"rows": rows} for i, c in enumerate(columns)}
+    facts = {c: {m: wide[f"c{i}_{m}"] for m in places[c]} | {"rows": rows} for i, c in enumerate(columns) if c in places}
+    if texts:
+        cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("column"), refs[c].cast("string").alias("v")) for i, c in enumerate(texts)])))
+        cells = cells.select("column", "v", text.trimmed(F.col("v")).alias("t"), text.folded(F.col("v")).alias("f"))
+        metrics = _text_metrics(F.col("t"), F.col("f")) | _counts(F.col("v"))
+        for r in cells.groupBy("column").agg(*[e.alias(m) for m, e in metrics.items()]).collect():
+            facts[texts[r["column"]]] = {m: r[m] for m in metrics} | {"rows": rows}
 
     for c, counts in _date_counts(df, [c for c in columns if facts[c].get("date_like")]).items():
         facts[c] |= counts
