@@ -5,10 +5,10 @@ sorted arrays and hand on one row for each gram and task. The highest order take
 different left neighbours; discounts D1, D2, D3+ follow from the counts of counts of each order and language.
 
 The estimated model is a table (lang, kind, size, gram, value): kind p has the log probability of a seen gram, kind b the
-log weight that a context gives to shorter ones. To score, it is cut into shards of at most `max_entries` rows by the two
-bytes before the predicted one; what a position needs is in one shard. Each shard is broadcast as sorted hash arrays and
-joined to all documents in turn; a document's log probability is the sum over the shards. A shard holds about `max_entries`
-rows (one frequent pair of bytes can hold more), the driver has one at a time, and texts are never shuffled.
+log weight that a context gives to shorter ones. To score, it is cut into shards of about SHARD_ENTRIES rows (one frequent
+pair of bytes can hold more) by the two bytes before the predicted one; what a position needs is in one shard. The driver has
+one at a time and broadcasts it as sorted arrays. As many as `max_entries` rows allow are joined to all documents in one pass;
+a document's log probability is the sum over the passes. Texts are never shuffled.
 
 Null or empty texts and texts shorter than `order` have no grams and a null perplexity, as have texts in a language the
 model doesn't know. A null language is the language "und".
@@ -25,14 +25,15 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import storage, textarrays
 
 ORDER = 5
-#: Rows of one broadcast shard, 16 bytes each in a task.
-MAX_ENTRIES = 3_000_000
+#: Rows of the shards of one pass, 12 bytes each in a task, and of one shard, all that the driver holds.
+MAX_ENTRIES = 6_000_000
+SHARD_ENTRIES = 500_000
 #: Distinct grams that a task holds before it hands them on.
 HELD_GRAMS = 1_000_000
 UNKNOWN_LANG = "und"
@@ -70,7 +71,10 @@ def byte_grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
         gram |= flat.data[j : j + n]
     length = np.diff(flat.starts)
     text = np.repeat(np.arange(len(texts)), length)[:n]
-    whole = np.arange(n) + order < flat.starts[text + 1]  # the byte after a text is not part of it
+    whole = np.ones(len(flat.data), bool)
+    for j in range(1, order + 1):  # the byte after a text is not part of it
+        whole[np.maximum(flat.starts[1:] - j, 0)] = False
+    whole = whole[:n]
     return text[whole], gram[whole]
 
 
@@ -127,15 +131,22 @@ def count_grams(
 ) -> DataFrame:
     """(lang, gram, n) over all documents, or those that `accept` marks. kinds: several kinds of grams in one pass, by what is put before
     the language."""
+    return gram_rows(docs, lang_col, text_col, order, accept, kinds).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def gram_rows(
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER,
+    accept: Callable[[list[str]], np.ndarray] | None = None, kinds: dict[str, Kind] | None = None,
+) -> DataFrame:
+    """The (lang, gram, n) of each task, for count_grams to add up."""
     kinds = kinds or {"": (byte_grams, order)}
     textarrays.ship_code(docs.sparkSession)
     named = docs.select(language(docs[lang_col]).alias("lang"), docs[text_col].alias("text"))
-    counted = named.mapInArrow(_count_task(kinds, accept), "lang string, gram long, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return named.mapInArrow(_count_task(kinds, accept), "lang string, gram long, n long")
 
 
-def _discounts(level: DataFrame) -> DataFrame:
-    """D1, D2, D3 of each language: one row for each. What the counts don't give, or give outside (0, i], is i / 2."""
+def _discounts(levels: DataFrame) -> DataFrame:
+    """D1, D2, D3 of each order and language: one row for each. What the counts don't give, or give outside (0, i], is i / 2."""
     of = [F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)]
     y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
 
@@ -143,120 +154,147 @@ def _discounts(level: DataFrame) -> DataFrame:
         d = i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}")
         return F.coalesce(F.when((d > 0) & (d <= i), d), F.lit(i / 2)).alias(f"d{i}")
 
-    return level.groupBy("lang").agg(*of).select("lang", *[discount(i) for i in (1, 2, 3)])
+    return levels.groupBy("k", "lang").agg(*of).select("k", "lang", *[discount(i) for i in (1, 2, 3)])
 
 
 def estimate(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model table from counts of the highest order."""
+    """The model table from counts of the highest order. A context has at most 256 grams, so its totals are sums over a window."""
     levels = {order: storage.stage(counts, "grams")}
     for k in range(order - 1, 0, -1):
         shorter = levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram"))
         levels[k] = storage.stage(shorter.agg(F.count("*").alias("n")), f"left_neighbours_{k}")
+    every = reduce(DataFrame.unionByName, [level.select(F.lit(k).alias("k"), "lang", "n") for k, level in levels.items()])
+    discounts = storage.stage(_discounts(every), "discounts")
     parts, below = [], None
     for k in range(1, order + 1):
-        level = levels[k].withColumn("context", F.shiftright("gram", 8))
         off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = level.join(F.broadcast(_discounts(levels[k])), "lang").select("lang", "gram", "context", "n", off.alias("off"))
-        contexts = cut.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("off").alias("freed"))
-        weight = F.col("freed") / F.col("total")
-        joined = cut.join(contexts, ["lang", "context"])
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
+        cut = levels[k].join(F.broadcast(discounts.filter(F.col("k") == k).drop("k")), "lang")
+        cut = cut.select("lang", "gram", F.shiftright("gram", 8).alias("context"), "n", off.alias("off"))
+        context = Window.partitionBy("lang", "context")
+        total, freed = F.sum("n").over(context), F.sum("off").over(context)
+        first = F.col("gram") == F.min("gram").over(context)
+        cut = cut.select("lang", "gram", ((F.col("n") - F.col("off")) / total).alias("share"), (freed / total).alias("weight"), first.alias("first"))
         if k == 1:
-            lower = joined.withColumn("lower", F.lit(1 / 256))
+            lower = cut.withColumn("lower", F.lit(1 / 256))
         else:
             known = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-            lower = joined.withColumn("suffix", suffix).join(known, ["lang", "suffix"])
-        p = (F.col("n") - F.col("off")) / F.col("total") + weight * F.col("lower")
-        below = storage.stage(lower.select("lang", "gram", p.alias("p")), f"probabilities_{k}")
+            lower = cut.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(known, ["lang", "suffix"])
+        p = F.col("share") + F.col("weight") * F.col("lower")
+        below = storage.stage(lower.select("lang", "gram", p.alias("p"), "weight", "first"), f"probabilities_{k}")
         parts.append(below.select("lang", F.lit("p").alias("kind"), F.lit(k).alias("size"), "gram", F.log("p").cast("float").alias("value")))
-        shares = contexts.select("lang", F.lit("b").alias("kind"), F.lit(k - 1).alias("size"), F.col("context").alias("gram"), F.log(weight).cast("float").alias("value"))
-        parts.append(shares)
-    return storage.stage(reduce(DataFrame.unionByName, parts), "model")
-
-
-class HashArray:
-    """Values by 64-bit key: hashes in order, found by their top bits."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        hashed = textarrays.mix(keys.view(_U))
-        order = np.argsort(hashed)
-        self.hash, self.value = hashed[order], np.append(values[order], np.float32(np.nan))
-        bits = max(1, int(len(keys)).bit_length())
-        self.shift = _U(64 - bits)
-        self.start = np.searchsorted(self.hash >> self.shift, np.arange((1 << bits) + 1, dtype=_U)).astype(np.int32)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """NaN where a key isn't there."""
-        hashed = textarrays.mix(keys)
-        top = (hashed >> self.shift).astype(np.int64)
-        at, end = self.start[top], self.start[top + 1]
-        place = np.full(len(keys), len(self.hash), np.int32)
-        open_ = np.flatnonzero(at < end)
-        while len(open_):
-            same = self.hash[at[open_]] == hashed[open_]
-            place[open_[same]] = at[open_[same]]
-            open_ = open_[~same]
-            at[open_] += 1
-            open_ = open_[at[open_] < end[open_]]
-        return self.value[place]
-
-
-def _shard_number(two_bytes, shards: int, floor=np.floor):
+        context = F.shiftright("gram", 8).alias("gram")
+        parts.append(below.filter("first").select("lang", F.lit("b").alias("kind"), F.lit(k - 1).alias("size"), context, F.log("weight").cast("float").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _shard_number(two_bytes, shards: int):
     """By the high bits of a product, in which all bits of the two bytes count."""
-    return floor(two_bytes * 40503 % 65536 * shards / 65536)
+    return two_bytes * 40503 % 65536 * shards
 
 
 @dataclass
 class Shard:
-    """The part of the models that positions with certain two bytes before them need."""
+    """The part of the models that positions with certain two bytes before them need: for each (lang, kind, size) grams in order with
+    their values."""
 
     order: int
     number: int
     shards: int
+    langs: list[str]
     tables: dict[tuple[str, str, int], tuple[np.ndarray, np.ndarray]]
 
-    def build(self) -> dict[tuple[str, str, int], HashArray]:
-        return {key: HashArray(*arrays) for key, arrays in self.tables.items()}
-
-    def mine(self, gram: np.ndarray) -> np.ndarray:
-        return _shard_number(((gram >> _U(8)) & _U(0xFFFF)).astype(np.int64), self.shards) == self.number
-
-    def log_probability(self, tables: dict[tuple[str, str, int], HashArray], lang: str, gram: np.ndarray) -> np.ndarray:
+    def log_probability(self, lang: str, gram: np.ndarray) -> np.ndarray:
         """Of each gram's last byte after the others; backs off to shorter contexts where a gram is new."""
         out = np.zeros(len(gram), np.float32)
         todo = np.arange(len(gram))
         for k in range(self.order, 0, -1):
             cut = gram[todo] & _U((1 << 8 * k) - 1)
-            found = tables[lang, "p", k].get(cut)
+            found = _looked_up(self.tables[lang, "p", k], cut)
             new = np.isnan(found)
             out[todo[~new]] += found[~new]
             todo, cut = todo[new], cut[new]
             if not len(todo):
                 break
-            if (lang, "b", k - 1) in tables:
-                out[todo] += np.nan_to_num(tables[lang, "b", k - 1].get(cut >> _U(8)), nan=0.0)
+            out[todo] += np.nan_to_num(_looked_up(self.tables[lang, "b", k - 1], cut >> _U(8)), nan=0.0)
         out[todo] += np.float32(-np.log(256)) if len(todo) else 0
         return out
 
 
-def shards_of(model: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Iterator[Shard]:
+def _looked_up(table: tuple[np.ndarray, np.ndarray], gram: np.ndarray) -> np.ndarray:
+    """NaN where a gram isn't there."""
+    keys, values = table
+    if not len(keys):
+        return np.full(len(gram), np.nan, np.float32)
+    at = np.searchsorted(keys, gram)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == gram, values[at], np.float32(np.nan))
+
+
+def _by_gram(text: np.ndarray, gram: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both, in the order of the grams; text numbers ascend. As one number where it has room for both, as sorting those is faster."""
+    bits = 64 - 8 * order
+    if len(text) and int(text[-1]) >> bits == 0:
+        key = np.sort(gram << _U(bits) | text.astype(_U))
+        return (key & _U((1 << bits) - 1)).astype(np.int64), key >> _U(bits)
+    place = np.argsort(gram, kind="stable")
+    return text[place], gram[place]
+
+
+def text_sums(shards: list[Shard], lang: str, text: np.ndarray, gram: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the log probability and the number of those grams that the shards have. A gram is looked up once, however often the
+    texts have it."""
+    text, gram = _by_gram(text, gram, shards[0].order)
+    first = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
+    often, distinct = np.diff(first, append=len(gram)), gram[first]
+    value, mine = np.zeros(len(distinct)), np.zeros(len(distinct), bool)
+    number = _shard_number((distinct >> _U(8) & _U(0xFFFF)).astype(np.int64), shards[0].shards) >> 16
+    for shard in shards:
+        own = np.flatnonzero(number == shard.number)
+        value[own], mine[own] = shard.log_probability(lang, distinct[own]), True
+    return np.bincount(text, np.repeat(value, often), texts), np.bincount(text[np.repeat(mine, often)], minlength=texts)
+
+
+def shards_of(model: DataFrame, order: int, max_entries: int) -> Iterator[Shard]:
     """Collects one shard at a time. Grams of two bytes at most are in every shard: 2**17 rows for a language at most."""
-    tables = sorted(tuple(r) for r in model.select("lang", "kind", "size").distinct().collect())  # some for each language
-    number_of = F.create_map(*[x for n, t in enumerate(tables) for x in (F.lit("|".join(map(str, t))), F.lit(n))]) if tables else F.lit(None)
-    shards = max(1, -(-model.count() // max_entries))
+    entries = {r.lang: r.n for r in model.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(entries)
+    if not langs:
+        yield Shard(order, 0, 1, [], {})
+        return
+    tables = [(lang, kind, size) for lang in langs for size in range(order + 1) for kind in "pb"]
+    lang_number = F.create_map(*[x for n, lang in enumerate(langs) for x in (F.lit(lang), F.lit(n))])[F.col("lang")]
+    number_of = (lang_number * (order + 1) + F.col("size")) * 2 + (F.col("kind") == "b").cast("int")
+    shards = -(-sum(entries.values()) // max_entries)
     two = F.when(F.col("kind") == "p", F.shiftright("gram", 8)).otherwise(F.col("gram")).bitwiseAND(F.lit(0xFFFF))
     everywhere = F.col("size") < F.when(F.col("kind") == "p", F.lit(3)).otherwise(F.lit(2))
+    shard = F.when(everywhere, -1).otherwise(F.shiftright(_shard_number(two, shards), 16).cast("int"))
+    numbered = model.select(shard.alias("shard"), number_of.alias("n"), "gram", "value")
+    if shards > 1:  # sorted, so that a shard's rows are found without a scan of all
+        numbered = storage.stage(numbered.sortWithinPartitions("shard"), "shards")
     for number in range(shards):
-        own = model.filter(everywhere | (_shard_number(two, shards, F.floor) == number)) if shards > 1 else model
-        if not tables:
-            yield Shard(order, number, shards, {})
-            continue
-        rows = own.select(number_of[F.concat_ws("|", "lang", "kind", "size")].alias("n"), "gram", "value").toArrow()
-        table, gram, value = (rows[c].to_numpy() for c in ("n", "gram", "value"))
-        del rows
-        place = np.argsort(table, kind="stable")
-        cuts = np.searchsorted(table[place], np.arange(len(tables) + 1))
-        yield Shard(order, number, shards, {t: (gram[place[a:b]], value[place[a:b]]) for t, a, b in zip(tables, cuts, cuts[1:], strict=False)})
+        own = numbered.filter(F.col("shard").isin(-1, number)) if shards > 1 else numbered
+        yield Shard(order, number, shards, langs, _tables(own.select("n", "gram", "value").toArrow(), tables))
+
+
+def _tables(rows: pa.Table, tables: list[tuple[str, str, int]]) -> dict[tuple[str, str, int], tuple[np.ndarray, np.ndarray]]:
+    table, gram, value = (rows[c].to_numpy() for c in ("n", "gram", "value"))
+    place = np.lexsort((gram.view(_U), table))
+    cuts = np.searchsorted(table[place], np.arange(len(tables) + 1))
+    return {t: (gram[place[a:b]].view(_U), value[place[a:b]]) for t, a, b in zip(tables, cuts, cuts[1:], strict=False)}
+
+
+def passes(model: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Iterator[tuple[int, list[Broadcast]]]:
+    """The number of shards, and broadcast ones of together about max_entries rows; the driver holds one shard at a time."""
+    context = model.sparkSession.sparkContext
+    each = max(1, max_entries // SHARD_ENTRIES)
+    shared = []
+    for shard in shards_of(model, order, min(max_entries, SHARD_ENTRIES)):
+        shards, last = shard.shards, shard.number + 1 == shard.shards
+        shared.append(context.broadcast(shard))
+        del shard
+        if len(shared) == each or last:
+            yield shards, shared
+            shared = []
 
 
 @dataclass
@@ -271,19 +309,16 @@ class Extra:
         return [pa.array(c, kinds[k]) for c, k in zip(self.work(texts, langs), self.fields.values(), strict=True)]
 
 
-def whole_model(model: DataFrame, order: int) -> Shard:
-    """A model of bounded size as one shard."""
-    return next(shards_of(model, order, 1 << 62))
+def whole_model(model: DataFrame, order: int) -> list[Broadcast]:
+    """All shards of a model of bounded size."""
+    return [shared for _, some in passes(model, order) for shared in some]
 
 
-def _score_task(shared, n_keep: int, names: list[str], extra: Extra | None):
+def _score_task(shared: list[Broadcast], order: int, n_keep: int, names: list[str], extra: Extra | None):
     """Rows: n_keep columns that stay, language, text."""
-    built: list = []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(shared.value.build())
-        shard, tables = shared.value, built[0]
+        shards = [s.value for s in shared]
         for batch in batches:
             for a, b in textarrays.slices(batch.column(n_keep + 1)):
                 part = batch.slice(a, b - a)
@@ -291,14 +326,9 @@ def _score_task(shared, n_keep: int, names: list[str], extra: Extra | None):
                 listed = [t or "" for t in part.column(n_keep + 1).to_pylist()]
                 texts = np.array(listed, object)
                 total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-                for lang in set(langs.tolist()):
-                    if (lang, "p", 1) in tables:
-                        rows = np.flatnonzero(langs == lang)
-                        text, gram = byte_grams(texts[rows].tolist(), shard.order)
-                        mine = slice(None) if shard.shards == 1 else shard.mine(gram)
-                        text, gram = text[mine], gram[mine]
-                        total[rows] = np.bincount(text, shard.log_probability(tables, lang, gram), len(rows))
-                        n[rows] = np.bincount(text, minlength=len(rows))
+                for lang in set(langs.tolist()) & set(shards[0].langs if shards else []):
+                    rows = np.flatnonzero(langs == lang)
+                    total[rows], n[rows] = text_sums(shards, lang, *byte_grams(texts[rows].tolist(), order), len(rows))
                 more = extra.columns(listed, langs.tolist()) if extra else []
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], pa.array(total), pa.array(n), *more], names)
 
@@ -310,33 +340,31 @@ def score(
     order: int = ORDER, max_entries: int = MAX_ENTRIES, extra: Extra | None = None,
 ) -> DataFrame:
     """The columns in `keep` of each document, its perplexity per byte, its number of grams, and the extra columns."""
-    spark = docs.sparkSession
-    textarrays.ship_code(spark)
+    textarrays.ship_code(docs.sparkSession)
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     lang, text = language(F.col(lang_col)).alias("_lang"), F.col(text_col).alias("_text")
-    shards = shards_of(model, order, max_entries)
-    first = next(shards)
 
-    def partial(shard: Shard, rows: DataFrame, extra: Extra | None = None) -> tuple[DataFrame, Broadcast]:
+    def partial(shared: list[Broadcast], rows: DataFrame, extra: Extra | None = None) -> DataFrame:
         fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields[:-2]} | {"total": "double", "grams": "long"} | (extra.fields if extra else {})
-        shared = spark.sparkContext.broadcast(shard)
-        task = _score_task(shared, len(rows.columns) - 2, list(fields), extra)
-        return rows.mapInArrow(task, ", ".join(f"`{name}` {kind}" for name, kind in fields.items())), shared
+        task = _score_task(shared, order, len(rows.columns) - 2, list(fields), extra)
+        return rows.mapInArrow(task, ", ".join(f"`{name}` {kind}" for name, kind in fields.items()))
 
-    if first.shards == 1:
-        scored, _ = partial(first, docs.select(*kept, lang, text), extra)
+    turns = passes(model, order, max_entries)
+    shards, shared = next(turns)
+    if len(shared) == shards:
+        scored = partial(shared, docs.select(*kept, lang, text), extra)
     else:  # the sums of a text are the same wherever it stands, so texts are the key
         key = F.unhex(F.md5(F.concat_ws("\x00", language(F.col(lang_col)), F.coalesce(F.col(text_col), F.lit(""))))).alias("key")
         parts = []
-        for shard in chain([first], shards):  # one in the driver at a time, given up when its sums are written
-            one, shared = partial(shard, docs.select(key, lang, text))
+        for _, shared in chain([(shards, shared)], turns):  # given up when their sums are written
+            one = partial(shared, docs.select(key, lang, text))
             parts.append(storage.stage(one.groupBy("key").agg(F.max("total").alias("total"), F.max("grams").alias("grams")), "partial_sums"))
-            shared.destroy()
-            first = shard = None
+            for shard in shared:
+                shard.destroy()
         sums = reduce(DataFrame.union, parts).groupBy("key").agg(F.sum("total").alias("total"), F.sum("grams").alias("grams"))
         rows = docs.select(*kept, key, lang, text)
         if extra:
-            rows = partial(Shard(order, 0, 1, {}), rows, extra)[0].drop("total", "grams")
+            rows = partial([], rows, extra).drop("total", "grams")
         scored = rows.join(sums, "key")
     perplexity = F.when(F.col("grams") > 0, F.exp(-F.col("total") / F.col("grams"))).alias("perplexity")
     return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], perplexity, "grams", *(extra.fields if extra else {}))

@@ -115,8 +115,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     marked = F.col("lang").startswith(word_classes.MARK)
     model = ngram_model.estimate(counted.filter(~marked))
     of_classes = ngram_model.estimate(counted.filter(marked).withColumn("lang", F.expr("substring(lang, 2)")), word_classes.ORDER)
-    shared = docs.sparkSession.sparkContext.broadcast(ngram_model.whole_model(of_classes, word_classes.ORDER))
-    by_class = word_classes.scorer(shared)
+    by_class = word_classes.scorer(ngram_model.whole_model(of_classes, word_classes.ORDER))
     columns = ["doc_id", "lang", "text_key", *(f"c{i}" for i in range(len(keep)))]
     more = ngram_model.Extra(dict.fromkeys(COUNTS, "long") | word_classes.FIELDS, lambda texts, langs: [*_columns(texts), *by_class(texts, langs)])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

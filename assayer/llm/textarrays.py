@@ -178,15 +178,34 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return value
 
 
+def short_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """span_hash of stretches of a few bytes, without sums over all bytes."""
+    length = end - start
+    value = length.astype(_U) * _U(0xD6E8FEB86659FD93)
+    for prime, base in _PRIMES:
+        total = np.zeros(len(start), _U)
+        for j in range(int(length.max(initial=0))):
+            on = np.flatnonzero(length > j)
+            total[on] += data[start[on] + j] * _U(pow(base, j, prime))
+        value = mix(value + total % _U(prime))
+    return value
+
+
 def spans(texts: Bytes, separators: bytes, lower: bool = False) -> Spans:
     """Runs of bytes other than the separators, in order."""
     data = _LOWER[texts.data] if lower else texts.data
+    text, start, end = runs(texts, data, separators)
+    return Spans(text, start, end, span_hash(data, start, end))
+
+
+def runs(texts: Bytes, data: np.ndarray, separators: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first byte and byte after the last of the spans, without a hash."""
     inside = np.ones(256, bool)
     inside[list(separators)] = False
     inside[10] = False  # also what keeps the texts apart
     edges = np.diff(inside[data].astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    return Spans(np.searchsorted(texts.starts, start, "right") - 1, start, end, span_hash(data, start, end))
+    return np.searchsorted(texts.starts, start, "right") - 1, start, end
 
 
 def windows(words: Spans, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@
 A word is one of CLASSES: short words in small letters (most are articles, prepositions, conjunctions) by their letters, longer
 ones by a capital at the start and by length, each with what punctuation it ends in. Shuffled words put capitals behind commas
 and articles before full stops, which trigrams of classes find improbable. With so few classes a model has a proven bound of
-CLASSES**3 grams for a language, so it is one broadcast.
+CLASSES**3 grams for a language, so all of it is broadcast.
 
 Null or empty texts, and texts of fewer than ORDER words, have no grams and a null perplexity.
 """
@@ -32,19 +32,20 @@ _ENDING[list(b".!?")] = 2
 def classes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Text number and class of each word."""
     flat = textarrays.Bytes.of(texts)
-    words = textarrays.spans(flat, textarrays.SPACES)
+    owner, start, end = textarrays.runs(flat, flat.data, textarrays.SPACES)
     data = np.append(flat.data, 0)
-    ending = _ENDING[data[words.end - 1]] if len(words.end) else np.zeros(0, np.uint8)
-    end = words.end - (ending > 0)
-    first, second = data[words.start], data[words.start + 1]
+    ending = _ENDING[data[end - 1]] if len(end) else np.zeros(0, np.uint8)
+    end = end - (ending > 0)
+    first, second = data[start], data[start + 1]
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     letter = capital | ((first >= 97) & (first <= 122)) | (first >= 0x80)
     heads = np.concatenate(([0], np.cumsum((flat.data & 0xC0) != 0x80)))
-    length = heads[end] - heads[words.start]
+    length = heads[end] - heads[start]
     by_length = (length > 5).astype(np.int64) + (length > 8)
-    short = textarrays.span_hash(flat.data, words.start, end) % np.uint64(SHORT)
-    base = np.where(length <= 3, np.where(capital, SHORT + 1, 1 + short.astype(np.int64)), np.where(capital, SHORT + 2, SHORT + 5) + by_length)
-    return words.text, ending * BASES + np.where(letter & (length > 0), base, 0)
+    base = np.where(length <= 3, SHORT + 1, np.where(capital, SHORT + 2, SHORT + 5) + by_length)
+    short = np.flatnonzero((length <= 3) & ~capital)
+    base[short] = 1 + (textarrays.short_hash(flat.data, start[short], end[short]) % np.uint64(SHORT)).astype(np.int64)
+    return owner, ending * BASES + np.where(letter & (length > 0), base, 0)
 
 
 def class_grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -60,21 +61,18 @@ def class_grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.nd
     return text[:n][whole], gram[whole]
 
 
-def scorer(shared: Broadcast):
-    """For `ngram_model.Extra`: (texts, languages) -> [perplexity per word, number of grams] under a broadcast model."""
-    built: list = []
+def scorer(shared: list[Broadcast]):
+    """For `ngram_model.Extra`: (texts, languages) -> [perplexity per word, number of grams] under a model's broadcast shards."""
 
     def work(texts: list[str], langs: list[str]) -> list[np.ndarray]:
-        if not built:
-            built.append(shared.value.build())
+        shards = [s.value for s in shared]
         names = np.array(langs, object)
         total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for lang in set(langs):
-            if (lang, "p", 1) in built[0]:
+            if lang in shards[0].langs:
                 rows = np.flatnonzero(names == lang)
                 text, gram = class_grams([texts[i] for i in rows.tolist()], ORDER)
-                total[rows] = np.bincount(text, shared.value.log_probability(built[0], lang, gram), len(rows))
-                n[rows] = np.bincount(text, minlength=len(rows))
+                total[rows], n[rows] = ngram_model.text_sums(shards, lang, text, gram, len(rows))
         perplexity = [float(np.exp(-t / k)) if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
         return [perplexity, n]
 
