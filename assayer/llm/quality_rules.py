@@ -39,23 +39,30 @@ def text_counts(texts: list[str]) -> list[np.ndarray]:
     """The COUNTS of each text."""
     flat = textarrays.Bytes.of(texts)
     m = len(texts)
-    words = textarrays.spans(flat, textarrays.SPACES)
+    words, lines = _words_and_lines(flat)
     n_words = np.bincount(words.text, minlength=m)
     upto = lambda flags: np.concatenate(([0], np.cumsum(flags)))
     heads = upto((flat.data & 0xC0) != 0x80)
     chars = np.bincount(words.text, heads[words.end] - heads[words.start], m).astype(np.int64)
     is_symbol = np.zeros(256, bool)
     is_symbol[list(SYMBOLS)] = True
-    n_symbols = np.diff(upto(is_symbol[flat.data])[flat.starts])
-    lines = textarrays.spans(flat, b"\n")
-    starts = upto(np.isin(np.arange(len(flat.data) + 1), words.start))[:-1] if len(words.start) else np.zeros(len(flat.data) + 1, int)
-    filled = starts[lines.end] > starts[lines.start]
+    n_symbols = np.diff(np.searchsorted(np.flatnonzero(is_symbol[flat.data]), flat.starts))
+    filled = np.searchsorted(words.start, lines.end) > np.searchsorted(words.start, lines.start)
     text, value = lines.text[filled], lines.hash[filled]
-    distinct = np.unique(np.stack([text.astype(np.uint64), value]), axis=1)[0].astype(np.int64) if len(text) else text
-    n_dup = np.bincount(text, minlength=m) - np.bincount(distinct, minlength=m)
+    order = np.lexsort((value, text))
+    again = (np.diff(text[order]) == 0) & (value[order][1:] == value[order][:-1])
+    n_dup = np.bincount(text[order][1:][again], minlength=m)
     return [n_words, chars, n_symbols, n_dup, _repeated(words, m)]
 
 
+def _words_and_lines(flat: textarrays.Bytes) -> list[textarrays.Spans]:
+    """Their hashes from one sum over the bytes."""
+    both = [textarrays.runs(flat, flat.data, by) for by in (textarrays.SPACES, b"\n")]
+    value = textarrays.span_hash(flat.data, *(np.concatenate([b[i] for b in both]) for i in (1, 2)))
+    cut = len(both[0][0])
+    return [textarrays.Spans(*b, v) for b, v in zip(both, (value[:cut], value[cut:]), strict=True)]
+
+
 def _repeated(words: textarrays.Spans, m: int) -> np.ndarray:
     """Words in windows that a text has at least twice."""
     first, value = textarrays.windows(words, WINDOW)

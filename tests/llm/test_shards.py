@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from assayer.llm import ngram_model, textarrays
+from assayer.llm import ngram_model, quality_rules, textarrays
 from tests.llm.conftest import prose
 from tests.llm.test_table_operators import brute_model
 
@@ -35,3 +35,11 @@ def test_hashes_of_short_words_and_order_by_gram():
     for high in (0, 1 << 24):  # with and without room for both in one number
         owner, ordered = ngram_model._by_gram(text + high, gram, 5)
         assert (owner - high).tolist() == [3, 0, 0, 1] and ordered.tolist() == [1, 2, 9, 9]
+
+
+def test_words_and_lines_are_hashed_from_one_sum(monkeypatch):
+    calls, plain = [], textarrays.span_hash
+    monkeypatch.setattr(textarrays, "span_hash", lambda *args: calls.append(1) or plain(*args))
+    texts = ["a b\n\na b\n \nc", "", "a b\na b a b a b"]
+    assert np.stack(quality_rules.text_counts(texts), axis=1).tolist() == [[5, 5, 0, 1, 0], [0, 0, 0, 0, 0], [8, 8, 0, 0, 8]]
+    assert len(calls) == 1
