@@ -5,7 +5,9 @@
 2. Band keys of BAND_ROWS minima put representatives in buckets. As many bands as make the chance that a pair at the
    threshold shares none at most MISS. Buckets with one member end here.
 3. Members get their full set and a packed signature of the SKETCH low bit pairs of minima, mixed once more. Similarity is estimated by bit
-   counts, corrected for chance agreement; a pair stays if the estimate is within SIGMAS deviations of the threshold.
+   counts, corrected for chance agreement; a pair stays if the estimate is within SIGMAS deviations of the threshold. Bits that tell
+   which of PARITY slots hold an odd number of shingles differ in no more places than the sets do: a pair whose bits differ in more than
+   the threshold allows goes for certain, however many pairs lie just below it.
 4. First every member is held against the smallest of its bucket. What the confirmed links join is one component; then
    only members outside their bucket's largest component are held against members of other components. So a group of copies
    costs rows in proportion to its size. Buckets with more than CROWDED members outside (a passage that many different texts
@@ -35,6 +37,8 @@ from assayer.llm import storage, textarrays
 
 BAND_ROWS, MISS = 4, 1e-7
 SKETCH, LOW_BITS, SIGMAS = 1024, 2, 4.5
+#: Slots whose parities are kept; sets that differ in many more shingles aren't told apart by them.
+PARITY = 1024
 #: Members outside a bucket's largest component that are held against the bucket directly.
 CROWDED = 32
 #: Slots in which the shingles of crowded buckets are counted.
@@ -42,8 +46,9 @@ SLOTS = 1 << 18
 #: Rows without an id are numbered from here; no real id may be as large.
 NO_ID = 1 << 62
 
-_U = np.uint64
-_STEP = 2048
+_U, _HALF = np.uint64, np.uint32
+#: Permuted values that are held at once: they stay in a core's cache.
+_STEP = 1 << 17
 
 
 def bands_for(threshold: float, miss: float = MISS) -> int:
@@ -58,11 +63,18 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minima(shingles: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """The smallest permuted value of a set under each permutation, in steps of bounded memory."""
-    best = np.full(len(factors), np.iinfo(np.uint64).max, _U)
-    for i in range(0, len(shingles), _STEP):
-        np.minimum(best, ((shingles[i : i + _STEP, None] ^ masks) * factors).min(axis=0), out=best)
-    return best
+    """The smallest permuted value of a set under each permutation, in steps of bounded memory.
+
+    The low halves of hashes and permutations are taken, which are hashes and permutations too: two different shingles of a pair of sets
+    share one with a chance of 2**-32, and pairs are confirmed by whole hashes."""
+    shingles, factors, masks = (x.astype(_HALF) for x in (shingles, factors, masks))
+    best = np.full(len(factors), np.iinfo(_HALF).max, _HALF)
+    step = max(1, _STEP // max(1, len(factors)))
+    for i in range(0, len(shingles), step):
+        values = shingles[i : i + step, None] ^ masks
+        values *= factors
+        np.minimum(best, values.min(axis=0), out=best)
+    return best.astype(_U)
 
 
 def places(shingles: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -84,7 +96,8 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
             whole = reduce(lambda x, h: x * 31 + int(h) & (1 << 64) - 1, words.hash[count[i] : count[i + 1]].tolist(), int(n))
             out.append(textarrays.mix(np.array([whole], _U)))
         else:
-            out.append(np.unique(value[cut[i] : cut[i + 1]]))
+            mine = np.sort(value[cut[i] : cut[i + 1]])
+            out.append(mine[np.concatenate(([True], mine[1:] != mine[:-1]))] if len(mine) else mine)
     return out
 
 
@@ -101,6 +114,12 @@ def pack(low: np.ndarray) -> np.ndarray:
     return np.concatenate(planes)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Of each slot, whether an odd number of shingles falls there, packed: two sets differ in as many shingles as slots at least."""
+    odd = np.bincount((shingles >> _U(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
@@ -110,19 +129,18 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def _with_bands(width: int, bands: int):
     factors, masks = permutations(bands * BAND_ROWS)
 
-    def keys(shingles: np.ndarray) -> np.ndarray:
-        if not len(shingles):
-            return np.zeros(0, _U)
-        rows = minima(shingles, factors, masks).reshape(bands, BAND_ROWS)
-        value = np.arange(bands, dtype=_U)
+    def keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+        rows = np.array([minima(s, factors, masks) for s in sets if len(s)], _U).reshape(-1, bands, BAND_ROWS)
+        value = np.broadcast_to(np.arange(bands, dtype=_U), rows.shape[:2])
         for j in range(BAND_ROWS):
-            value = textarrays.mix(value * _U(0x9E3779B97F4A7C15) + rows[:, j])
-        return value
+            value = textarrays.mix(value * _U(0x9E3779B97F4A7C15) + rows[:, :, j])
+        found = iter(value)
+        return [next(found) if len(s) else np.zeros(0, _U) for s in sets]
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         sets = shingle_sets(texts, width)
         columns = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_digest, sets), pa.binary())]
-        return pa.RecordBatch.from_arrays([*columns, _lists([keys(s) for s in sets], pa.int64())], ["node", "text_key", "n_shingles", "digest", "bands"])
+        return pa.RecordBatch.from_arrays([*columns, _lists(keys(sets), pa.int64())], ["node", "text_key", "n_shingles", "digest", "bands"])
 
     return work
 
@@ -132,21 +150,44 @@ def _with_sketch(width: int):
 
     def work(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         sets = shingle_sets(texts, width)
-        packed = _lists([pack(places(s, factors, masks)) for s in sets], pa.int64())
+        packed = _lists([np.concatenate([pack(places(s, factors, masks)), parities(s)]) for s in sets], pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(map(set_digest, sets), pa.binary()), _lists(sets, pa.int64()), packed], ["digest", "shingles", "sketch"])
 
     return work
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from packed signatures: share of agreeing places, less what agrees by chance."""
-    words = SKETCH // 64
-    differs = [reduce(Column.bitwiseOR, [F.get(a, F.lit(p * words + i)).bitwiseXOR(F.get(b, F.lit(p * words + i))) for p in range(LOW_BITS)]) for i in range(words)]
+WORDS, ODD_WORDS = SKETCH // 64, PARITY // 64
+SKETCH_COLUMNS = [f"s{i}" for i in range(LOW_BITS * WORDS + ODD_WORDS)]
+
+
+def sketch_columns(sketch: str) -> list[Column]:
+    """A packed signature and its parities as columns s0, s1, ... of their own, as `estimate` and `differing` read them."""
+    return [F.coalesce(F.get(sketch, F.lit(i)), F.lit(0)).alias(c) for i, c in enumerate(SKETCH_COLUMNS)]
+
+
+def without_nulls(df: DataFrame) -> DataFrame:
+    """Staged signatures again as columns that can't be null. With a null check for each, or as arrays, the code that compares two of them is
+    beyond the 8000 bytes up to which the JVM compiles a method, and a join that holds it is interpreted for every pair."""
+    return df.withColumns({c: F.coalesce(c, F.lit(0)) for c in SKETCH_COLUMNS})
+
+
+def _xor(a: str, b: str, i: int) -> Column:
+    return F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
+
+
+def estimate(a: str, b: str) -> Column:
+    """Similarity from packed signatures of two sides of a join: share of agreeing places, less what agrees by chance."""
+    differs = [reduce(Column.bitwiseOR, [_xor(a, b, p * WORDS + i) for p in range(LOW_BITS)]) for i in range(WORDS)]
     agree = 1 - reduce(Column.__add__, map(F.bit_count, differs)) / float(SKETCH)
     chance = 0.5**LOW_BITS
     return (agree - chance) / (1 - chance)
 
 
+def differing(a: str, b: str) -> Column:
+    """How many shingles at least one of two sets has and the other hasn't."""
+    return reduce(Column.__add__, [F.bit_count(_xor(a, b, LOW_BITS * WORDS + i)) for i in range(ODD_WORDS)])
+
+
 def estimate_floor(threshold: float) -> float:
     """The smallest estimate that a pair at the threshold has, but for SIGMAS deviations."""
     chance = 0.5**LOW_BITS
@@ -197,14 +238,24 @@ def _open_keys(placed: DataFrame) -> DataFrame:
 def _across(placed: DataFrame, brief: DataFrame, plausible: Callable[[str, str], Column], unless: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Plausible pairs (a, b) of a bucket's members in different components, one of them outside the largest; `unless` leaves out pairs
     that meet elsewhere."""
-    met = storage.stage(placed.join(brief, "rep"), "open_members")
+    met = without_nulls(storage.stage(placed.join(brief, "rep"), "open_members"))
     x, y = met.filter("component <> main").alias("x"), met.alias("y")
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
-    once = once if unless is None else once & ~unless("x", "y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & plausible("x", "y"))
+    likely = once & plausible("x", "y")
+    likely = likely if unless is None else likely & ~unless("x", "y")  # last, as it compares whole lists
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & likely)
     return apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
+def _count_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (shingles): rows (slot, n) for the slots of a task's shingles."""
+    often = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        often += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (SLOTS - 1), minlength=SLOTS)
+    slot = np.flatnonzero(often)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(often[slot])], ["slot", "n"])
+
+
 def _rarest(shared: Broadcast, percent: int):
     """Of rows (rep, component, shingles): rows (key, rep, component, nth) of each set's rarest shingles that another set may have."""
 
@@ -232,8 +283,7 @@ def _by_rare_shingles(placed: DataFrame, sets: DataFrame, brief: DataFrame, thre
     The order is by how often the members have shingles of the same slot, so a passage that all share comes last. Any order loses no pair;
     slots keep what is sent to the tasks at SLOTS numbers."""
     members = storage.stage(placed.select("rep", "component").distinct().join(sets.select("rep", "shingles"), "rep"), "crowded_members")
-    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")
-    counted = members.select(F.explode("shingles").alias("key")).groupBy(slot).agg(F.count("*").alias("n")).collect()  # SLOTS rows at most
+    counted = members.select("shingles").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows at most
     often = np.zeros(SLOTS, np.int64)
     often[[r.slot for r in counted]] = [r.n for r in counted]
     shared = placed.sparkSession.sparkContext.broadcast(often)
@@ -274,13 +324,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         .join(wanted.select("digest", "rep", "bands"), "digest").drop("digest"),
         "sets",
     )
-    floor, ratio = estimate_floor(threshold), threshold - 1e-9
+    floor, ratio, percent = estimate_floor(threshold), threshold - 1e-9, round(100 * threshold)
 
     def plausible(a: str, b: str) -> Column:
         sizes = F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= ratio * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-        return sizes & (estimate(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) >= floor)
+        close = differing(a, b) * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")).cast("long") * (100 - percent)
+        return sizes & close & (estimate(a, b) >= floor)
 
-    brief = sets.select("rep", F.size("shingles").alias("n"), "sketch")
+    brief = sets.select("rep", F.size("shingles").alias("n"), *sketch_columns("sketch"))
     stars = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     near = (
         stars.join(brief.alias("x"), F.col("a") == F.col("x.rep")).join(brief.alias("y"), F.col("b") == F.col("y.rep"))
