@@ -2,10 +2,10 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer, so it
 is used only behind a check of their number. Beyond it, a sketch proposes a
-bracket around each wanted rank of a column and exact counts confirm it. What
-that cannot settle, and large groups, are ranked by a distributed sort (see
-``ranks``), from which the order statistics are picked. The result is exact
-either way.
+bracket around each wanted rank of a column, or of each of a few groups, and
+exact counts confirm it. What that cannot settle, and many large groups, are
+ranked by a distributed sort (see ``ranks``), from which the order statistics
+are picked. The result is exact either way.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ SMALL_DISTINCT = 10_000
 BUFFER_LIMIT = 1_000_000
 # Accuracy of the sketch that proposes brackets: rank error 1 / accuracy.
 SKETCH_ACCURACY = 10_000
+# The same where every group has a sketch, and up to how many groups have one. Tasks hand on a sketch per group.
+GROUP_ACCURACY = 2_000
+SKETCHED_GROUPS = 1_000
 
 
 def interpolate(low: float, high: float, fraction: float) -> float:
@@ -139,20 +142,91 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str],
     """``(keys..., item, quantiles array<double>)`` for any number of groups of any size.
 
     ``values`` are numeric columns; rows where one is NULL do not count for it.
-    ``keys`` hold no NULL. Groups of bounded size take the built-in percentile;
-    if the largest has too many distinct values for a buffer, all are ranked.
+    ``keys`` hold no NULL. Groups of few distinct values take the built-in
+    percentile. A few large groups take brackets, so that what is shuffled is a
+    sketch per task and group and the small part of the rows in the brackets.
+    Many groups take the percentile if the largest fits a buffer; otherwise all
+    are ranked.
     """
     rows = df.select(*map(frames.column, keys), *[frames.column(v).cast("double").alias(v) for v in values])
     named = list(map(frames.column, keys))
     sizes = rows.groupBy(*named).agg(*[F.approx_count_distinct(frames.column(v)).alias(v) for v in values])
-    widest = [frames.column(v) for v in values]
-    largest = sizes.agg(F.max(F.greatest(*widest) if len(values) > 1 else widest[0])).first()[0]
-    if (largest or 0) <= BUFFER_LIMIT:
-        wide = rows.groupBy(*named).agg(
-            *[F.percentile(frames.column(v), F.array(*map(F.lit, probs))).alias(f"q{i}") for i, v in enumerate(values)]
-        )
-        items = [F.struct(F.lit(v).alias("item"), F.col(f"q{i}").alias("quantiles")) for i, v in enumerate(values)]
-        return wide.select(*named, F.inline(F.array(*items))).where(F.col("quantiles").isNotNull())
+    *widest, groups = sizes.agg(*[F.max(frames.column(v)) for v in values], F.count(F.lit(1))).first()
+    large = [v for v, n in zip(values, widest) if (n or 0) > SMALL_DISTINCT]
+    if large and groups <= SKETCHED_GROUPS:
+        small = [v for v in values if v not in large]
+        found = _bracketed(rows, keys, large, probs)
+        return found.unionByName(_percentiles(rows, keys, small, probs)) if small else found
+    if max(n or 0 for n in widest) <= BUFFER_LIMIT:
+        return _percentiles(rows, keys, values, probs)
+    return ranks.rank_quantiles(_cells(rows, keys, values), [*keys, "item"], "__value", probs)
+
+
+def _cells(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     items = [F.struct(F.lit(v).alias("item"), frames.column(v).alias("__value")) for v in values]
-    long = rows.select(*named, F.inline(F.array(*items))).where(F.col("__value").isNotNull())
-    return ranks.rank_quantiles(long, [*keys, "item"], "__value", probs)
+    return rows.select(*map(frames.column, keys), F.inline(F.array(*items))).where(F.col("__value").isNotNull())
+
+
+def _percentiles(rows: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    named = list(map(frames.column, keys))
+    wide = rows.groupBy(*named).agg(
+        *[F.percentile(frames.column(v), F.array(*map(F.lit, probs))).alias(f"q{i}") for i, v in enumerate(values)]
+    )
+    items = [F.struct(F.lit(v).alias("item"), F.col(f"q{i}").alias("quantiles")) for i, v in enumerate(values)]
+    return wide.select(*named, F.inline(F.array(*items))).where(F.col("quantiles").isNotNull())
+
+
+def _bracketed(rows: DataFrame, keys: Sequence[str], values: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles of a few groups: a sketch proposes brackets, exact counts prove them, the ranks are read inside.
+
+    Groups with a bracket that a count disproves are ranked by a sort. What is
+    broadcast has one row per group.
+    """
+    named = list(map(frames.column, keys))
+    pairs = [(i, j) for i in range(len(values)) for j in range(len(probs))]
+    x = [F.col(f"__x{i}") for i in range(len(values))]
+    margin = 2.0 / GROUP_ACCURACY
+    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)]
+    cells = rows.select(*named, *[frames.column(v).alias(f"__x{i}") for i, v in enumerate(values)])
+    # the ends of a short group are all its values, for there the margin is less than a rank
+    whole = F.lit(10 * GROUP_ACCURACY)
+    sketch = frames.stage(cells.groupBy(*named).agg(*[e for i, v in enumerate(x) for e in (
+        F.count(v).alias(f"__n{i}"),
+        F.when(F.count(v) <= whole, F.array(*[F.min(v), F.max(v)] * len(probs)))
+        .otherwise(F.percentile_approx(v, ends, GROUP_ACCURACY)).alias(f"__e{i}"))]))
+    inside = {(i, j): x[i].between(F.col(f"__e{i}")[2 * j], F.col(f"__e{i}")[2 * j + 1]) for i, j in pairs}
+    at = cells.join(F.broadcast(sketch), list(keys))
+    counted = at.groupBy(*named).agg(*[e for i, j in pairs for e in (
+        F.count_if(x[i] < F.col(f"__e{i}")[2 * j]).alias(f"__b{i}_{j}"), F.count_if(inside[i, j]).alias(f"__i{i}_{j}"))])
+    wanted = []
+    for i, j in pairs:
+        place = (F.col(f"__n{i}") - 1) * F.lit(float(probs[j]))
+        low, below = F.floor(place), F.col(f"__b{i}_{j}")
+        high = F.least(low + 1, F.col(f"__n{i}") - 1)
+        wanted.append(F.struct(
+            F.lit(values[i]).alias("item"), F.lit(j).alias("__prob"), F.col(f"__n{i}").alias("__n"), (low - below).alias("__low"),
+            (high - below).alias("__high"), (place - low).alias("__part"),
+            ((below <= low) & (high < below + F.col(f"__i{i}_{j}"))).alias("__proven")))
+    places = frames.stage(counted.join(F.broadcast(sketch), list(keys)).select(*named, F.inline(F.array(*wanted))).where("__n > 0"))
+    group = [*map(frames.column, [*keys, "item"])]
+    inner = at.select(*named, F.inline(F.array(*[
+        F.struct(F.lit(values[i]).alias("item"), F.lit(j).alias("__prob"), F.when(inside[i, j], x[i]).alias("__y")) for i, j in pairs
+    ]))).where(F.col("__y").isNotNull())
+    upto = F.sum("__c").over(Window.partitionBy(*group, "__prob").orderBy("__y"))
+    steps = inner.groupBy(*group, "__prob", "__y").agg(F.count(F.lit(1)).alias("__c")).withColumn("__upto", upto)
+    on = [*keys, "item", "__prob"]
+
+    def value_at(place: str):
+        return F.max(F.when((F.col("__upto") > F.col(place)) & (F.col("__upto") - F.col("__c") <= F.col(place)), F.col("__y")))
+
+    picked = steps.join(F.broadcast(places.where("__proven")), on).groupBy(*group, "__prob", "__part").agg(
+        value_at("__low").alias("__a"), value_at("__high").alias("__b"))
+    a, b = F.col("__a"), F.col("__b")
+    read = picked.withColumn("__q", F.when((a == b) | (F.col("__part") == 0), a).otherwise(a + (b - a) * F.col("__part")))
+    unproven = places.groupBy(*group).agg(F.bool_and("__proven").alias("__good")).where("NOT __good").drop("__good")
+    kept = read if unproven.isEmpty() else read.join(F.broadcast(unproven), [*keys, "item"], "left_anti")
+    settled = kept.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__prob", "__q"))), lambda s: s["__q"]).alias("quantiles"))
+    if unproven.isEmpty():
+        return settled
+    rest = _cells(rows, keys, values).join(F.broadcast(unproven), [*keys, "item"], "left_semi")
+    return settled.unionByName(ranks.rank_quantiles(rest, [*keys, "item"], "__value", probs))
